@@ -11,6 +11,7 @@ Columns of the input other than the text are never read for a prediction.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int = 120)
         slack = np.maximum(0, 1 - y * (x @ v))
         grad = ridge * v - 2 * (x.T @ (weight * y * slack))
         new = v - rate * grad
-        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2  # Python floats keep the arrays in single precision
         v, w, momentum = new + (momentum - 1) / after * (new - w), new, after
     return w
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import chat, digest, langid, licenses, linededup, neardup, packing, quality, subwords, topk
 from .common import held_out, table
 
 QUALITY_THRESHOLD = 0.3
@@ -27,9 +27,131 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document and of its edited text, and their likeness."""
+    return digest.with_next(table(spark, sf_dir, "documents"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, n_logged, chat_chars, chat_md5 of the maximal conversations."""
+    chats = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_logged", F.char_length("chat_text").cast("long").alias("chat_chars"), F.md5("chat_text").alias("chat_md5"))
+
+
+OP3_SQL = """
+with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+r as (select conv_id, turn, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) as part,
+             md5(role) || md5(text) as mark from t),
+p as (select conv_id, string_agg(mark, '') over w as prefix, string_agg(part, '') over w as chat,
+             row_number() over w as k, count(*) over (partition by conv_id) as n
+      from r window w as (partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and current row)),
+whole as (select prefix, min(conv_id) as conv_id, count(*) as n_logged, any_value(n) as n_turns, any_value(chat) as chat from p where k = n group by prefix)
+select conv_id, cast(n_turns as bigint) as n_turns, n_logged, cast(length(chat) as bigint) as chat_chars, md5(chat) as chat_md5
+from whole where prefix not in (select prefix from p where k < n)
+"""
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its near-duplicate class) of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its digest and its place in a sequence."""
+    pieces = packing.pieces(table(spark, sf_dir, "documents"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op6_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_md5 and whether decoding gave back the text, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = subwords.decode(subwords.encode(docs))
+    return rows.select("doc_id", F.size("piece_ids").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, filed under <source>/p<n>/q<n>/; every seventh is a licence file of its directory."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    n = F.col("doc_id")
+    upper = F.concat_ws("/", "source", F.concat(F.lit("p"), n % 50))
+    path = F.when(n % 14 == 0, F.concat(upper, F.lit("/LICENSE-"), n)).when(n % 7 == 0, F.concat(upper, F.lit("/q"), n % 3, F.lit("/LICENSE-"), n))
+    docs = docs.withColumn("path", path.otherwise(F.concat(upper, F.lit("/q"), n % 3, F.lit("/"), n, F.lit(".txt")))).drop("source")
+    return licenses.scan(docs).select("doc_id", "own_licence", "cosine", "inherited_from", "licence")
+
+
+def op7_sql() -> str:
+    """The same by DuckDB: cosines of all header lines, then the deepest directory above with a licence file."""
+    templates = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+    words = "list_filter(regexp_split_to_array(lower({}), '" + licenses.NOT_WORD + "'), lambda w: w <> '')"
+    return f"""
+with templates(template, licence, notice) as (values {templates}),
+d as (select doc_id, text, case when doc_id % 14 = 0 then source || '/p' || (doc_id % 50) || '/LICENSE-' || doc_id
+        when doc_id % 7 = 0 then source || '/p' || (doc_id % 50) || '/q' || (doc_id % 3) || '/LICENSE-' || doc_id
+        else source || '/p' || (doc_id % 50) || '/q' || (doc_id % 3) || '/' || doc_id || '.txt' end as path from documents),
+tw as (select template, word, count(*) as tf from (select template, unnest({words.format("notice")}) as word from templates) group by all),
+vocabulary as (select distinct word from tw),
+df as (select word, count(*) as df from (select distinct doc_id, unnest({words.format("text")}) as word from d) where word in (select word from vocabulary) group by word),
+idf as (select word, ln(((select count(*) from d) + 1) / (coalesce(df, 0) + 1)) + 1 as idf from vocabulary left join df using (word)),
+other as (select ln((select count(*) from d) + 1) + 1 as other),
+tv as (select template, word, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by template)) as y from tw join idf using (word)),
+l as (select doc_id, lower(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(lower(line), '{licenses.ANCHORS}')),
+lw as (select line, word, count(*) as tf from (select line, unnest({words.format("line")}) as word from (select distinct line from l)) group by all),
+lv as (select line, word, tf * coalesce(idf, other) / sqrt(sum(tf * coalesce(idf, other) * tf * coalesce(idf, other)) over (partition by line)) as x from lw left join idf using (word) cross join other),
+cosines as (select line, licence, template, round(sum(x * y), 9) as cosine from lv join tv using (word) join templates using (template) group by all),
+best as (select line, max({{'cosine': cosine, 'licence': licence}}) as b from cosines group by line having max(cosine) >= {licenses.LEAST}),
+own as (select doc_id, max(b) as o from l join best using (line) group by doc_id),
+f as (select d.doc_id, regexp_replace(path, '/?[^/]*$', '') as dir, regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILES}') as holder, o from d left join own using (doc_id)),
+held as (select dir as above, max(o) as lic from f where holder and o is not null group by dir),
+near as (select f.doc_id, arg_max({{'above': above, 'licence': lic.licence}}, length(above)) as n from f join held on f.dir = above or starts_with(f.dir, above || '/') or above = '' group by f.doc_id)
+select doc_id, o.licence as own_licence, o.cosine as cosine, case when o is null then n.above end as inherited_from, coalesce(o.licence, n.licence) as licence
+from f left join near using (doc_id)
+"""
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_md5 of every document."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5("text").alias("kept_md5"))
+
+
+OP8_SQL = f"""
+with a as (select doc_id, source, string_split(text, chr(10)) as ls from documents),
+l as (select doc_id, source, unnest(ls) as line, generate_subscripts(ls, 1) as spot from a),
+k as (select doc_id, source, line, spot, trim(line, ' ' || chr(9) || chr(13)) as t from l),
+b as (select t, min({{'d': doc_id, 'p': spot}}) as first from k where t <> '' group by t having count(distinct source) >= {linededup.MIN_SITES}),
+m as (select k.doc_id, k.spot, k.line, coalesce(b.first is not null and b.first <> {{'d': k.doc_id, 'p': k.spot}}, false) as gone from k left join b using (t))
+select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_removed,
+       md5(coalesce(string_agg(line, chr(10) order by spot) filter (where not gone), '')) as kept_md5
+from m group by doc_id
+"""
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: five best of each vector whose id is divisible by 50."""
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda id_: id_ % 50 == 0)
+
+
+OP10_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as a from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.a, c.a), lambda z: z[1] * z[2])) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_chat": op3_chat,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_packing": op5_packing,
+    "op6_subwords": op6_subwords,
+    "op7_licenses": op7_licenses,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
+    "op10_top_k": op10_top_k,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op7_licenses": op7_sql(), "op8_line_dedup": OP8_SQL, "op10_top_k": OP10_SQL}
