@@ -139,7 +139,7 @@ def skat(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
     single = z.groupBy("gene", "marker").agg(F.sum(F.col("value") * F.col("r")).alias("zr"), F.array(*[F.sum(F.col("w") * F.col("value") * c) for c in x]).alias("zx"))
     a = z.select("gene", "sample", F.col("marker").alias("m1"), F.col("value").alias("v1"), "w")
     b = z.select("gene", "sample", F.col("marker").alias("m2"), F.col("value").alias("v2"))
-    cross = a.join(b, ["gene", "sample"]).where("m1 <= m2").groupBy("gene", "m1", "m2").agg(F.sum(F.col("w") * F.col("v1") * F.col("v2")).alias("zz"))
+    cross = a.join(b, ["gene", "sample"]).where("m1 <= m2").groupBy(F.col("gene").alias("gene_"), "m1", "m2").agg(F.sum(F.col("w") * F.col("v1") * F.col("v2")).alias("zz"))
     inverse, sigma2 = np.array(model.inverse), model.sigma2
 
     def tested(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +155,7 @@ def skat(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
         return pd.DataFrame({"gene": [key[0]], "q": [q], "n_markers": [len(one)], "pval": [mixture_tail(q, spectrum)]})
 
     kind = rows.schema["gene"].dataType.simpleString()
-    return single.groupBy("gene").cogroup(cross.groupBy("gene")).applyInPandas(tested, f"gene {kind}, q double, n_markers int, pval double")
+    return single.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, q double, n_markers int, pval double")
 
 
 def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataFrame, y: str, x: list[str]) -> DataFrame:
@@ -176,7 +176,7 @@ def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataF
     single = z.groupBy("gene", "marker").agg(F.array(*[F.sum(F.col("value") * F.col(m)) for m in names]).alias("zx"))
     a = z.select("gene", "sample", F.col("marker").alias("m1"), F.col("value").alias("v1"))
     b = z.select("gene", "sample", F.col("marker").alias("m2"), F.col("value").alias("v2"))
-    cross = a.join(b, ["gene", "sample"]).where("m1 <= m2").groupBy("gene", "m1", "m2").agg(F.sum(F.col("v1") * F.col("v2")).alias("zz"))
+    cross = a.join(b, ["gene", "sample"]).where("m1 <= m2").groupBy(F.col("gene").alias("gene_"), "m1", "m2").agg(F.sum(F.col("v1") * F.col("v2")).alias("zz"))
 
     def tested(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("marker").reset_index(drop=True)
@@ -200,4 +200,4 @@ def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataF
         return pd.DataFrame({"gene": [key[0]], "beta": [u / v], "stat": [stat], "pval": [chi2_1_sf(stat)]})
 
     kind = burdens.schema["gene"].dataType.simpleString()
-    return single.groupBy("gene").cogroup(cross.groupBy("gene")).applyInPandas(tested, f"gene {kind}, beta double, stat double, pval double")
+    return single.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, beta double, stat double, pval double")
