@@ -13,7 +13,8 @@ two texts are near duplicates if the weighted Jaccard similarity of their bags i
 * Candidates: texts whose signatures agree in a whole band. Each bucket is
   compared with its most central member only, never all pairs with each other.
   Buckets that then still join several classes are compared in full across the
-  classes, which makes the rest exact.
+  classes, which makes the rest exact; there a bitmap of each bag bounds the
+  overlap of a pair from above, so pairs that can't be similar never leave the join.
 * Every candidate pair is verified on its exact bags.
 
 Texts with the same bag are one class from the start (copies), so only one text
@@ -27,11 +28,12 @@ doc_id that isn't null, if there is one. Repeated rows are copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -41,6 +43,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 CACHED = 1 << 20
+#: 64-bit words of the bitmap that bounds overlaps.
+MAP_WORDS = 32
 U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -85,6 +89,20 @@ def copies(h: np.ndarray) -> np.ndarray:
     return np.sort(np.where(nth > 0, mixed(h + nth.astype(U) * MIX_A), h))
 
 
+def bitmap(bag: np.ndarray) -> np.ndarray:
+    """One bit set for each element of a bag given by ``copies``, as signed 64-bit words."""
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[(bag >> U(40)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def may_reach(similarity: float, size_a: str, map_a: str, size_b: str, map_b: str) -> Column:
+    """False only if the bags can't have that similarity: a bit of one bag that the other lacks is an element that the other lacks."""
+    only = lambda x, y: reduce(lambda t, i: t + F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))), range(MAP_WORDS), F.lit(0))
+    shared = F.least(F.col(size_a) - only(map_a, map_b), F.col(size_b) - only(map_b, map_a))
+    return shared >= similarity * (F.col(size_a) + F.col(size_b) - shared)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two bags given by ``copies``; 1 for two empty ones."""
     both = np.sort(np.concatenate([a, b]))
@@ -139,7 +157,7 @@ def signatures(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, bag (a 128-bit hash of the whole bag), size, bands (a 64-bit key for each band)."""
+    """doc_id, bag (a 128-bit hash of the whole bag), size, bands (a 64-bit key for each band), map (its bitmap)."""
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -154,9 +172,10 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
                     keys = mixed(keys + sig[:, :, k] + STEP)
                 flat = pa.array(keys.astype(np.int64).ravel())
                 bands = pa.ListArray.from_arrays(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(b.tobytes()) for b in bags], pa.binary()), pa.array([len(b) for b in bags], pa.int32()), bands], names=["doc_id", "bag", "size", "bands"])
+                maps = pa.ListArray.from_arrays(np.arange(0, len(bags) * MAP_WORDS + 1, MAP_WORDS, dtype=np.int32), pa.array(np.concatenate([bitmap(copies(b)) for b in bags])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(b.tobytes()) for b in bags], pa.binary()), pa.array([len(b) for b in bags], pa.int32()), bands, maps], names=["doc_id", "bag", "size", "bands", "map"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(taken, "doc_id long, bag binary, size int, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(taken, "doc_id long, bag binary, size int, bands array<long>, map array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -200,7 +219,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of every document."""
     signs = written(signed(docs, text), "signatures")
-    reps = written(signs.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "bags")
+    reps = written(signs.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("map").alias("map")), "bags")
     compared = reps.where(F.col("rep").isNotNull() & (F.col("size") > 0))
     bands = written(compared.select("rep", "size", F.explode("bands").alias("band")), "bands")
     full = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -218,9 +237,10 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     # buckets that still join several classes: all pairs across the classes, which are different texts that agree in a band
     rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "size", F.coalesce("root", "rep").alias("root"))
     several = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("band")
-    left = written(rooted.join(several, "band"), "left")
-    other = left.select("band", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    rest = left.withColumnRenamed("rep", "a").join(other, "band").where((F.col("root") < F.col("root_b")) & fits(F.col("size"), F.col("size_b")))
+    left = written(rooted.join(several, "band").join(compared.select("rep", "map"), "rep"), "left")
+    other = left.select("band", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("map").alias("map_b"), F.col("root").alias("root_b"))
+    across = (F.col("root") < F.col("root_b")) & fits(F.col("size"), F.col("size_b")) & may_reach(similarity, "size", "map", "size_b", "map_b")
+    rest = left.withColumnRenamed("rep", "a").join(other, "band").where(across)
     tested = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     rest = rest.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).join(tested, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     rest = written(rest, "rest")
