@@ -2,7 +2,7 @@
 
 Statistics of each whole text are taken in Arrow batches; the trees are complete
 binary trees flattened into arrays, so that a batch goes down all trees at once
-in numpy. Fitting uses a bounded sample of labelled rows (``max_rows``).
+in numpy. Fitting uses a bounded sample of labelled rows (about ``max_rows``).
 
 Edge cases: a null text counts as empty, and empty texts are scored like any
 other. Several labels of one doc_id count as their mean, rounded up at 0.5. If
@@ -122,12 +122,10 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Boosted | None:
-    """Fit on at most ``max_rows`` labelled rows (the least by a hash of doc_id); only their statistics reach the driver."""
-    drawn = (
-        labels.where(learnable(F.col("doc_id")) & F.col("quality").isNotNull())
-        .groupBy("doc_id").agg(F.avg("quality").alias("q"))
-        .orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality")), "doc_id").limit(max_rows)
-    )
+    """Fit on about ``max_rows`` labelled rows, drawn by a hash of doc_id; only their statistics reach the driver."""
+    known = labels.where(learnable(F.col("doc_id")) & F.col("quality").isNotNull())
+    rate = min(1.0, max_rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 24)) / float(1 << 24) < rate).groupBy("doc_id").agg(F.avg("quality").alias("q"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y"))), "doc_id")
     rows = with_statistics(chosen, keep=["doc_id", "y"]).collect()
     if not rows:

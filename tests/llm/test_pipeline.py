@@ -18,7 +18,7 @@ def test_stages(spark):
     kept = cp.language_stage(spark, docs, SF).cache()
     scored = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert kept.columns == columns
-    assert {r["doc_id"] for r in kept.collect()} == {d for d, r in scored.items() if r["lang_pred"] != "und" and r["lang_score"] >= 0.5}
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, r in scored.items() if r["lang_pred"] != "und" and r["lang_score"] >= cp.LEAST_LANGUAGE}
 
     good = cp.quality_stage(spark, kept, SF).cache()
     scores = {r["doc_id"]: r["quality_score"] for r in quality.score(kept, quality.fit(kept, table(spark, SF, "labels"))).collect()}
