@@ -14,7 +14,7 @@ from locusloom.llm import langid, linededup, neardup, packing, quality
 from locusloom.llm.common import table, written
 
 #: Documents whose language is less sure than this are rejected, and those whose quality scores below that.
-LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
+LEAST_LANGUAGE, LEAST_QUALITY = 0.2, 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
