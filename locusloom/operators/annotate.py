@@ -113,12 +113,14 @@ def in_windows(variants: DataFrame, genes: DataFrame, padding: int = 500_000, bi
     return placed.join(windows, ["chrom", "_bin"]).where(F.col("pos").between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high")
 
 
-def conditioning_genotypes(calls: DataFrame, windows: DataFrame, samples: DataFrame) -> DataFrame:
-    """gene, sample, marker, value: 2 - allele count of the variants in each gene's window, absent counts 0."""
-    sample_rows = samples.select("sample").distinct()
-    wanted = windows.select("gene", F.col("id").alias("variant_id"))
-    every = wanted.join(sample_rows)  # the dense form is asked for: every sample has a value for every window variant
-    return every.join(calls, ["sample", "variant_id"], "left").select("gene", "sample", F.col("variant_id").cast("string").alias("marker"), (2 - F.coalesce("gt", F.lit(0))).cast("double").alias("value"))
+def conditioning_genotypes(calls: DataFrame, windows: DataFrame) -> DataFrame:
+    """gene, sample, marker, value of the calls of variants in each gene's window.
+
+    The value is minus the allele count: with an intercept in the model it stands
+    for 2 - count, and samples without the variant need no row.
+    """
+    wanted = windows.select("gene", F.col("id").alias("variant_id")).distinct()
+    return calls.join(wanted, "variant_id").select("gene", "sample", F.col("variant_id").cast("string").alias("marker"), (-F.col("gt")).cast("double").alias("value"))
 
 
 def process_annotator(rows: DataFrame, variants: DataFrame, consequences: list[str], types: dict[str, str] | None = None) -> DataFrame:

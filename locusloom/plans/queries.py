@@ -432,8 +432,8 @@ def gene_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = study.annotated(spark, sf_dir)
     common = v.where(masks.common_by_frequency("af", 1.3 * study.rare_bound(spark, sf_dir))).select("id", "chrom", "pos")
     genes = v.groupBy("gene", "chrom").agg(F.min("pos").alias("start"), (F.min("pos") + 90).alias("end"))
-    windows = annotate.in_windows(common, genes, 30, 64).select("gene", "id").distinct()
-    conditioning = windows.join(study.calls(spark, sf_dir).withColumnRenamed("variant_id", "id"), "id").select("gene", "sample", F.col("id").cast("string").alias("marker"), F.col("gt").alias("value"))
+    windows = annotate.in_windows(common, genes, 30, 64)
+    conditioning = annotate.conditioning_genotypes(study.calls(spark, sf_dir), windows)
     burdens = gene_test.collapse(study.weighted(study.carriers(spark, sf_dir)))
     return gene_test.conditional_test(burdens, conditioning, people, "y", ["nation"])
 
