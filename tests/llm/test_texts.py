@@ -106,8 +106,14 @@ def test_plan_fits(counts):
         rows += [{"sequence_id": sequence + i, "offset": offset, "length": length} for i in range(n)]
     assert ranks == counts
     n = check_packed(rows, 40)
-    # first-fit bound of decreasing heuristics
-    assert n <= 11 / 9 * -(-sum(k * v for k, v in counts.items()) // 40) * 1.4 + 1
+    room = []  # best fit, a piece at a time
+    for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+        fits = [(r, i) for i, r in enumerate(room) if r >= length]
+        if fits:
+            room[min(fits)[1]] -= length
+        else:
+            room.append(40 - length)
+    assert n == len(room)
 
 
 def test_packing_odd(spark, odd_documents, no_documents):
