@@ -167,7 +167,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector
     sums = sent.mapInArrow(sufficient, "q long, c long, s int, part long").groupBy("q", "c").agg(F.sum("part").alias("part"), F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, s))").alias("mask"))
     entries = written(sums, "entries")
     full = entries.where(F.col("n") == slices).select("q", "c", F.col("part").alias("score"))
-    exact = written(full.unionByName(seen).distinct(), "exact")
+    exact = written(full.unionByName(seen).groupBy("q", "c").agg(F.max("score").alias("score")), "exact")
     raised = best(exact, need).groupBy("q").agg(F.when(F.count("*") >= need, F.min("score")).alias("raised"))
     missing = F.aggregate(F.transform("cutoffs", lambda x, i: F.when(F.getbit("mask", i) == 0, x - 1).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
     open_ = entries.where(F.col("n") < slices).join(cutoffs, "q").join(raised, "q").where(F.col("raised").isNull() | (F.col("part") + missing >= F.col("raised")))
