@@ -21,8 +21,8 @@ Texts with the same bag are one class from the start (copies), so only one text
 of a bag is compared. A text of one to four words is one shingle of all its words.
 
 Edge cases: all texts without words, null ones too, are copies of each other.
-Rows with a null doc_id take part and form classes, but a class id is the least
-doc_id that isn't null, if there is one. Repeated rows are copies.
+A row with a null doc_id can only be a copy: it has the class of an equal bag with
+an id, else a null class. Repeated rows are copies; rows of one doc_id are one document.
 """
 
 from __future__ import annotations
@@ -252,6 +252,7 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
 
 
 def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the class id: one document of each class (of repeated rows with that id, one)."""
+    """The rows of ``docs`` whose doc_id is the class id: one document of each class. Repeated rows stay once."""
     kept = classes(docs, text, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return rows.withColumn("_text_hash", F.xxhash64(text)).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
