@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .genotype import dense_ids
+
 
 @dataclass
 class Network:
@@ -95,9 +97,10 @@ def score(rows: DataFrame, features: list[str], networks: dict[int, Network], ke
 
 def dense(burdens: DataFrame, samples: DataFrame, genes: DataFrame, networks: dict[int, Network]) -> DataFrame:
     """All samples x genes x repeats, with the empty score where there is no carrier. On request only."""
-    spark = burdens.sparkSession
-    empty = spark.createDataFrame([(r, n.empty_score()) for r, n in sorted(networks.items())], "repeat int, _empty double")
-    grid = samples.select("sample").distinct().crossJoin(genes.select("gene").distinct()).crossJoin(F.broadcast(empty))  # this grid is the result
+    indexed = dense_ids(genes.select("gene").distinct(), ["gene"], "_g", 4)
+    empty = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(n.empty_score()).alias("empty")) for r, n in sorted(networks.items())]))
+    every = samples.select("sample").distinct().withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(indexed.count() - 1))))
+    grid = every.join(indexed, "_g").select("sample", "gene", empty.alias("_e")).select("sample", "gene", "_e.repeat", F.col("_e.empty").alias("_empty"))
     return grid.join(burdens, ["sample", "gene", "repeat"], "left").select("sample", "gene", "repeat", F.coalesce("burden", "_empty").alias("burden"))
 
 

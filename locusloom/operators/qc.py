@@ -69,7 +69,7 @@ def hardy_weinberg(calls: DataFrame, n_samples: int | None = None, key: list[str
 
 def individual_missingness(samples: DataFrame, sites: DataFrame, threshold: float = 0.1) -> DataFrame:
     """sample, missingness of samples at or above the threshold. samples: sample, n_missing a file; sites: n_sites a file."""
-    total = sites.agg(F.sum("n_sites").alias("total"))
+    total = sites.agg(F.sum("n_sites").alias("total")).first()["total"] or 0
     summed = samples.groupBy("sample").agg(F.sum("n_missing").alias("n_missing"))
-    rate = summed.crossJoin(F.broadcast(total)).select("sample", (F.col("n_missing") / F.col("total")).alias("missingness"))  # one total row
+    rate = summed.select("sample", (F.col("n_missing") / F.nullif(F.lit(total), F.lit(0))).alias("missingness"))
     return rate.where(F.col("missingness") >= threshold)

@@ -623,12 +623,12 @@ def metric_r_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.r_squared(d, ["phenotype"]), "r_squared")
 
 
-@query("metric_correlation", "with r as (select p_brand as gene, abs(corr(p_size, p_retailprice)) as r from part group by 1) select round(sum(r), 6) as total, round(avg(r), 6) as mean from r")
+@query("metric_correlation", "with r as (select p_brand as gene, abs(corr(p_size, p_retailprice)) as r from part group by 1) select 'sum' as how, round(sum(r), 6) as correlation from r union all select 'mean', round(avg(r), 6) from r")
 def metric_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A23, A24."""
     d = study.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.col("p_size").cast("double").alias("b"), F.col("p_retailprice").alias("y"))
-    total, mean = metrics.abs_correlation(d, how="sum"), metrics.abs_correlation(d, how="mean")
-    return rounded(total.select(F.col("correlation").alias("total")).crossJoin(mean.select(F.col("correlation").alias("mean"))), "total", "mean")  # one row each
+    both = [metrics.abs_correlation(d, how=how).withColumn("how", F.lit(how)) for how in ("sum", "mean")]
+    return rounded(both[0].unionByName(both[1]), "correlation")
 
 
 @query("metric_average_precision", "with s as (select p_type as phenotype, p_size as p, sum(cast(p_retailprice > 1400 as int)) as pos, count(*) as n from part group by 1, 2), c as (select phenotype, pos, sum(pos) over (partition by phenotype order by p desc) as tp, sum(n) over (partition by phenotype order by p desc) as seen, sum(pos) over (partition by phenotype) as total from s) select phenotype, round(sum(pos / nullif(total, 0) * tp / seen), 6) as average_precision from c group by 1")
