@@ -32,6 +32,7 @@ MARK = "▁"
 #: Code points beyond Unicode that stand for the space mark in a text.
 LITERAL_MARK = 0x110000
 CHARS_A_BATCH = 1 << 21
+TABLE_BITS = 18
 U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -44,7 +45,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The pieces of a model: a hash table of all their prefixes, log-probabilities, and the bytes that each id decodes to."""
+    """The pieces of a model: hash tables of all their prefixes, log-probabilities, and the bytes that each id decodes to.
+
+    Made once on the driver and broadcast, so only the driver reads the model file.
+    A prefix stands in the first table, or in the next one where its slot is taken.
+    """
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -53,7 +58,7 @@ class Pieces:
         size = model.get_piece_size()
         self.bytes_of = [b""] * size
         self.byte_ids = np.zeros(256, np.int64)
-        prefixes: dict[int, int] = {}
+        plain = []
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -61,25 +66,55 @@ class Pieces:
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
-                points = np.array([ord(c) for c in piece], U)
-                h = np.zeros(1, U)
-                for k, c in enumerate(points):
-                    h = mixed(h + c + STEP)
-                    prefixes.setdefault(int(h[0]), -1)
-                    if k == len(points) - 1:
-                        prefixes[int(h[0])] = i
-        self.keys = np.array(sorted(prefixes), U)
-        self.ids = np.array([prefixes[k] for k in self.keys.tolist()], np.int64)
+                plain.append((i, piece))
+        ids, lengths = np.array([i for i, _ in plain]), np.array([len(x) for _, x in plain])
+        points = np.zeros((len(plain), lengths.max()), U)
+        for row, (_, piece) in enumerate(plain):
+            points[row, : len(piece)] = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+        keys, values, h = [], [], np.zeros(len(plain), U)
+        for k in range(points.shape[1]):
+            on = lengths > k
+            h = mixed(h + points[:, k] + STEP)
+            keys.append(h[on])
+            values.append(np.where(lengths[on] == k + 1, ids[on], -1))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.lexsort((-values, keys))  # a whole piece before a mere prefix of the same hash
+        keys, values = keys[order], values[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        keys, values = keys[first], values[first].astype(np.int32)
+        self.tables = []
+        while len(keys):
+            slots = self.slot(keys, len(self.tables))
+            table, value = np.zeros(1 << TABLE_BITS, U), np.full(1 << TABLE_BITS, -1, np.int32)
+            table[slots], value[slots] = keys, values
+            self.tables.append((table, value))
+            left = table[slots] != keys
+            keys, values = keys[left], values[left]
         rank = np.array([-model.get_score(i) if self.bytes_of[i] else 0 for i in range(size)])
         self.log_p = -alpha * np.log(2 + np.maximum(rank, 0))
         self.log_byte = -alpha * np.log(2 + size)
 
+    @staticmethod
+    def slot(h: np.ndarray, table: int) -> np.ndarray:
+        return ((h * (MIX_A + U(2 * table))) >> U(64 - TABLE_BITS)).astype(np.int64)
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is a prefix of a piece, and the id if it is a whole one (else -1)."""
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == h
-        return known, np.where(known, self.ids[at], -1)
+        at = self.slot(h, 0)
+        table, value = self.tables[0]
+        there = table[at]
+        known = there == h
+        ids = np.where(known, value[at], np.int32(-1))
+        miss = np.flatnonzero(~known & (there != 0))
+        for k, (table, value) in enumerate(self.tables[1:], 1):
+            if not len(miss):
+                break
+            at = self.slot(h[miss], k)
+            there = table[at]
+            hit = there == h[miss]
+            known[miss[hit]], ids[miss[hit]] = True, value[at[hit]]
+            miss = miss[~hit & (there != 0)]
+        return known, ids
 
 
 def units(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,27 +126,30 @@ def units(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def lattice(points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pieces: Pieces):
-    """Edges (source, target, id or -1 - position for bytes, bytes) of the concatenated units; a node before each character and at the end of each unit."""
-    unit = np.repeat(np.arange(len(begins)), sizes)
-    node = np.arange(len(points)) + unit
+def lattice(points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length, the edges (source, target, id or -1 - position for bytes) of the concatenated units.
+
+    There is a node before each character and one at the end of each unit; a
+    target has one edge of a length at most.
+    """
+    node = np.arange(len(points)) + np.repeat(np.arange(len(begins)), sizes)
     ends = np.repeat(begins + sizes, sizes)
     active, h, edges = np.arange(len(points)), np.zeros(len(points), U), []
-    single = np.zeros(len(points), bool)
+    wide = points.astype(U) + STEP
     length = 0
     while len(active):
+        h = mixed(h + wide[active + length])
         length += 1
-        h = mixed(h + points[active + length - 1].astype(U) + STEP)
         known, ids = pieces.find(h)
-        whole = ids >= 0
         if length == 1:
-            single = whole
-        edges.append((node[active[whole]], node[active[whole]] + length, ids[whole]))
-        go = known & (active + length < ends[active])
+            edges.append((node, node + 1, np.where(ids >= 0, ids, -1 - active)))
+        else:
+            whole = np.flatnonzero(ids >= 0)
+            source = node[active[whole]]
+            edges.append((source, source + length, ids[whole]))
+        go = np.flatnonzero(known & (active + length < ends[active]))
         active, h = active[go], h[go]
-    rare = np.flatnonzero(~single)
-    edges.append((node[rare], node[rare] + 1, -1 - rare))
-    return [np.concatenate(x) for x in zip(*edges, strict=True)]
+    return edges
 
 
 def utf8_size(points: np.ndarray) -> np.ndarray:
@@ -138,21 +176,33 @@ def sample(texts: list[str], keys: list[str], pieces: Pieces, seed: int) -> list
     u_sizes = lengths[chosen]
     u_begins = np.cumsum(u_sizes) - u_sizes
     u_points = flat[np.repeat(begins[chosen] - u_begins, u_sizes) + np.arange(u_sizes.sum())]
-    source, target, ids = lattice(u_points, u_begins, u_sizes, pieces)
-    rare = ids < 0
-    n_bytes = np.ones(len(ids), np.int64)
-    n_bytes[rare] = utf8_size(u_points[-1 - ids[rare]])
-    log_p = np.where(rare, pieces.log_byte * n_bytes, pieces.log_p[np.maximum(ids, 0)])
-    # forward: log-sums in order of the position inside the unit
+    passes = lattice(u_points, u_begins, u_sizes, pieces)
     nodes = len(u_points) + len(u_begins)
     unit_node = u_begins + np.arange(len(u_begins))
     depth = np.arange(nodes) - np.repeat(unit_node, u_sizes + 1)
-    order = np.lexsort((target, depth[target]))
-    source, target, ids, log_p, n_bytes = (x[order] for x in (source, target, ids, log_p, n_bytes))
+    # edges in order of the target's position inside its unit, those of a target together
+    degree = np.zeros(nodes, np.int64)
+    for _, target, _ in passes:
+        degree[target] += 1
+    by_depth = np.argsort(depth.astype(np.int16) if depth.max() < 2**15 else depth, kind="stable")
+    runs = degree[by_depth]
+    first = np.empty(nodes, np.int64)
+    first[by_depth] = np.cumsum(runs) - runs
+    target = np.repeat(by_depth, runs)
+    source, ids, place = np.empty(len(target), np.int64), np.empty(len(target), np.int64), first.copy()
+    for source_, target_, ids_ in passes:
+        to = place[target_]
+        source[to], ids[to] = source_, ids_
+        place[target_] += 1
+    rare = np.flatnonzero(ids < 0)
+    n_bytes = np.ones(len(ids), np.int64)
+    n_bytes[rare] = utf8_size(u_points[-1 - ids[rare]])
+    log_p = pieces.log_p[np.maximum(ids, 0)]
+    log_p[rare] = pieces.log_byte * n_bytes[rare]
+    # forward: log-sums in order of the position inside the unit
     alpha = np.zeros(nodes)
-    cut = np.searchsorted(depth[target], np.arange(1, depth.max() + 2))
+    cut = np.cumsum(np.bincount(depth, degree).astype(np.int64))
     chance = np.empty(len(ids))
-    first = np.zeros(nodes, np.int64)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         value, to = alpha[source[a:b]] + log_p[a:b], target[a:b]
         seg = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -161,7 +211,6 @@ def sample(texts: list[str], keys: list[str], pieces: Pieces, seed: int) -> list
         part = np.exp(value - np.repeat(most, run))
         total = np.add.reduceat(part, seg)
         alpha[to[seg]] = most + np.log(total)
-        first[to[seg]] = a + seg
         part = np.cumsum(part / np.repeat(total, run))
         chance[a:b] = part - np.repeat(np.concatenate([[0.0], part[seg[1:] - 1]]), run)
         chance[a + np.append(seg[1:], b - a) - 1] = 1.0
@@ -206,10 +255,11 @@ def sample(texts: list[str], keys: list[str], pieces: Pieces, seed: int) -> list
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0, model: str | None = None) -> DataFrame:
     """``docs`` with the sampled ids of ``text`` added as piece_ids (a column of that name is replaced)."""
     docs = docs.drop("piece_ids")
-    at, by, path = docs.columns.index(text), docs.columns.index(key), model or public_tokenizers.path(MODEL)
+    at, by = docs.columns.index(text), docs.columns.index(key)
+    sent = docs.sparkSession.sparkContext.broadcast(Pieces(model or public_tokenizers.path(MODEL), alpha))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, alpha)
+        pieces = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keys = [str(k) for k in batch.column(by).to_pylist()]
@@ -229,10 +279,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
 def decode(rows: DataFrame, ids: str = "piece_ids", model: str | None = None) -> DataFrame:
     """``rows`` with the exact text of ``ids`` added as decoded (a column of that name is replaced)."""
     rows = rows.drop("decoded")
-    at, path = rows.columns.index(ids), model or public_tokenizers.path(MODEL)
+    at = rows.columns.index(ids)
+    sent = rows.sparkSession.sparkContext.broadcast(Pieces(model or public_tokenizers.path(MODEL), 1.0).bytes_of)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Pieces(path, 1.0).bytes_of
+        parts = sent.value
         for batch in batches:
             texts = [b"".join(map(parts.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
