@@ -31,7 +31,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Code points beyond Unicode that stand for the space mark in a text.
 LITERAL_MARK = 0x110000
-CHARS_A_BATCH = 1 << 21
+CHARS_A_BATCH = 1 << 19
 TABLE_BITS = 18
 U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
