@@ -133,6 +133,6 @@ def one_hot(seq: Column | str, seed: int | None = None) -> Column:
 
 
 def substituted(seq: Column | str, alt: Column | str, strand: Column | str) -> Column:
-    """The sequence with a single-base alternative at its centre (one earlier on the minus strand); null for other alternatives."""
-    middle = (F.length(col(seq)) / 2).cast("int") + F.when(col(strand) == "-", 0).otherwise(1)
+    """The sequence with a single-base alternative as the last base of its first half (on the minus strand, the one after it); null for other alternatives."""
+    middle = (F.length(col(seq)) / 2).cast("int") + F.when(col(strand) == "-", 1).otherwise(0)
     return F.when(F.length(col(alt)) == 1, F.overlay(col(seq), col(alt), middle))

@@ -270,7 +270,7 @@ def test_scalar(spark):
     rows = df.select(scalar.splice_delta("s").alias("d"), scalar.dosage("gt").alias("gt"), *[c.alias(n) for n, c in flags.items()], scalar.strip_version("g").alias("g"), scalar.one_hot("q").alias("h"), scalar.substituted("q", F.lit("C"), F.lit("-")).alias("u")).collect()
     assert [r["d"] for r in rows] == [0.7, None] and [r["gt"] for r in rows] == [1, None]
     assert [r["Consequence_stop_gained"] for r in rows] == [1.0, 0.0] and rows[0]["g"] == "ENSG1"
-    assert rows[0]["h"] == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0]] and rows[0]["u"] == "aCgN"
+    assert rows[0]["h"] == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0]] and rows[0]["u"] == "acCN"
 
 
 def test_deepset(spark):
