@@ -1,12 +1,19 @@
 """Licence scans: sparse TF-IDF cosine to notice templates, then inheritance from the nearest directory.
 
-A header is a line that holds a licence word (``ANCHORS``). Each distinct header is
-compared with the templates by the cosine of TF-IDF vectors over the templates'
-vocabulary; a word outside it only lengthens the header's vector, at the weight
-of a word that no document has. Document frequencies of the vocabulary come from
-the whole texts of all documents. A file's own licence is its best header at or
-above the threshold; a file without one inherits that of the nearest directory, its
-own or one above, that holds a licence file (LICENSE, COPYING ...).
+Headers are lines, runs of neighbouring lines (a notice may be wrapped and stand
+behind comment marks, which hold no word) and whole licence files (LICENSE, COPYING
+...). Each distinct header is compared with the short notices by the cosine of
+TF-IDF vectors over the notices' vocabulary; a word outside it only lengthens the
+header's vector, at the weight of a word that no document has. Document frequencies
+come from the whole texts of all documents. Licence files are also compared, as
+whole texts, with whole licences (``licence_texts``), with document frequencies from
+the licence files. Only texts with a tell-tale word are compared: of each template,
+its rarest words are taken until a text without them can't reach the threshold.
+Runs have at most twice the words of the longest notice over the squared threshold.
+
+A file's own licence is its best header at or above the threshold; a file without
+one inherits that of the nearest directory, its own or one above, that holds a
+licence file.
 
 DataFrame and SQL functions only. Edge cases: a null text has no header; a null
 path has no directory and inherits nothing; several licence files of a directory
@@ -16,12 +23,16 @@ Extra columns are passed through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+import re
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-# Words that mark a line as a possible notice, and public short notices by SPDX identifier.
+# Words that mark a notice in the SQL, and public short notices by SPDX identifier.
 ANCHORS = "licen[sc]e|copyright|copying|creative commons|cc by|public domain|redistribut|without warranty"
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -49,16 +60,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
-def vocabulary() -> list[str]:
-    import re
+def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, t in templates for w in re.split(NOT_WORD, t.lower()) if w})
+
 
-    return sorted({w for _, t in TEMPLATES for w in re.split(NOT_WORD, t.lower()) if w})
+def full_texts() -> list[tuple[str, str]]:
+    """Licence and text of the whole licences in ``licence_texts``, read on the driver."""
+    return [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 
 
-def idf(docs: DataFrame, text: str) -> DataFrame:
-    """word, idf for the templates' vocabulary and, under a null word, for any other; over whole texts of all documents."""
+def idf(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """word, idf for the listed words and, under a null word, for any other; over whole texts of all ``docs``."""
     spark = docs.sparkSession
-    terms = vocabulary()
     listed = F.array(*[F.lit(w) for w in terms])
     found = docs.select(F.explode(F.array_intersect(F.split(F.lower(F.col(text)), NOT_WORD), listed)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     weight = F.log((F.lit(docs.count()) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
@@ -78,24 +91,87 @@ def counted(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
 
 
-def headers(docs: DataFrame, text: str, least: float) -> DataFrame:
-    """header (hash), licence, cosine: the best template of each distinct header line at or above ``least``."""
-    spark: SparkSession = docs.sparkSession
-    weights = written(idf(docs, text), "idf", 1)
-    templates = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(TEMPLATES)], "template int, licence string, notice string")
-    vectors = weighed(counted(templates, "template", "notice"), weights, "template").join(templates.select("template", "licence"), "template")
-    lines = marked(docs, text).select("header", "line").distinct()
-    found = weighed(counted(lines, "header", "line"), weights, "header").join(F.broadcast(vectors.withColumnRenamed("x", "y")), "word")
-    cosines = found.groupBy("header", "template", "licence").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("cosine"))
-    best = cosines.groupBy("header").agg(F.max(F.struct("cosine", "licence")).alias("b")).where(F.col("b.cosine") >= least)
-    return best.select("header", F.col("b.licence").alias("licence"), F.col("b.cosine").alias("cosine"))
+class Notices:
+    """Templates with the weights of their words over ``docs``: what can match them, and their cosines."""
+
+    def __init__(self, docs: DataFrame, text: str, templates: list[tuple[str, str]], least: float):
+        self.least, self.weights = least, written(idf(docs, text, vocabulary(templates)), "idf", 1)
+        named = docs.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, licence string, notice string")
+        self.vectors = written(weighed(counted(named, "template", "notice"), self.weights, "template").join(named.select("template", "licence"), "template"), "templates", 1)
+
+    def tells(self) -> list[str]:
+        """Words of which any text at or above ``least`` holds one: without a template's, too little of its vector is left to reach it."""
+        idfs, by, out = {r["word"]: r["idf"] for r in self.weights.collect()}, {}, set()
+        for r in self.vectors.collect():
+            by.setdefault(r["template"], []).append((idfs[r["word"]], r["x"], r["word"]))
+        for rarest in by.values():
+            lost = 0.0
+            for _, x, word in sorted(rarest, reverse=True):
+                if lost > 1 - self.least**2 + 1e-6:
+                    break
+                out.add(word)
+                lost += x * x
+        return sorted(out)
+
+    def matched(self, lines: DataFrame) -> DataFrame:
+        """header, licence, cosine: the best template of each distinct header at or above ``least``."""
+        found = weighed(counted(lines, "header", "line"), self.weights, "header").join(F.broadcast(self.vectors.withColumnRenamed("x", "y")), "word")
+        cosines = found.groupBy("header", "template", "licence").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("cosine"))
+        best = cosines.groupBy("header").agg(F.max(F.struct("cosine", "licence")).alias("b")).where(F.col("b.cosine") >= self.least)
+        return best.select("header", F.col("b.licence").alias("licence"), F.col("b.cosine").alias("cosine"))
+
+
+def holds(text: Column, tells: list[str]) -> Column:
+    return F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(tells) + ")(?![a-z0-9])")
+
+
+def joined(lines: Column, longest: int, tells: list[str] | None = None) -> Column:
+    """The first 0, 1, 2 ... lines in one, each with its number of words, as long as that is at most ``longest``.
+
+    With ``tells``, lines go backward and end at one with a tell, so that a run is made from its first tell only.
+    """
+    nothing = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
+    start = F.struct(F.array(nothing).alias("runs"), F.lit("").alias("s"), F.lit(0).alias("n"))
+
+    def longer(run: Column, line: Column) -> Column:
+        s, n = F.concat_ws(" ", *([line, run["s"]] if tells else [run["s"], line])), run["n"] + F.size(words(line))
+        n = F.when(holds(line, tells), longest + 1).otherwise(n) if tells else n
+        return F.struct(F.when(n <= longest, F.concat(run["runs"], F.array(F.struct(s.alias("s"), n.alias("n"))))).otherwise(run["runs"]).alias("runs"), s.alias("s"), n.alias("n"))
+
+    return F.aggregate(lines, start, longer, lambda run: run["runs"])
+
+
+def runs(docs: DataFrame, text: str, tells: list[str], longest: int, *keys: str) -> DataFrame:
+    """Keys and line: each line with one of ``tells``, alone and in all runs with its neighbours of up to ``longest`` words.
+
+    Lines without a word (blank, or only a comment mark) are skipped; texts without a tell aren't split.
+    """
+    lines = F.filter(F.split(F.lower(F.col(text)), "\n"), lambda line: line.rlike("[a-z0-9]"))
+    some = docs.where(holds(F.col(text), tells)).select(*keys, lines.alias("_lines"))
+
+    def around(line: Column, at: Column) -> Column:
+        before = F.reverse(F.slice("_lines", F.greatest(at - longest + 1, F.lit(1)), F.least(at, F.lit(longest))))
+        return F.when(holds(line, tells), F.struct(before.alias("before"), line.alias("line"), F.slice("_lines", at + 2, F.lit(longest)).alias("after")))
+
+    found = some.select(*keys, F.explode(F.filter(F.transform("_lines", around), lambda x: x.isNotNull())).alias("_at"))
+    found = found.select(*keys, F.col("_at.line").alias("_line"), F.size(words(F.col("_at.line"))).alias("_n"), F.explode(joined(F.col("_at.before"), longest, tells)).alias("_b"), joined(F.col("_at.after"), longest).alias("_as"))
+    found = found.select(*keys, "_line", "_n", "_b", F.explode("_as").alias("_a"))
+    size = F.col("_b.n") + F.col("_a.n")
+    return found.where((size == 0) | (size + F.col("_n") <= longest)).select(*keys, F.concat_ws(" ", "_b.s", "_line", "_a.s").alias("line"))
+
+
+def spots(keyed: DataFrame, text: str, short: Notices, full: Notices) -> DataFrame:
+    """_key, _path, header (hash), line, whole: the runs of all files, and the whole texts of licence files, that may match."""
+    tells = short.tells()
+    longest = math.ceil(2 * max(len([w for w in re.split(NOT_WORD, t.lower()) if w]) for _, t in TEMPLATES) / max(short.least, 0.1) ** 2)
+    parts = runs(keyed, text, tells, longest, "_key", "_path").withColumn("whole", F.lit(False))
+    either = sorted({*tells, *full.tells()})
+    files = keyed.where(is_holder(F.col("_path")) & holds(F.col(text), either)).select("_key", "_path", F.lower(F.col(text)).alias("line"), F.lit(True).alias("whole"))
+    return parts.unionByName(files).select("_key", "_path", F.unhex(F.md5("line")).alias("header"), "line", "whole")
 
 
-def marked(docs: DataFrame, text: str, *keys: str) -> DataFrame:
-    """Keys, header (hash) and line of each line with an anchor word; texts without one aren't split."""
-    some = docs.where(F.lower(F.col(text)).rlike(ANCHORS)).select(*keys, F.explode(F.split(text, "\n")).alias("line"))
-    line = F.lower(F.col("line"))
-    return some.where(line.rlike(ANCHORS)).select(*keys, F.unhex(F.md5(line)).alias("header"), line.alias("line"))
+def is_holder(path: Column) -> Column:
+    return F.regexp_extract(path, "[^/]*$", 0).rlike(LICENCE_FILES)
 
 
 def above(directory: Column) -> Column:
@@ -107,12 +183,15 @@ def above(directory: Column) -> Column:
 def scan(docs: DataFrame, path: str = "path", text: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` with own_licence, cosine, inherited_from, licence added (columns of these names are replaced)."""
     docs = docs.drop("own_licence", "cosine", "inherited_from", "licence")
-    known = written(headers(docs, text, least), "headers")
     keyed = docs.withColumn("_key", F.xxhash64(path, text))
-    hits = marked(keyed.withColumn("_path", F.col(path)), text, "_key", "_path").join(known, "header")
+    filed = keyed.withColumn("_path", F.col(path))
+    short, full = Notices(docs, text, TEMPLATES, least), Notices(docs.where(is_holder(F.col(path))), text, full_texts(), least)
+    found = written(spots(filed, text, short, full), "spots")
+    known = short.matched(found.select("header", "line").distinct()).unionByName(full.matched(found.where("whole").select("header", "line").distinct()))
+    hits = found.select("_key", "_path", "header").join(written(known, "headers"), "header")
     own = written(hits.groupBy("_key", "_path").agg(F.max(F.struct("cosine", "licence")).alias("_own")), "own")
     holder = F.regexp_replace("_path", "/?[^/]*$", "")
-    holders = own.where(F.regexp_extract("_path", "[^/]*$", 0).rlike(LICENCE_FILES)).groupBy(holder.alias("_above")).agg(F.max("_own").alias("_lic"))
+    holders = own.where(is_holder(F.col("_path"))).groupBy(holder.alias("_above")).agg(F.max("_own").alias("_lic"))
     directory = F.regexp_replace(path, "/?[^/]*$", "")
     distinct = docs.select(directory.alias("_dir")).where("_dir is not null").distinct()
     chain = distinct.select("_dir", F.posexplode(F.when(F.col("_dir") == "", F.array(F.lit(""))).otherwise(above(F.col("_dir")))).alias("_depth", "_above"))

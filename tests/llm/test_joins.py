@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -93,6 +94,21 @@ def test_licence_inheritance(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_runs_and_whole_files(spark):
+    """Notices without an anchor word, wrapped and commented notices, and whole licences with other names and wrapping."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    gpl = ["This program is free software: you can redistribute it and/or", "modify it under the terms of the GNU General Public License,", "version 3."]
+    texts = dict(licenses.full_texts())
+    rows = [("a/one.py", f"code\n{mit}\nmore code"), ("b/wrapped.py", "\n".join(["# Some file", "#", *[f"# {x}" for x in bsd], "", "import os"])), ("c/comment.c", "\n//\n".join(f"// {x}" for x in gpl)), ("d/words.py", gpl[0].replace(" ", "\n") + "\n" + "\n".join(gpl[1:]).replace(" ", "\n")), ("e/none.py", "We deal with software of any person\nfree of charge")]
+    rows += [(f"full/{n}/LICENSE", "Copyright (c) 2020 Somebody Else\n\n" + re.sub(r"((?:\S+\s+){14})", r"\1\n", " ".join(t.split()))) for n, t in texts.items()] + [("full/MIT/x.py", "code"), ("g/LICENSE", "Minutes of the meeting\n" * 20)]
+    rows += [(f"p/{i}.txt", f"plain words of document {i} in the usual order of the day and of the night") for i in range(60)]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: got[p]["own_licence"] for p in ("a/one.py", "b/wrapped.py", "c/comment.c", "d/words.py", "e/none.py", "g/LICENSE")} == {"a/one.py": "MIT", "b/wrapped.py": "BSD-3-Clause", "c/comment.c": "GPL-3.0", "d/words.py": "GPL-3.0", "e/none.py": None, "g/LICENSE": None}
+    assert {n: got[f"full/{n}/LICENSE"]["own_licence"] for n in texts} == {n: n for n in texts}
+    assert got["full/MIT/x.py"]["inherited_from"] == "full/MIT" and got["full/MIT/x.py"]["licence"] == "MIT"
+
+
 def test_licence_plan_is_native(spark, data):
     plan = QUERIES["op7_licenses"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
