@@ -44,7 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces: doc_id, piece, start, length, ids, sequence_id, offset."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, special=True)
 
 
 STAGES = [

@@ -26,17 +26,19 @@ from .common import partitions, written
 
 CAPACITY = 1024
 END = 2
+#: Special tokens of byte_bpe_50k.json.
+SPECIAL = {"<|endoftext|>": 50256}
 #: The tokenizer's vocabulary as ranks; ids equal those of byte_bpe_50k.json, which tests hold it against.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def encoder(path: str):
-    """The byte-level BPE of a rank file; strings of special tokens are ordinary text."""
+def encoder(path: str, special: bool = False):
+    """The byte-level BPE of a rank file. With ``special``, strings of special tokens are those tokens, as ``tokenizers`` has them by default; else ordinary text."""
     import tiktoken
 
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -45,17 +47,17 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((start, capacity) for start in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, special: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder(path, special)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(at, 256), []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.append(tokens.encode_to_numpy(text, disallowed_special=()), end).astype("<u4") if text else np.array([end], "<u4")
+                    ids = np.append(tokens.encode_to_numpy(text, allowed_special="all", disallowed_special=()), end).astype("<u4") if text else np.array([end], "<u4")
                     out += [(doc_id, k, start, n, ids[start : start + n].tobytes()) for k, (start, n) in enumerate(cut_points(len(ids), capacity))]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids"])
@@ -123,6 +125,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*[ranked[c] for c in named.columns], (F.col("_first_sequence") + F.col("_rank") - F.col("_first_rank")).alias("sequence_id"), planned["offset"])
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """Pieces of ``docs`` with their ids, sequence_id and offset."""
-    return pack(pieces(docs, capacity), capacity)
+    return pack(pieces(docs, capacity, special=special), capacity)

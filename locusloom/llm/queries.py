@@ -58,7 +58,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its digest and its place in a sequence."""
-    pieces = packing.pieces(table(spark, sf_dir, "documents"))
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), special=True)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

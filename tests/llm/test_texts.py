@@ -95,6 +95,21 @@ def test_packing_query(spark, data):
     assert n <= 1.02 * total / 1024 + 2
 
 
+def test_packing_special_tokens(spark, tmp_path):
+    """The query's and the pipeline's ids equal those of the unmodified tokenizer where texts hold special tokens."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  <|endoftext|>  z", "<|endoftext |> <|end|> <|ENDOFTEXT|>", "漢字 <|endoftext|>é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: np.array([*tokens.encode(t, add_special_tokens=False).ids, packing.END], "<u4").tobytes() for i, t in enumerate(texts)}
+    assert 50256 in np.frombuffer(want[0], "<u4")
+    assert {r["doc_id"]: bytes(r["ids"]) for r in corpus_pipeline.packing_stage(spark, docs, "").collect()} == want
+    assert {r["doc_id"]: r["ids_crc32"] for r in QUERIES["op5_packing"](spark, str(tmp_path)).collect()} == {i: zlib.crc32(b) for i, b in want.items()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 50), min_size=1))
 def test_plan_fits(counts):
