@@ -88,6 +88,14 @@ def sample_mask(phenotypes: DataFrame, genotyped: DataFrame, keep: DataFrame | N
     return rows.na.drop(subset=[*x, *(y if skip_y_na else [])])
 
 
+def levels(df: DataFrame, column: str, most: int = 1000) -> list:
+    """All values of the column in order; an error above ``most``, since each becomes a column."""
+    values = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} levels")
+    return values
+
+
 def one_hot_columns(column: str, values: list) -> list[Column]:
     return [(F.col(column) == v).cast("double").alias(f"{column}_{v}") for v in values]
 

@@ -384,7 +384,7 @@ def gene_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gene_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2, M3 for a binary phenotype, with covariates one-hot coded."""
     people = study.samples(spark, sf_dir)
-    values = [r[0] for r in people.select("segment").distinct().orderBy("segment").limit(64).collect()][1:]
+    values = transform.levels(people, "segment")[1:]
     coded = people.select("sample", "y_binary", "nation", *transform.one_hot_columns("segment", values))
     x = ["nation", *[f"segment_{v}" for v in values]]
     return gene_test.score_test(gene_test.collapse(study.weighted(study.carriers(spark, sf_dir))), null_model.fit(coded, "y_binary", x), coded)

@@ -351,3 +351,17 @@ def test_order_and_partitions_do_not_matter(study):
     one = {r["gene"]: r["stat"] for r in gene_test.score_test(gene_test.collapse(rows), model, samples).collect()}
     two = {r["gene"]: r["stat"] for r in gene_test.score_test(gene_test.collapse(rows.repartition(13, "marker").orderBy(F.rand(1))), model, samples.coalesce(1)).collect()}
     assert all(abs(one[k] - two[k]) < 1e-9 * max(1, abs(one[k])) for k in one)
+
+
+def test_logistic_codes_all_levels(spark, data, monkeypatch):
+    from locusloom.plans import queries
+
+    people = queries.study.samples(spark, data).withColumn("segment", F.concat(F.lit("s"), F.col("sample") % 70))
+    seen = []
+    monkeypatch.setattr(queries.study, "samples", lambda *_: people)
+    monkeypatch.setattr(queries.null_model, "fit", lambda coded, y, x: seen.extend(x))
+    monkeypatch.setattr(queries.gene_test, "score_test", lambda *_: None)
+    queries.gene_logistic(spark, data)
+    assert len(seen) == 70 and len(set(seen)) == 70
+    with pytest.raises(ValueError, match="more than 69 levels"):
+        transform.levels(people, "segment", 69)
