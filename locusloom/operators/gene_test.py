@@ -126,6 +126,13 @@ def mixture_tail(q: float, weights: np.ndarray) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def skat_statistic(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
+    """gene, q, n_markers of ``skat``, from sums alone: no gene is gathered in a task."""
+    z = rows.select("sample", "gene", "marker", "value").join(model.frame(samples), "sample")
+    single = z.groupBy("gene", "marker").agg(F.sum(F.col("value") * F.col("r")).alias("zr"))
+    return single.groupBy("gene").agg(F.sum(F.col("zr") * F.col("zr")).alias("q"), F.count("*").cast("int").alias("n_markers"))
+
+
 def skat(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
     """gene, q, n_markers, pval: variance-component test of marker values z (sample, gene, marker, value).
 

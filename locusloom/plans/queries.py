@@ -390,18 +390,22 @@ def gene_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gene_test.score_test(gene_test.collapse(study.weighted(study.carriers(spark, sf_dir))), null_model.fit(coded, "y_binary", x), coded)
 
 
+def skat_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, null_model.NullModel, DataFrame]:
+    people = study.samples(spark, sf_dir)
+    rows = study.weighted(study.carriers(spark, sf_dir)).withColumn("marker", F.col("variant_id").cast("string"))
+    return rows, null_model.fit_linear(people, "y", ["nation"]), people
+
+
 @query("gene_skat_statistic", f"with {STUDY}, {NULL}, z as (select gene, variant_id, sum(value * r) as zr from vals join res using (sample) group by 1, 2) select gene, count(*)::int as n_markers, round(sum(zr * zr) / 1e6, 4) as q from z group by 1")
 def gene_skat_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9, the statistic."""
-    return gene_skat(spark, sf_dir).select("gene", "n_markers", F.round(F.col("q") / 1e6, 4).alias("q"))
+    return gene_test.skat_statistic(*skat_inputs(spark, sf_dir)).select("gene", "n_markers", F.round(F.col("q") / 1e6, 4).alias("q"))
 
 
 @query("gene_skat")
 def gene_skat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9."""
-    people = study.samples(spark, sf_dir)
-    rows = study.weighted(study.carriers(spark, sf_dir)).withColumn("marker", F.col("variant_id").cast("string"))
-    return gene_test.skat(rows, null_model.fit_linear(people, "y", ["nation"]), people)
+    return gene_test.skat(*skat_inputs(spark, sf_dir))
 
 
 @query("gene_allele_counts", f"with {STUDY} select gene, round(sum(gt) / (2.0 * (select n from n)), 9) as caf, round(sum(gt) / (2.0 * (select n from n)) * (select count(*) from customer where c_acctbal < 0), 6) as eac from carriers group by 1")

@@ -365,3 +365,16 @@ def test_logistic_codes_all_levels(spark, data, monkeypatch):
     assert len(seen) == 70 and len(set(seen)) == 70
     with pytest.raises(ValueError, match="more than 69 levels"):
         transform.levels(people, "segment", 69)
+
+
+def test_skat_statistic_gathers_no_gene(spark, data, study):
+    from locusloom.plans import queries
+
+    plan = queries.gene_skat_statistic(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "CoGroup" not in plan
+    *_, samples, rows = study
+    model = null_model.fit_linear(samples, "y", ["x1", "x2"])
+    whole = {r["gene"]: r for r in gene_test.skat(rows, model, samples).collect()}
+    sums = gene_test.skat_statistic(rows, model, samples).collect()
+    assert {r["gene"] for r in sums} == whole.keys()
+    assert all(abs(r["q"] - whole[r["gene"]]["q"]) < 1e-6 * max(1, r["q"]) and r["n_markers"] == whole[r["gene"]]["n_markers"] for r in sums)
