@@ -8,7 +8,9 @@ stays is rendered with a role header and an end mark around each turn.
 
 Edge cases: rows with a null conv_id belong to no conversation and are left out;
 a null role or text counts as empty; turns are ordered by (turn, role, text), null
-turns first; repeated rows of a conversation count once.
+turns first; repeated rows of a conversation count once. The turns of a conversation
+are one row, so a very long one is bounded by what a row can hold; its prefixes take
+16 bytes a turn. No rows: no conversations. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 HEADER, END = "<|{role}|>\n", "<|end|>\n"
 
@@ -50,7 +52,7 @@ def hashed(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[-1] for x in found], pa.binary()), pa.array([x[:-1] for x in found], pa.list_(pa.binary()))], names=["conv_id", "whole", "prefixes"])
 
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    return conversations.select("conv_id", "turns").mapInArrow(taken, f"conv_id {kind}, whole binary, prefixes array<binary>")
+    return small_batches(conversations).select("conv_id", "turns").mapInArrow(taken, f"conv_id {kind}, whole binary, prefixes array<binary>")
 
 
 def collapse(rows: DataFrame) -> DataFrame:

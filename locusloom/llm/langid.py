@@ -2,11 +2,14 @@
 
 Features are hashed byte trigrams of the whole lower-cased text, with digits and
 ASCII symbols turned into spaces. The models are fitted on a bounded sample of
-labelled rows (``max_rows``); every text is scored in Arrow batches.
+labelled rows (``max_rows``); every text is scored in Arrow batches. The score is
+the product of the least chances of the winner against another family and against
+another language of its family.
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0.
 Without a learnable row every text is ``und``. Repeated rows are scored alike.
-Columns of the input other than the text are never read for a prediction.
+Very long texts are counted in chunks. No documents: no rows. Columns of the input
+other than the text are never read for a prediction.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import learnable
+from .common import learnable, sent, slices, small_batches
 
 # Language codes by family (public classification of languages).
 FAMILIES = {
@@ -33,6 +36,7 @@ FAMILIES = {
 UNDETERMINED = "und"
 DIMS = 4096
 CHUNK = 1 << 20
+TEXTS = 512
 LETTER = regex.compile(r"\p{L}")
 #: Bytes that aren't ASCII letters or part of a longer character become spaces.
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -121,27 +125,30 @@ class Hierarchy:
         return list(langs), sure
 
 
-def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS) -> Hierarchy | None:
+def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS, max_langs: int = 256) -> Hierarchy | None:
     """Fit on about ``max_rows`` learnable rows in all, as many of each language; None without any.
 
-    Rows are drawn by a hash of doc_id, so only their feature vectors (2 bytes a
-    dimension: 48 MB at the default) reach the driver.
+    Rows are drawn by a hash of doc_id and text, and equal vectors count once, so
+    only ``max_rows`` feature vectors or so (2 bytes a dimension: 48 MB at the
+    default) reach the driver. Beyond the ``max_langs`` most frequent values of
+    lang, others aren't learned.
     """
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
     if not counts:
         return None
-    each = max_rows // len(counts)
+    each = max_rows / len(counts)
     rate = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, each / n))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 24)) / float(1 << 24) < rate[F.col("lang")]
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("langid")), F.lit(1 << 24)) / float(1 << 24) < rate[F.col("lang")]
     sample = known.where(drawn & F.col("text").rlike(r"\p{L}")).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [trigram_vector(t, dims).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
+        for whole in batches:
+            for batch, texts in slices(whole, 1, TEXTS, CHUNK):
+                rows = [trigram_vector(t, dims).astype(np.float16).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    rows = sample.mapInArrow(vectors, "lang string, x binary").collect()
+    rows = small_batches(sample).mapInArrow(vectors, "lang string, x binary").distinct().collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -151,16 +158,14 @@ def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS) -> Hierarchy |
 
 def predict(docs: DataFrame, model: Hierarchy | None, dims: int = DIMS, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and lang_score added (columns of these names are replaced)."""
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = small_batches(docs.drop("lang_pred", "lang_score"))
     at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
+        fitted = held()
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                texts = batch.column(at).to_pylist()
+            for batch, texts in slices(whole, at, TEXTS, CHUNK):
                 langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 rows = [i for i, t in enumerate(texts) if fitted and t and LETTER.search(t)]
                 if rows:

@@ -5,8 +5,9 @@ binary trees flattened into arrays, so that a batch goes down all trees at once
 in numpy. Fitting uses a bounded sample of labelled rows (about ``max_rows``).
 
 Edge cases: a null text counts as empty, and empty texts are scored like any
-other. Several labels of one doc_id count as their mean, rounded up at 0.5. If
-nothing can be learned, every score is 0.5.
+other. Several labels of one doc_id count as their mean, rounded up at 0.5. Very
+long texts are counted in chunks; repeated rows are scored alike. If nothing can be
+learned, every score is 0.5. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import learnable
+from .common import learnable, sent, slices, small_batches
 
 CHUNK = 1 << 22
+TEXTS = 1024
 KINDS = 9
 LOWER, UPPER, DIGIT, SPACE, NEWLINE, STOP, MARK, SYMBOL, WIDE = range(KINDS)
 
@@ -114,20 +116,23 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("doc_stats", T.ArrayType(T.DoubleType()))])
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=batch.schema.names)
+        for whole in batches:
+            for batch, texts in slices(whole, whole.num_columns - 1, TEXTS, CHUNK):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], names=batch.schema.names)
 
-    return kept.mapInArrow(taken, schema)
+    return small_batches(kept).mapInArrow(taken, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Boosted | None:
-    """Fit on about ``max_rows`` labelled rows, drawn by a hash of doc_id; only their statistics reach the driver."""
-    known = labels.where(learnable(F.col("doc_id")) & F.col("quality").isNotNull())
-    rate = min(1.0, max_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 24)) / float(1 << 24) < rate).groupBy("doc_id").agg(F.avg("quality").alias("q"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y"))), "doc_id")
-    rows = with_statistics(chosen, keep=["doc_id", "y"]).collect()
+    """Fit on about ``max_rows`` labelled rows, drawn by a hash of doc_id and text.
+
+    Only their statistics reach the driver; rows of one doc_id with equal ones count once.
+    """
+    known = labels.where(learnable(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    rate = min(1.0, max_rows / max(1, docs.select("doc_id").join(known, "doc_id").count()))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("quality")), F.lit(1 << 24)) / float(1 << 24) < rate
+    chosen = docs.select("doc_id", "text").where(drawn).join(known, "doc_id")
+    rows = with_statistics(chosen, keep=["doc_id", "y"]).distinct().collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["doc_stats"]))
@@ -136,15 +141,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Boosted |
 
 def score(docs: DataFrame, model: Boosted | None, text: str = "text") -> DataFrame:
     """``docs`` with quality_score added (a column of that name is replaced)."""
-    docs = docs.drop("quality_score")
+    docs = small_batches(docs.drop("quality_score"))
     at = docs.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(STATISTICS))
-            scores = np.concatenate([np.zeros(0), *(fitted.predict(x[i : i + 2048]) if fitted else np.full(len(x[i : i + 2048]), 0.5) for i in range(0, len(x), 2048))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])
+        fitted = held()
+        for whole in batches:
+            for batch, texts in slices(whole, at, TEXTS, CHUNK):
+                scores = fitted.predict(np.array([statistics(t) for t in texts])) if fitted else np.full(len(texts), 0.5)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
