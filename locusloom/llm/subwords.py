@@ -1,10 +1,10 @@
 """Sampled segmentation over a SentencePiece lattice, and lossless decoding.
 
 Pieces never run over a space or line end, so a text falls into units (spaces and
-the word after them). For each distinct unit of a batch the lattice of its pieces
-is forward-filtered once (log-sum of all paths to each position); each occurrence
-then samples its pieces backward, all occurrences of a batch at once. The random
-numbers are hashes of the seed, the row key, the unit's place and the step, so a
+the word after them). For each distinct unit the lattice of its pieces is
+forward-filtered once (log-sum of all paths to each position) and kept in a bounded
+table; each occurrence then samples its pieces backward, all occurrences of a batch
+at once. The random numbers are hashes of the seed, the row key, the unit's place and the step, so a
 row's segmentation is the same wherever and whenever it is made.
 
 The log-probability of a piece is -alpha log(2 + rank), with its merge rank from
@@ -12,7 +12,8 @@ the model. A character without a piece, and the space mark itself where it stand
 in a text, is encoded by its UTF-8 bytes; so decoding gives back the exact text.
 
 Edge cases: a null text counts as empty and has no pieces; a null key is a key
-like any other. Very long texts are handled as a batch of their own.
+like any other; repeated rows (equal key and text) have equal segmentations. Very
+long texts are handled as a batch of their own. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +25,19 @@ import public_tokenizers
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sent, slices, small_batches
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Code points beyond Unicode that stand for the space mark in a text.
 LITERAL_MARK = 0x110000
 CHARS_A_BATCH = 1 << 19
+#: Edges of lattices that a worker keeps: 17 bytes each.
+KEPT_EDGES = 1 << 20
+#: Ids decoded at once.
+IDS_A_BATCH = 1 << 18
 TABLE_BITS = 18
 U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -127,7 +133,7 @@ def units(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def lattice(points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length, the edges (source, target, id or -1 - position for bytes) of the concatenated units.
+    """For each length, the edges (source, target, id or -1 - code point for bytes) of the concatenated units.
 
     There is a node before each character and one at the end of each unit; a
     target has one edge of a length at most.
@@ -142,7 +148,7 @@ def lattice(points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pieces: P
         length += 1
         known, ids = pieces.find(h)
         if length == 1:
-            edges.append((node, node + 1, np.where(ids >= 0, ids, -1 - active)))
+            edges.append((node, node + 1, np.where(ids >= 0, ids, -1 - points.astype(np.int64))))
         else:
             whole = np.flatnonzero(ids >= 0)
             source = node[active[whole]]
@@ -157,29 +163,11 @@ def utf8_size(points: np.ndarray) -> np.ndarray:
     return 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
 
 
-def sample(texts: list[str], keys: list[str], pieces: Pieces, seed: int) -> list[np.ndarray]:
-    """Sampled piece ids of each text."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    sizes = np.array([len(p) for p in points])
-    flat = np.concatenate(points) if points else np.zeros(0, np.uint32)
-    if not len(flat):
-        return [np.zeros(0, np.int32) for _ in texts]
-    flat = np.where(flat == ord(MARK), np.uint32(LITERAL_MARK), np.where(flat == 32, np.uint32(ord(MARK)), flat))
-    starts = np.cumsum(sizes) - sizes
-    begins = units(flat, starts[sizes > 0])
-    lengths = np.diff(np.append(begins, len(flat)))
-    text_of = np.flatnonzero(sizes > 0)[np.searchsorted(starts[sizes > 0], begins, "right") - 1]
-    # distinct units by a 64-bit hash of their characters and places
-    inside = np.arange(len(flat)) - np.repeat(begins, lengths)
-    ident = np.add.reduceat(mixed(flat.astype(U) + (inside.astype(U) + U(1)) * STEP), begins)
-    _, chosen, which = np.unique(ident, return_index=True, return_inverse=True)
-    u_sizes = lengths[chosen]
-    u_begins = np.cumsum(u_sizes) - u_sizes
-    u_points = flat[np.repeat(begins[chosen] - u_begins, u_sizes) + np.arange(u_sizes.sum())]
-    passes = lattice(u_points, u_begins, u_sizes, pieces)
-    nodes = len(u_points) + len(u_begins)
-    unit_node = u_begins + np.arange(len(u_begins))
-    depth = np.arange(nodes) - np.repeat(unit_node, u_sizes + 1)
+def filtered(points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
+    """The forward-filtered lattice of concatenated units: first edge of each node, and of the edges (together by target) source, id, chance and number of ids."""
+    passes = lattice(points, begins, sizes, pieces)
+    nodes = len(points) + len(begins)
+    depth = np.arange(nodes) - np.repeat(begins + np.arange(len(begins)), sizes + 1)
     # edges in order of the target's position inside its unit, those of a target together
     degree = np.zeros(nodes, np.int64)
     for _, target, _ in passes:
@@ -196,7 +184,7 @@ def sample(texts: list[str], keys: list[str], pieces: Pieces, seed: int) -> list
         place[target_] += 1
     rare = np.flatnonzero(ids < 0)
     n_bytes = np.ones(len(ids), np.int64)
-    n_bytes[rare] = utf8_size(u_points[-1 - ids[rare]])
+    n_bytes[rare] = utf8_size(-1 - ids[rare])
     log_p = pieces.log_p[np.maximum(ids, 0)]
     log_p[rare] = pieces.log_byte * n_bytes[rare]
     # forward: log-sums in order of the position inside the unit
@@ -211,81 +199,166 @@ def sample(texts: list[str], keys: list[str], pieces: Pieces, seed: int) -> list
         part = np.exp(value - np.repeat(most, run))
         total = np.add.reduceat(part, seg)
         alpha[to[seg]] = most + np.log(total)
-        part = np.cumsum(part / np.repeat(total, run))
-        chance[a:b] = part - np.repeat(np.concatenate([[0.0], part[seg[1:] - 1]]), run)
-        chance[a + np.append(seg[1:], b - a) - 1] = 1.0
-    # backward: every occurrence of a unit at once
-    place = np.arange(len(begins)) - np.searchsorted(text_of, text_of)
-    row = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{k}") for k in keys], U)
-    state = mixed(row[text_of] + place.astype(U) * STEP)
-    at, occurrence = unit_node[which] + lengths, np.arange(len(begins))
-    floor = unit_node[which]
-    taken = []
-    while len(at):
-        state = mixed(state + STEP)
-        u = (state >> U(11)).astype(np.float64) * 2.0**-53
-        edge = first[at]
-        more = np.flatnonzero(chance[edge] <= u)
-        while len(more):
-            edge[more] += 1
-            more = more[chance[edge[more]] <= u[more]]
-        taken.append((occurrence, edge))
-        at = source[edge]
-        go = at > floor
-        at, occurrence, state, floor = at[go], occurrence[go], state[go], floor[go]
-    width = np.zeros(len(begins), np.int64)
-    for occ, edge in taken:
-        width[occ] += n_bytes[edge]
-    stop = np.cumsum(width)
-    out = np.zeros(int(stop[-1]), np.int32)
-    back = stop.copy()
-    for occ, edge in taken:
-        back[occ] -= n_bytes[edge]
-        whole = ids[edge] >= 0
-        out[back[occ[whole]]] = ids[edge[whole]]
-        for o, e in zip(occ[~whole].tolist(), edge[~whole].tolist(), strict=True):
-            point = int(u_points[-1 - ids[e]])
-            raw = MARK.encode() if point == LITERAL_MARK else chr(point).encode("utf-8", "surrogatepass")
-            out[back[o] : back[o] + len(raw)] = pieces.byte_ids[list(raw)]
-    per_text = np.zeros(len(texts), np.int64)
-    np.add.at(per_text, text_of, width)
-    return np.split(out, np.cumsum(per_text)[:-1])
+        chance[a:b] = part / np.repeat(total, run)
+        chance[a + np.append(seg[1:], b - a) - 1] = np.inf  # what is left falls to a node's last edge
+    return first, source, ids, chance, n_bytes
+
+
+class Sampler:
+    """Samples texts; the filtered lattices of units that it has met stay in a table of at most KEPT_EDGES edges and one batch's.
+
+    A unit's lattice depends on the unit alone, so what is kept changes no result.
+    """
+
+    def __init__(self, pieces: Pieces, seed: int):
+        self.pieces, self.seed = pieces, seed
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.end = np.zeros(0, U), np.zeros(0, np.int32)  # hashes of units in order; the last node of each
+        self.nodes = self.edges = 0
+        self.first, self.source, self.ids = (np.zeros(0, np.int32) for _ in range(3))
+        self.chance, self.n_bytes = np.zeros(0), np.zeros(0, np.int8)
+
+    @staticmethod
+    def extended(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+        if n + len(new) > len(held):
+            held = np.concatenate([held[:n], np.empty(max(n, len(new)), held.dtype)])
+        held[n : n + len(new)] = new
+        return held
+
+    def learn(self, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Adds the lattices of the units at those places of ``flat``; the last node of each."""
+        if not len(begins):
+            return np.zeros(0, np.int32)
+        starts = np.cumsum(sizes) - sizes
+        points = flat[np.repeat(begins - starts, sizes) + np.arange(sizes.sum())]
+        first, source, ids, chance, n_bytes = filtered(points, starts, sizes, self.pieces)
+        end = self.nodes + starts + np.arange(len(starts)) + sizes
+        self.first = self.extended(self.first, self.nodes, first + self.edges)
+        self.source = self.extended(self.source, self.edges, source + self.nodes)
+        self.ids, self.chance, self.n_bytes = self.extended(self.ids, self.edges, ids), self.extended(self.chance, self.edges, chance), self.extended(self.n_bytes, self.edges, n_bytes)
+        self.nodes, self.edges = self.nodes + len(first), self.edges + len(ids)
+        return end.astype(np.int32)
+
+    def sample(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
+        """Sampled piece ids of each text."""
+        points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        sizes = np.array([len(p) for p in points])
+        flat = np.concatenate(points) if points else np.zeros(0, np.uint32)
+        if not len(flat):
+            return [np.zeros(0, np.int32) for _ in texts]
+        flat = np.where(flat == ord(MARK), np.uint32(LITERAL_MARK), np.where(flat == 32, np.uint32(ord(MARK)), flat))
+        starts = np.cumsum(sizes) - sizes
+        begins = units(flat, starts[sizes > 0])
+        lengths = np.diff(np.append(begins, len(flat)))
+        text_of = np.flatnonzero(sizes > 0)[np.searchsorted(starts[sizes > 0], begins, "right") - 1]
+        # distinct units by a 64-bit hash of their characters and places
+        inside = np.arange(len(flat)) - np.repeat(begins, lengths)
+        ident = np.add.reduceat(mixed(flat.astype(U) + (inside.astype(U) + U(1)) * STEP), begins)
+        if self.edges > KEPT_EDGES:
+            self.clear()
+        order = np.argsort(ident)
+        ordered = ident[order]
+        chosen = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        times = np.diff(np.append(chosen, len(order)))
+        place = np.searchsorted(self.known, ordered[chosen])
+        old = np.zeros(len(chosen), bool)
+        old[place < len(self.known)] = self.known[place[place < len(self.known)]] == ordered[chosen[place < len(self.known)]]
+        ends = np.empty(len(chosen), np.int32)
+        ends[old] = self.end[place[old]]
+        # units that a batch has once only, most of which never come again, stay for this batch only
+        often, once = np.flatnonzero(~old & (times > 1)), np.flatnonzero(~old & (times == 1))
+        ends[often] = self.learn(flat, begins[order[chosen[often]]], lengths[order[chosen[often]]])
+        self.known, self.end = np.insert(self.known, place[often], ordered[chosen[often]]), np.insert(self.end, place[often], ends[often])
+        kept = self.nodes, self.edges
+        ends[once] = self.learn(flat, begins[order[chosen[once]]], lengths[order[chosen[once]]])
+        self.nodes, self.edges = kept
+        at = np.empty(len(begins), np.int32)
+        at[order] = np.repeat(ends, times)
+        # backward: every occurrence of a unit at once
+        place = np.arange(len(begins)) - np.searchsorted(text_of, text_of)
+        row = np.array([xxhash.xxh3_64_intdigest(f"{self.seed}:{k}") for k in keys], U)
+        state = mixed(row[text_of] + place.astype(U) * STEP)
+        occurrence, floor = np.arange(len(begins)), at - lengths.astype(np.int32)
+        width, taken = np.zeros(len(begins), np.int64), []
+        while len(at):
+            state = mixed(state + STEP)
+            u = (state >> U(11)).astype(np.float64) * 2.0**-53
+            edge = self.first[at]
+            more = np.flatnonzero(self.chance[edge] <= u)
+            while len(more):
+                u[more] -= self.chance[edge[more]]
+                edge[more] += 1
+                more = more[self.chance[edge[more]] <= u[more]]
+            count = self.n_bytes[edge]
+            width[occurrence] += count
+            taken.append((occurrence, self.ids[edge], count))
+            at = self.source[edge]
+            go = np.flatnonzero(at > floor)
+            at, occurrence, state, floor = at[go], occurrence[go], state[go], floor[go]
+        back = np.cumsum(width)
+        out = np.zeros(int(back[-1]), np.int32)
+        for occ, ids, count in taken:
+            back[occ] -= count
+            out[back[occ]] = ids  # the bytes of a character without a piece follow
+            for k in np.flatnonzero(ids < 0).tolist():
+                point, to = -1 - int(ids[k]), int(back[occ[k]])
+                raw = MARK.encode() if point == LITERAL_MARK else chr(point).encode("utf-8", "surrogatepass")
+                out[to : to + len(raw)] = self.pieces.byte_ids[list(raw)]
+        per_text = np.zeros(len(texts), np.int64)
+        np.add.at(per_text, text_of, width)
+        return np.split(out, np.cumsum(per_text)[:-1])
+
+
+def sample(texts: list[str], keys: list[str], pieces: Pieces, seed: int) -> list[np.ndarray]:
+    """Sampled piece ids of each text."""
+    return Sampler(pieces, seed).sample(texts, keys)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0, model: str | None = None) -> DataFrame:
     """``docs`` with the sampled ids of ``text`` added as piece_ids (a column of that name is replaced)."""
-    docs = docs.drop("piece_ids")
+    docs = small_batches(docs.drop("piece_ids"))
     at, by = docs.columns.index(text), docs.columns.index(key)
-    sent = docs.sparkSession.sparkContext.broadcast(Pieces(model or public_tokenizers.path(MODEL), alpha))
+    pieces = sent(docs.sparkSession, Pieces(model or public_tokenizers.path(MODEL), alpha))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sent.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            keys = [str(k) for k in batch.column(by).to_pylist()]
-            start = 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= CHARS_A_BATCH):
-                    chars, stop = chars + len(texts[stop]), stop + 1
-                ids = sample(texts[start:stop], keys[start:stop], pieces, seed)
+        sampler = Sampler(pieces(), seed)
+        for whole in batches:
+            for batch, texts in slices(whole, at, whole.num_rows, CHARS_A_BATCH):
+                ids = sampler.sample([t or "" for t in texts], [str(k) for k in batch.column(by).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], names=[*batch.schema.names, "piece_ids"])
-                start = stop
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], names=[*batch.schema.names, "piece_ids"])
 
     return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
 
 
+def joined(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """The texts of so many ids each; piece i is the ``lengths[i]`` bytes of ``flat`` from ``begins[i]`` on."""
+    n = lengths[ids]
+    stops = np.cumsum(n)
+    raw = flat[np.repeat(begins[ids] - stops + n, n) + np.arange(int(stops[-1]) if len(n) else 0)].tobytes()
+    bounds = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def decode(rows: DataFrame, ids: str = "piece_ids", model: str | None = None) -> DataFrame:
-    """``rows`` with the exact text of ``ids`` added as decoded (a column of that name is replaced)."""
-    rows = rows.drop("decoded")
+    """``rows`` with the exact text of ``ids`` added as decoded (a column of that name is replaced); null for null."""
+    rows = small_batches(rows.drop("decoded"))
     at = rows.columns.index(ids)
-    sent = rows.sparkSession.sparkContext.broadcast(Pieces(model or public_tokenizers.path(MODEL), 1.0).bytes_of)
+    parts = Pieces(model or public_tokenizers.path(MODEL), 1.0).bytes_of
+    lengths = np.array([len(x) for x in parts])
+    table = sent(rows.sparkSession, (np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, lengths))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = sent.value
-        for batch in batches:
-            texts = [b"".join(map(parts.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        held = table()
+        for whole in batches:
+            sizes, start = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0
+            while start < whole.num_rows:
+                stop = max(start + 1, start + int(np.searchsorted(np.cumsum(sizes[start:]), IDS_A_BATCH, "right")))
+                batch = whole.slice(start, stop - start)
+                texts = joined(batch.column(at).flatten().to_numpy(zero_copy_only=False), sizes[start:stop], *held)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=batch.column(at).is_null().to_numpy(zero_copy_only=False))], names=[*batch.schema.names, "decoded"])
+                start = stop
 
     return rows.mapInArrow(decoded, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
