@@ -12,9 +12,11 @@ two texts are near duplicates if the weighted Jaccard similarity of their bags i
   agree with a chance equal to the weighted Jaccard similarity.
 * Candidates: texts whose signatures agree in a whole band. Each bucket is
   compared with its most central member only, never all pairs with each other.
-  Buckets that then still join several classes are compared in full across the
-  classes, which makes the rest exact; there a bitmap of each bag bounds the
-  overlap of a pair from above, so pairs that can't be similar never leave the join.
+* Texts of buckets that then still hold several classes are joined exactly by
+  prefix filtering: in any common order of shingles, two bags at the similarity
+  share one of the first (1 - similarity) of their elements. Shingles are ordered
+  by a sketch of their counts, rarest first, so texts that agree in common
+  passages only don't meet. Size and position in the prefix bound a pair's overlap.
 * Every candidate pair is verified on its exact bags.
 
 Texts with the same bag are one class from the start (copies), so only one text
@@ -22,29 +24,32 @@ of a bag is compared. A text of one to four words is one shingle of all its word
 
 Edge cases: all texts without words, null ones too, are copies of each other.
 A row with a null doc_id can only be a copy: it has the class of an equal bag with
-an id, else a null class. Repeated rows are copies; rows of one doc_id are one document.
+an id, else a null class. Repeated rows are copies; rows of one doc_id are one
+document. Very long texts go through a batch of their own. No documents: no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import aside, discarded, sent, slices, small_batches, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5: two texts at 0.8 miss each other with a chance of 5e-5, at 0.9 of 4e-10.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-CACHED = 1 << 20
-#: 64-bit words of the bitmap that bounds overlaps.
-MAP_WORDS = 32
+#: Words whose hashes a worker keeps; texts and characters taken at once.
+CACHED, TEXTS, CHARS = 1 << 17, 128, 1 << 20
+#: Cells of the sketch of shingle counts: at most so many numbers reach the driver and go out again.
+CELL_BITS = 18
+SALTS = 16
 U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -89,20 +94,6 @@ def copies(h: np.ndarray) -> np.ndarray:
     return np.sort(np.where(nth > 0, mixed(h + nth.astype(U) * MIX_A), h))
 
 
-def bitmap(bag: np.ndarray) -> np.ndarray:
-    """One bit set for each element of a bag given by ``copies``, as signed 64-bit words."""
-    bits = np.zeros(64 * MAP_WORDS, np.uint8)
-    bits[(bag >> U(40)).astype(np.int64) % len(bits)] = 1
-    return np.packbits(bits).view(np.int64)
-
-
-def may_reach(similarity: float, size_a: str, map_a: str, size_b: str, map_b: str) -> Column:
-    """False only if the bags can't have that similarity: a bit of one bag that the other lacks is an element that the other lacks."""
-    only = lambda x, y: reduce(lambda t, i: t + F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))), range(MAP_WORDS), F.lit(0))
-    shared = F.least(F.col(size_a) - only(map_a, map_b), F.col(size_b) - only(map_b, map_a))
-    return shared >= similarity * (F.col(size_a) + F.col(size_b) - shared)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two bags given by ``copies``; 1 for two empty ones."""
     both = np.sort(np.concatenate([a, b]))
@@ -157,25 +148,23 @@ def signatures(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, bag (a 128-bit hash of the whole bag), size, bands (a 64-bit key for each band), map (its bitmap)."""
+    """doc_id, bag (a 128-bit hash of the whole bag), size, bands (a 64-bit key for each band)."""
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         seeds = mixed(np.arange(1, BANDS + 1).astype(U) * STEP)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                bags = [shingles(t, known) for t in batch.column(1).to_pylist()]
+            for batch, texts in slices(whole, 1, TEXTS, CHARS):
+                bags = [shingles(t, known) for t in texts]
                 sig = signatures(bags).reshape(len(bags), BANDS, ROWS).astype(U)
                 keys = np.broadcast_to(seeds, (len(bags), BANDS))
                 for k in range(ROWS):
                     keys = mixed(keys + sig[:, :, k] + STEP)
                 flat = pa.array(keys.astype(np.int64).ravel())
                 bands = pa.ListArray.from_arrays(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32), flat)
-                maps = pa.ListArray.from_arrays(np.arange(0, len(bags) * MAP_WORDS + 1, MAP_WORDS, dtype=np.int32), pa.array(np.concatenate([bitmap(copies(b)) for b in bags])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(b.tobytes()) for b in bags], pa.binary()), pa.array([len(b) for b in bags], pa.int32()), bands, maps], names=["doc_id", "bag", "size", "bands", "map"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(b.tobytes()) for b in bags], pa.binary()), pa.array([len(b) for b in bags], pa.int32()), bands], names=["doc_id", "bag", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(taken, "doc_id long, bag binary, size int, bands array<long>, map array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(taken, "doc_id long, bag binary, size int, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -184,15 +173,80 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        for whole in batches:
+            for batch, texts in slices(whole, 2, TEXTS, CHARS):
+                alike, last, bag = [], None, None
+                for ta, tb in zip(texts, batch.column(3), strict=True):
+                    if ta != last:  # many rows in a row share their first text
+                        last, bag = ta, copies(shingles(ta, known))
+                    alike.append(jaccard(bag, copies(shingles(tb.as_py(), known))) >= similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return small_batches(rows).select("a", "b", "ta", "tb").mapInArrow(checked, "a long, b long")
+
+
+def cells(bag: np.ndarray) -> np.ndarray:
+    return (bag >> U(64 - CELL_BITS)).astype(np.int64)
+
+
+def sketch(texts: DataFrame) -> np.ndarray:
+    """How many elements of all bags of ``texts`` (a column text) fall into each of 2^CELL_BITS cells of their hash."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        counts = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            alike, last, bag = [], None, None
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ta != last:  # many rows in a row share their first text
-                    last, bag = ta, copies(shingles(ta, known))
-                alike.append(jaccard(bag, copies(shingles(tb, known))) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            for _, held in slices(batch, 0, TEXTS, CHARS):
+                counts += np.bincount(cells(np.concatenate([copies(shingles(t, known)) for t in held])), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
+
+    rows = small_batches(texts).select("text").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for r in rows.collect():
+        counts[r["cell"]] = r["n"]
+    return counts
+
+
+def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """token, rep, size, root, at: for each text (rep, root, text) the elements of its prefix with their place in it."""
+    rarity = sent(texts.sparkSession, sketch(texts))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(checked, "a long, b long")
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        counts = rarity()
+        for whole in batches:
+            for batch, held in slices(whole, 2, TEXTS, CHARS):
+                bags, found = [copies(shingles(t, known)) for t in held], []
+                for bag in bags:
+                    n = len(bag) - math.ceil(similarity * len(bag) - 1e-9) + 1
+                    order = np.lexsort((bag, counts[cells(bag)]))  # the same order of elements in every text
+                    found.append(bag[order[:n]].astype(np.int64))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                sizes = pa.array([len(b) for b in bags], pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], sizes, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], names=["rep", "root", "size", "tokens"])
+
+    rows = small_batches(texts).select("rep", "root", "text").mapInArrow(taken, "rep long, root long, size int, tokens array<long>")
+    return rows.select("rep", "size", "root", F.posexplode("tokens").alias("at", "token"))
+
+
+def across(left: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The prefixes, written, and a, b: pairs of different classes that may have the similarity. ``left``: rep, root; ``texts``: rep, text."""
+    tokens = written(prefixes(left.join(texts, "rep"), similarity), "tokens")
+    several = tokens.groupBy("token").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("token")
+    some = tokens.join(several, "token")
+    other = some.select("token", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("at").alias("at_b"))
+    # what two bags at the similarity share at least, and what these can share at most (this element and all that follow it)
+    shared = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-9)
+    rest = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    found = some.join(other, "token").where((F.col("root") < F.col("root_b")) & (F.least("size", "size_b") >= shared) & (rest >= shared))
+    return tokens, found.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``table`` on ``key``; a key that many rows share is dealt over SALTS tasks."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return dealt.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"], "left").drop("salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,52 +261,62 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         least = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         # a root whose members found a lower label follows them
-        hooked = least.where("low < root").groupBy(F.col("root").alias("r")).agg(F.min("low").alias("to"))
-        moved = least.join(hooked, least["root"] == hooked["r"], "left").select("node", "root", F.least("low", F.coalesce("to", "low")).alias("next"))
-        jump = moved.select(F.col("node").alias("n"), F.col("next").alias("jump"))
-        after = written(moved.join(jump, moved["next"] == jump["n"]).select("node", F.col("jump").alias("root"), (F.col("jump") != F.col("root")).alias("changed")), "labels")
-        labels = after.select("node", "root")
-        if after.where("changed").isEmpty():
-            return labels
+        hooked = least.where("low < root").groupBy("root").agg(F.min("low").alias("to"))
+        moved = written(looked_up(least, "root", hooked).select("node", "root", F.least("low", F.coalesce("to", "low")).alias("next")), "moved")
+        jumps = moved.select("next").distinct().join(moved.select(F.col("node").alias("next"), F.col("next").alias("jump")), "next")
+        after = written(looked_up(moved, "next", jumps).select("node", F.col("jump").alias("root"), (F.col("jump") != F.col("root")).alias("changed")), "labels")
+        done = after.where("changed").isEmpty()
+        discarded(labels, moved)
+        if done:
+            discarded(edges)
+            return after.select("node", "root")
+        labels = after
 
 
 def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of every document."""
     signs = written(signed(docs, text), "signatures")
-    reps = written(signs.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("map").alias("map")), "bags")
+    reps = written(signs.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "bags")
     compared = reps.where(F.col("rep").isNotNull() & (F.col("size") > 0))
     bands = written(compared.select("rep", "size", F.explode("bands").alias("band")), "bands")
     full = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = written(bands.join(full, "band"), "members")
+    discarded(bands)
     # the most central member of a bucket: the one whose buckets are the fullest
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     weighed = members.join(weight, "rep")
     stars = weighed.groupBy("band").agg(F.max_by(F.struct("rep", "size"), F.struct(F.col("weight"), -F.col("rep"))).alias("star"))
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    first = members.join(stars, "band").where((F.col("rep") != F.col("star.rep")) & fits(F.col("size"), F.col("star.size")))
+    fits = F.least("size", "star.size") >= similarity * F.greatest("size", "star.size")
+    first = members.join(stars, "band").where((F.col("rep") != F.col("star.rep")) & fits)
     first = written(first.select(F.col("star.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text")).where("rep is not null")
     links = written(verified(first, wanted, similarity), "links")
     roots = components(links)
-    # buckets that still join several classes: all pairs across the classes, which are different texts that agree in a band
+    # buckets that still hold several classes: different texts that agree in a band
     rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "size", F.coalesce("root", "rep").alias("root"))
     several = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("band")
-    left = written(rooted.join(several, "band").join(compared.select("rep", "map"), "rep"), "left")
-    other = left.select("band", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("map").alias("map_b"), F.col("root").alias("root_b"))
-    across = (F.col("root") < F.col("root_b")) & fits(F.col("size"), F.col("size_b")) & may_reach(similarity, "size", "map", "size_b", "map_b")
-    rest = left.withColumnRenamed("rep", "a").join(other, "band").where(across)
-    tested = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = rest.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).join(tested, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    rest = written(rest, "rest")
-    if not rest.isEmpty():
+    left = written(rooted.join(several, "band").select("rep", "root").distinct(), "left")
+    if not left.isEmpty():
+        tokens, pairs = across(left, wanted, similarity)
+        tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = written(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
         more = written(verified(rest, wanted, similarity), "links")
         roots = components(links.unionByName(more)) if not more.isEmpty() else roots
+        discarded(tokens, rest, more)
+    discarded(members, first, links, left)
     final = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bag", F.coalesce("root", "rep").alias("class_id"))
     return signs.select("doc_id", "bag").join(final, "bag").select("doc_id", "class_id")
 
 
 def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the class id: one document of each class. Repeated rows stay once."""
-    kept = classes(docs, text, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.withColumn("_text_hash", F.xxhash64(text)).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """The rows of ``docs`` whose doc_id is the class id: one document of each class.
+
+    Of several rows with one doc_id and equal texts, the one with the least hash of all its columns stays.
+    """
+    docs, names, back = aside(docs)
+    text = names.get(text, text)
+    kept = classes(docs, text, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    whole = F.xxhash64(*[c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()])
+    one = rows.groupBy("doc_id", F.xxhash64(text).alias("_text")).agg(F.min_by(F.struct(*docs.columns), whole).alias("_row"))
+    return back(one.select("_row.*"))
