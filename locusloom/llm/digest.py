@@ -7,6 +7,9 @@ count falls into (2 bits). Likeness is one less a bounded difference score.
 
 Edge cases: null counts as empty; an empty text has the digest of all-zero
 counts. Equal texts have equal digests. Very long texts are counted in chunks.
+Repeated rows are documents of their own: rows of one doc_id follow each other in
+order of a hash of their text, equal ones in any order, which changes no result. No
+documents: no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, written
+from .common import partitions, slices, small_batches, written
 
 BUCKETS = 128
-CHUNK = 1 << 20
+CHUNK, TEXTS = 1 << 20, 512
 #: Each triplet: the first byte of a window and two of its next three.
 TRIPLETS = [(1, 2, 2654435761), (1, 3, 2246822519), (2, 3, 3266489917)]
 #: Weights of the parts of the difference score, whose sum of weights bounds it.
@@ -71,10 +74,11 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(fingerprint, batch.column(at).to_pylist()), pa.string())], names=[*batch.schema.names, "fingerprint"])
+        for whole in batches:
+            for batch, texts in slices(whole, at, TEXTS, CHUNK):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(fingerprint, texts), pa.string())], names=[*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(taken, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
+    return small_batches(docs).mapInArrow(taken, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def edited(text: str, following: str) -> str:
@@ -130,15 +134,16 @@ def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(docs: DataFrame) -> DataFrame:
     """Digests of every document, of its edited text (see ``edited``) and likeness to that and to the next document.
 
-    The next document follows in descending doc_id (null ids last, equal ids by
-    text); the first one follows the last. Documents are sorted into ranges with
-    one shuffle; only the first and last text of each range, two a partition, are
+    The next document follows in descending doc_id (null ids last, equal ids by a
+    hash of the text); the first one follows the last. Documents are sorted into
+    ranges with one shuffle, in which rows of one id and even equal rows are dealt
+    out too; only the first and last text of each range, two a partition, are
     joined across ranges. No documents: no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc(), F.col("text")]
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").desc()).sortWithinPartitions(*order)
-    parts = written(ranged.mapInArrow(chained, PART), "digests")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    order = [F.col("doc_id").desc(), F.xxhash64("text"), F.col("from")]
+    ranged = rows.withColumn("from", F.spark_partition_id()).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    parts = written(ranged.select("doc_id", "text").mapInArrow(chained, PART), "digests")
     firsts = parts.where("first").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
     ids = parts.where("first").select("part")  # one row a range, as small as the number of partitions
     following = ids.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next_part"))

@@ -17,8 +17,10 @@ licence file.
 
 DataFrame and SQL functions only. Edge cases: a null text has no header; a null
 path has no directory and inherits nothing; several licence files of a directory
-count by (cosine, then the name of the licence); repeated rows are alike.
-Extra columns are passed through.
+count by (cosine, then the name of the licence); repeated rows are alike. Of a very
+long text, only the runs around tell-tale words are compared, and as a licence file
+the whole. No documents: no rows. Extra columns are passed through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import aside, written
 
 # Words that mark a notice in the SQL, and public short notices by SPDX identifier.
 ANCHORS = "licen[sc]e|copyright|copying|creative commons|cc by|public domain|redistribut|without warranty"
@@ -182,7 +184,8 @@ def above(directory: Column) -> Column:
 
 def scan(docs: DataFrame, path: str = "path", text: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` with own_licence, cosine, inherited_from, licence added (columns of these names are replaced)."""
-    docs = docs.drop("own_licence", "cosine", "inherited_from", "licence")
+    docs, names, back = aside(docs.drop("own_licence", "cosine", "inherited_from", "licence"))
+    path, text = names.get(path, path), names.get(text, text)
     keyed = docs.withColumn("_key", F.xxhash64(path, text))
     filed = keyed.withColumn("_path", F.col(path))
     short, full = Notices(docs, text, TEMPLATES, least), Notices(docs.where(is_holder(F.col(path))), text, full_texts(), least)
@@ -198,7 +201,8 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", least: float =
     nearest = chain.join(holders, "_above").groupBy("_dir").agg(F.max_by(F.struct("_above", "_lic"), "_depth").alias("_near"))
     out = keyed.join(own.withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & keyed[path].eqNullSafe(F.col("_path")), "left").join(nearest, directory == F.col("_dir"), "left")
     mine = F.col("_own.licence")
-    return out.select(
+    out = out.select(
         *[docs[c] for c in docs.columns], mine.alias("own_licence"), F.col("_own.cosine").alias("cosine"),
         F.when(mine.isNull(), F.col("_near._above")).alias("inherited_from"), F.coalesce(mine, F.col("_near._lic.licence")).alias("licence"),
     )
+    return back(out)

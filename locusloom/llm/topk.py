@@ -19,7 +19,8 @@ suffice for any query. Queries and candidates meet in blocks on an equi-join.
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; shorter vectors count as padded with zeros; repeated rows count once, and
 of several vectors of one id the least in array order counts. Partial
-products beyond 2^61 are set to that bound. A null id takes no part.
+products beyond 2^61 are set to that bound. A null id takes no part. No vectors: no
+rows. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector
     queries = reps.join(asking.select(F.col("q").alias("rep")).distinct(), "rep")
     size = reps.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     n, width, asked = size["n"], max(1, size["width"] or 1), queries.count()
-    slices = max(1, min(slices, width))
+    slices = max(1, min(slices, width, 62))  # a bit of a long for each
     n_c, n_q = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
     need = k + 1
 
