@@ -110,6 +110,12 @@ def repeat_of(c: Column | str) -> Column:
     return F.regexp_extract(col(c), r"_(\d+)[^_]*$", 1).cast("int")
 
 
+def method_of(path: Column | str) -> Column:
+    """The fourth and third last part of a path, joined by a dash; null for a shorter path."""
+    parts = F.split(col(path), "/")
+    return F.when(F.size(parts) >= 4, F.concat_ws("-", F.try_element_at(parts, F.lit(-4)), F.try_element_at(parts, F.lit(-3))))
+
+
 def dosage(gt: Column | str) -> Column:
     """Alternative alleles of ``a/b`` or ``a|b``; null if one is missing."""
     alleles = F.split(col(gt), r"[/|]")

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import sent
 from .genotype import dense_ids
 
 
@@ -63,30 +65,32 @@ def random_network(features: int, hidden: int = 20, deep: int = 2, wide: int = 1
 def score(rows: DataFrame, features: list[str], networks: dict[int, Network], keys: tuple[str, str] = ("sample", "gene")) -> DataFrame:
     """sample, gene, repeat, burden of carriers. rows: keys, gt, features; homozygous variants count twice in a sum.
 
-    Variants are embedded in Arrow batches, pooled by an aggregation with partial
-    sums or maxima on the executors, and the pools are finished in batches again.
+    An embedding depends on the features only, so each distinct set of them is
+    embedded once, in Arrow batches, and joined to its calls. Pools are partial
+    sums or maxima on the executors, finished in batches again.
     """
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(networks)
+    held = sent(rows.sparkSession, networks)
     repeats = sorted(networks)
     width = next(iter(networks.values())).phi[-1][0].shape[1]
     key_schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    h = [f"h{r}_{i}" for r in repeats for i in range(width)]
 
     def embedded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nets = held()
         for b in batches:
-            x = b[features].to_numpy(np.float64, na_value=0.0)
-            e = np.hstack([sent.value[r].embed(x) for r in repeats])
-            yield pd.concat([b[[*keys, "gt"]], pd.DataFrame(e, columns=h, index=b.index)], axis=1)
+            x = b[features].to_numpy(np.float64)
+            yield b.assign(h=list(np.hstack([nets[r].embed(x) for r in repeats])))
 
-    e = rows.select(*keys, F.col("gt").cast("int").alias("gt"), *features).mapInPandas(embedded, f"{key_schema}, gt int, " + ", ".join(f"{c} double" for c in h))
-    pools = [F.max(c).alias(c) if networks[r].pool == "max" else F.sum(F.col(c) * F.col("gt")).alias(c) for r in repeats for c in (f"h{r}_{i}" for i in range(width))]
+    calls = rows.select(*keys, F.col("gt").cast("int").alias("gt"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    e = calls.join(calls.select(*features).distinct().mapInPandas(embedded, ", ".join(f"{f} double" for f in features) + ", h array<double>"), features)
+    part = lambda k, r: F.max(F.get("h", F.lit(k))) if networks[r].pool == "max" else F.sum(F.get("h", F.lit(k)) * F.col("gt"))
+    pools = [part(j * width + i, r).alias(f"h{r}_{i}") for j, r in enumerate(repeats) for i in range(width)]
     pooled = e.groupBy(*keys).agg(F.sum("gt").alias("n"), *pools)
 
     def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nets = held()
         for b in batches:
             for r in repeats:
-                net = sent.value[r]
+                net = nets[r]
                 x = b[[f"h{r}_{i}" for i in range(width)]].to_numpy(np.float64)
                 zero = net.embed(np.zeros((1, net.phi[0][0].shape[0])))
                 x = np.maximum(x, zero) if net.pool == "max" else x + np.maximum(0, net.pad_to - b["n"].to_numpy())[:, None] * zero
@@ -114,6 +118,12 @@ def linear_score(rows: DataFrame, weights: dict[str, float], bias: float = 0.0,
     return scored.groupBy("sample", "gene").agg((-how if negate else how).alias("burden"))
 
 
+def linear_heads(rows: DataFrame, weights: dict[str, float], samples: DataFrame, heads: dict[str, tuple[DataFrame, dict[str, float], float]], bias: float = 0.0, **options) -> DataFrame:
+    """phenotype, sample, prediction of a linear score under one head a phenotype: its gene weights, covariate weights and bias."""
+    scores = linear_score(rows, weights, bias, **options)
+    return reduce(DataFrame.unionByName, [phenotype_head(scores, samples, genes, covariates, b).withColumn("phenotype", F.lit(name)) for name, (genes, covariates, b) in heads.items()])
+
+
 def average(burdens: DataFrame, repeats: list[int] | None = None, how: str = "mean") -> DataFrame:
     """sample, gene, burden: mean or max over the repeats."""
     if how not in ("mean", "max"):
@@ -173,22 +183,22 @@ def train(rows: DataFrame, targets: DataFrame, features: list[str], network: Net
     sizes = [a.size for a in flat]
     n = gathered.count()
     for epoch in range(1, epochs + 1):
-        sent = rows.sparkSession.sparkContext.broadcast(network)
+        held = sent(rows.sparkSession, network)
 
         def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            net, total, loss = sent.value, None, 0.0
+            net, total = held(), None
             for b in batches:
                 for set_, y in zip(b["set"], b["y"], strict=True):
-                    g, e = sample_gradient(net, set_, y)
+                    g = np.append(*sample_gradient(net, set_, y))
                     total = g if total is None else total + g
-                    loss += e
             if total is not None:
-                yield pd.DataFrame({"g": [total.tolist()], "loss": [loss]})
+                yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "v": total})
 
-        parts = gathered.mapInPandas(gradients, "g array<double>, loss double")
-        row = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-        history.append(parts.agg(F.sum("loss")).first()[0] / n)
-        grad = np.split(np.array([r["v"] for r in row]) / n, np.cumsum(sizes)[:-1])
+        # a row for each weight and one for the loss, from one job
+        row = gathered.mapInPandas(gradients, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+        *summed, loss = (r["v"] / n for r in row)
+        history.append(loss)
+        grad = np.split(np.array(summed), np.cumsum(sizes)[:-1])
         for k, a in enumerate(flat):
             g = grad[k].reshape(a.shape)
             moment[k] = 0.9 * moment[k] + 0.1 * g

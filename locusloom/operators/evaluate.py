@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from .checks import CheckFailed, checked_join
+from .checks import CheckFailed, checked_join, require_same_rows, require_unique
+from .genotype import dense_ids
 from .masks import eac_filter
 from .multitest import combine, correct, genomic_inflation, qq_points
 from .transform import standardize, transform_y, union_all
 
 
+# The two types of discovery.
+NEW, BASELINE = "New discovery", "Baseline"
+
+
 def load_baseline(results: DataFrame, method: str, least_eac: float = 50, alpha: float = 0.05, correction: str = "FDR") -> DataFrame:
     """Rows of a baseline with enough expected alleles and a p-value, labelled and corrected."""
     rows = eac_filter(results, least_eac, inclusive=True).where(F.col("pval").isNotNull())
-    return correct(rows, correction, alpha).withColumn("Method", F.lit(method)).withColumn("Discovery type", F.lit("Baseline"))
+    return correct(rows, correction, alpha).withColumn("Method", F.lit(method)).withColumn("Discovery type", F.lit(BASELINE))
 
 
 def combine_results(network: DataFrame, baselines: list[DataFrame], alpha: float = 0.05, correction: str = "FDR", combination: str = "bonferroni") -> DataFrame:
     """All results with a combined baseline, corrected for each method; the combined rows have no effect size."""
-    found = network.withColumn("Method", F.lit("network")).withColumn("Discovery type", F.lit("New discovery"))
+    found = network.withColumn("Method", F.lit("network")).withColumn("Discovery type", F.lit(NEW))
     out = [found]
     if baselines:
         rows = union_all(baselines)
@@ -30,19 +37,26 @@ def combine_results(network: DataFrame, baselines: list[DataFrame], alpha: float
     return correct(tests, correction, alpha, ["Method"]).withColumn("-log10pval", scalar.minus_log10("pval"))
 
 
-def process_results(results: DataFrame, alpha: float = 0.05, correction: str = "FDR", repeats: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(significant, all) results of the named repeats; raises if a gene of a phenotype and model has several rows."""
+def process_results(results: DataFrame, baselines: list[DataFrame] | None = None, alpha: float = 0.05, correction: str = "FDR", combination: str = "bonferroni", repeats: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(significant, all) rows: a network's results of the named repeats with the baselines and their combination.
+
+    Raises if a gene of a phenotype has several results of the network. A
+    significant gene of a phenotype and method stands once (see ``ranked``).
+    """
     rows = results.where(scalar.repeat_of("model").isin(repeats)) if repeats else results
-    if not rows.groupBy("phenotype", "gene", "model").count().where("count > 1").isEmpty():
-        raise CheckFailed("a gene has several results of one model")
-    every = correct(rows, correction, alpha, ["phenotype", "model"])
+    if not rows.groupBy("phenotype", "gene").count().where("count > 1").isEmpty():
+        raise CheckFailed("a gene has several results of the network")
+    every = combine_results(rows, baselines or [], alpha, correction, combination)
+    every = every if "beta" in every.columns else every.withColumn("beta", F.lit(None).cast("double"))
+    every = every.select("phenotype", "gene", "Method", "Discovery type", "beta", "pval", "-log10pval", "pval_corrected", "significant")
     return ranked(every.where("significant")), every
 
 
 def ranked(significant: DataFrame) -> DataFrame:
-    """By phenotype, method and corrected p where those columns exist, smallest first."""
-    order = [c for c in ("phenotype", "Method", "pval_corrected") if c in significant.columns]
-    return significant.orderBy(*order, *(["gene"] if "gene" in significant.columns else []))
+    """Ordered by phenotype, gene, method, baselines before new discoveries (no type last) and p; the first row of each phenotype, gene and method."""
+    kind = F.when(F.col("Discovery type") == BASELINE, 0).when(F.col("Discovery type") == NEW, 1).otherwise(2)
+    first = F.row_number().over(Window.partitionBy("phenotype", "gene", "Method").orderBy(kind, "pval"))
+    return significant.withColumn("_n", first).where("_n = 1").drop("_n").orderBy("phenotype", "gene", "Method", kind, "pval")
 
 
 def seed_genes(results: DataFrame, alpha: float = 0.05, correction: str = "Bonferroni", least: int = 3, most: int | None = None, min_eac: float | None = None, below: float | None = None) -> DataFrame:
@@ -98,33 +112,59 @@ def with_phenotype(burdens: DataFrame, samples: DataFrame) -> DataFrame:
     return joined
 
 
-def combine_folds(folds: list[DataFrame], x: list[str], y: str, how: str | None = None) -> DataFrame:
-    """Held-out samples of all folds, x standardised and y transformed anew over the union; raises if a sample is held out twice."""
-    rows = union_all(folds)
+def with_simulated(samples: DataFrame, simulated: DataFrame, y: str = "y") -> DataFrame:
+    """Samples with a simulated phenotype in place of ``y``; null where a sample has none, raises on repeated samples."""
+    return checked_join(samples.drop(y), simulated.select("sample", y), ["sample"], "left", "1:1")
+
+
+def aligned(tables: list[DataFrame], key: str = "sample") -> list[DataFrame]:
+    """The tables themselves; raises unless all hold the same samples, once each."""
+    for other in tables:
+        require_same_rows(tables[0].select(key), require_unique(other, [key], "a fold's table").select(key), [key], [])
+    return tables
+
+
+def combine_folds(folds: list[DataFrame | list[DataFrame]], x: list[str], y: str, how: str | None = None) -> DataFrame:
+    """Held-out samples of all folds, x standardised and y transformed anew over the union.
+
+    A fold is a table, or several (burdens, covariates, phenotype) that must hold
+    the same samples. Raises if they don't, or if a sample is held out twice.
+    """
+    joined = [f if isinstance(f, DataFrame) else reduce(lambda a, b: a.join(b, "sample"), aligned(f)) for f in folds]
+    rows = union_all(joined)
     if not rows.groupBy("sample").count().where("count > 1").isEmpty():
         raise CheckFailed("a sample is held out by several folds")
     return transform_y(standardize(rows, x), y, how)
 
 
+def seeded(seed: int, key: str = "sample") -> Column:
+    """A seeded order of samples: the first 32 bits of an MD5 digest."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def bagged(samples: DataFrame, share: float, seed: int, replace: bool = False) -> tuple[DataFrame, DataFrame]:
     """(training, validation) samples of one bag: drawn by a seeded hash (or with replacement), and those not drawn."""
     if replace:
         drawn = samples.sample(True, share, seed)
         return drawn, samples.join(drawn.select("sample").distinct(), "sample", "left_anti")
-    u = F.pmod(F.xxhash64(F.lit(seed), "sample"), F.lit(1 << 30)) / float(1 << 30)
-    return samples.where(u < share), samples.where(u >= share)
+    bound = int(share * (1 << 32))
+    return samples.where(seeded(seed) < bound), samples.where(seeded(seed) >= bound)
 
 
 def upsampled(samples: DataFrame, y: str, seed: int = 0) -> DataFrame:
-    """The minority class repeated until both are about as large; no collect but of the two counts."""
-    counts = {r[y]: r["count"] for r in samples.where(F.col(y).isNotNull()).groupBy(y).count().collect()}
+    """The smaller of two classes repeated until it is as large as the other; no collect but of the two counts.
+
+    Rows of it come the same number of times, the first few in a seeded order once more.
+    """
+    counts = {r[y]: r["count"] for r in samples.where(F.col(y).isNotNull()).groupBy(y).count().limit(3).collect()}
     if len(counts) != 2:
         return samples
     (few, a), (_, b) = sorted(counts.items(), key=lambda kv: kv[1])
-    times = F.lit(b // a) + (F.pmod(F.xxhash64(F.lit(seed), "sample"), F.lit(a)) < b % a).cast("int")
-    return samples.withColumn("_t", F.when(F.col(y) == few, times).otherwise(1)).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_t")))).drop("_t")
+    small = dense_ids(samples.where(F.col(y) == few), [seeded(seed), "sample"], "_i")
+    small = small.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(b // a) + (F.col("_i") < b % a).cast("int")))).drop("_t", "_i")
+    return samples.where((F.col(y) != few) | F.col(y).isNull()).unionByName(small)
 
 
 def shuffled_index(samples: DataFrame, seed: int = 0) -> DataFrame:
     """A running index of each phenotype's samples in a seeded random order."""
-    return samples.withColumn("index", F.row_number().over(Window.partitionBy("phenotype").orderBy(F.xxhash64(F.lit(seed), "sample"), "sample")) - 1)
+    return samples.withColumn("index", F.row_number().over(Window.partitionBy("phenotype").orderBy(seeded(seed), "sample")) - 1)

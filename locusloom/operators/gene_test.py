@@ -8,22 +8,29 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..functions.distributions import chi2_1_sf, chi2_sf, t_pvalue
-from .null_model import NullModel, complete, design, products
+from .null_model import NullModel, complete, design, fit_linear, products
 
 
 def collapse(rows: DataFrame, method: str = "sum", value: str = "value") -> DataFrame:
     """sample, gene, b: max, sum or binary burden of weighted variants."""
+    return collapse_several(rows, {"b": method}, value)
+
+
+def collapse_several(rows: DataFrame, methods: dict[str, str], value: str = "value") -> DataFrame:
+    """sample, gene and one burden a method (name -> method), from one aggregation."""
     how = {"sum": F.sum(value), "max": F.max(value), "binary": (F.sum(value) > 0).cast("double")}
-    if method not in how:
-        raise ValueError(f"unknown collapse {method!r}")
-    return rows.groupBy("sample", "gene").agg(how[method].alias("b"))
+    if unknown := set(methods.values()) - set(how):
+        raise ValueError(f"unknown collapse {unknown}")
+    return rows.groupBy("sample", "gene").agg(*[how[m].alias(name) for name, m in methods.items()])
 
 
 def quadratic(sums: list[Column], inverse: tuple[tuple[float, ...], ...]) -> Column:
@@ -70,7 +77,7 @@ def ols_test(burdens: DataFrame, model: NullModel, samples: DataFrame) -> DataFr
 
 def expected_allele_count(rows: DataFrame, n_samples: int, n_cases: int, value: str = "gt") -> DataFrame:
     """gene, caf, eac: summed allele frequency of a gene's variants, times the number of cases."""
-    caf = F.sum(value) / F.lit(2.0 * n_samples)
+    caf = F.sum(value) / F.nullif(F.lit(2.0 * n_samples), F.lit(0.0))
     return rows.groupBy("gene").agg(caf.alias("caf")).withColumn("eac", F.col("caf") * F.lit(n_cases))
 
 
@@ -133,13 +140,21 @@ def skat_statistic(rows: DataFrame, model: NullModel, samples: DataFrame) -> Dat
     return single.groupBy("gene").agg(F.sum(F.col("zr") * F.col("zr")).alias("q"), F.count("*").cast("int").alias("n_markers"))
 
 
-def skat(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
+#: Genes with more markers aren't tested: a gene's matrix of 5000 markers takes 200 MB in one task.
+MAX_MARKERS = 5000
+
+
+def skat(rows: DataFrame, model: NullModel, samples: DataFrame, max_markers: int = MAX_MARKERS) -> DataFrame:
     """gene, q, n_markers, pval: variance-component test of marker values z (sample, gene, marker, value).
 
     Cross products of markers come from a self join on (gene, sample), so only
     pairs that share a carrier exist; one gene's small matrix is built in its
-    group. Genes are tested each on their own.
+    group. Genes are tested each on their own. A gene of more than ``max_markers``
+    markers has its q, from sums alone, and a null p.
     """
+    many = rows.select("gene", "marker").distinct().groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") > max_markers).select("gene")
+    large = skat_statistic(rows.join(many, "gene", "left_semi"), model, samples).withColumn("pval", F.lit(None).cast("double"))
+    rows = rows.join(many, "gene", "left_anti")
     frame = model.frame(samples)
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in model.x]]
     z = rows.select("sample", "gene", "marker", "value").join(frame, "sample")
@@ -162,7 +177,36 @@ def skat(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
         return pd.DataFrame({"gene": [key[0]], "q": [q], "n_markers": [len(one)], "pval": [mixture_tail(q, spectrum)]})
 
     kind = rows.schema["gene"].dataType.simpleString()
-    return single.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, q double, n_markers int, pval double")
+    return single.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, q double, n_markers int, pval double").unionByName(large)
+
+
+def ols_phenotypes(burdens: DataFrame, samples: DataFrame, phenotypes: list[str], x: list[str]) -> DataFrame:
+    """phenotype, gene, beta, t, pval: ``ols_test`` of each of several phenotypes on the same burdens."""
+    parts = [ols_test(burdens, fit_linear(samples, y, x), samples).withColumn("phenotype", F.lit(y)) for y in phenotypes]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def seed_tests(rows: DataFrame, model: NullModel, samples: DataFrame, classes: dict[str, Column], least_weight: float = 0.0, min_mac: int = 10, max_markers: int = MAX_MARKERS, collapse_method: str = "binary", homozygotes_once: bool = False) -> DataFrame:
+    """gene, vtype, ttype, stat, pval, EAC, n_QV: burden and variance-component tests of each class of variants.
+
+    rows: sample, gene, variant_id, gt, weight and what ``classes`` (name -> rows of
+    it) reads. Variants qualify with at least ``least_weight``; a call counts as gt
+    times the root of the weight. Genes of ``max_markers`` qualifying variants or
+    more have null p-values and statistics; variants of at most ``min_mac`` alleles
+    are one marker of the variance-component test.
+    """
+    n_cases, out = case_count(samples, model.y), []
+    for name, belongs in classes.items():
+        chosen = rows.where(belongs & (F.col("weight") >= least_weight))
+        counts = chosen.groupBy("gene").agg(F.count_distinct("variant_id").alias("n_QV")).join(expected_allele_count(chosen, model.n, n_cases).select("gene", F.col("eac").alias("EAC")), "gene")
+        few = counts.where(F.col("n_QV") < max_markers).select("gene")
+        gt = scalar.homozygotes_once("gt", homozygotes_once)
+        valued = chosen.join(few, "gene", "left_semi").withColumn("value", gt * F.sqrt("weight"))
+        burden = score_test(collapse(valued, collapse_method), model, samples).select("gene", "stat", "pval", F.lit("burden").alias("ttype"))
+        component = skat(collapse_ultra_rare(valued, min_mac), model, samples, max_markers).select("gene", F.col("q").alias("stat"), "pval", F.lit("skat").alias("ttype"))
+        kinds = counts.withColumn("ttype", F.explode(F.array(F.lit("burden"), F.lit("skat")))).withColumn("vtype", F.lit(name))
+        out.append(kinds.join(burden.unionByName(component), ["gene", "ttype"], "left"))
+    return reduce(DataFrame.unionByName, out).select("gene", "vtype", "ttype", "stat", "pval", "EAC", "n_QV")
 
 
 def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataFrame, y: str, x: list[str]) -> DataFrame:

@@ -107,10 +107,10 @@ def padded(genotypes: DataFrame, width: int, pad: int = -1) -> DataFrame:
 
 
 def allele_frequency(calls: DataFrame, variants: DataFrame, n_samples: int, skip_id_zero: bool = False) -> DataFrame:
-    """id, af = sum(gt) / 2n of every variant id, 0 without a call. ``skip_id_zero``: id 0 is never counted."""
+    """id, af = sum(gt) / 2n of every variant id, 0 without a call, null without samples. ``skip_id_zero``: id 0 is never counted."""
     counted = calls.where("variant_id > 0") if skip_id_zero else calls
     sums = counted.groupBy(F.col("variant_id").alias("id")).agg(F.sum("gt").alias("ac"))
-    return variants.select("id").join(sums, "id", "left").select("id", (F.coalesce("ac", F.lit(0)) / F.lit(2.0 * n_samples)).alias("af"))
+    return variants.select("id").join(sums, "id", "left").select("id", (F.coalesce("ac", F.lit(0)) / F.nullif(F.lit(2.0 * n_samples), F.lit(0.0))).alias("af"))
 
 
 def calls_per_sample(calls: DataFrame, samples: DataFrame) -> DataFrame:

@@ -53,6 +53,12 @@ def explode_genes(df: DataFrame, genes: str = "gene_ids", gene: str = "gene") ->
     return df.withColumn(gene, F.explode(F.array_distinct(genes))).drop(genes).where(F.col(gene).isNotNull())
 
 
+def group_features(rows: DataFrame, by: str, features: list[str], how: str | dict[str, str] = "max") -> DataFrame:
+    """``by`` and each feature aggregated by name (max, min, sum, mean), one for all or one a feature."""
+    named = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}
+    return rows.groupBy(by).agg(*[named[how if isinstance(how, str) else how[f]](f).alias(f) for f in features])
+
+
 def carried_slots(rows: DataFrame, features: list[str], least: int) -> DataFrame:
     """sample of samples that carry at least ``least`` variants with a feature in one gene."""
     used = rows.where(reduce(lambda a, b: a | b, [F.col(f) != 0 for f in features]))
@@ -63,10 +69,6 @@ def eac_filter(df: DataFrame, least: float, inclusive: bool = False, column: str
     return df.where(F.col(column) >= least if inclusive else F.col(column) > least)
 
 
-def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(key).limit(n)
-
-
 def coding_genes(genes: DataFrame, column: str = "gene") -> DataFrame:
     """Base gene ids, without those of the Y pseudoautosomal region."""
     return genes.where(~F.col(column).contains("PAR_Y")).withColumn(column, F.split(column, r"\.")[0])

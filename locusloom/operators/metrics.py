@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 
 def r_squared(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
-    return df.groupBy(*keys).agg((1 - F.sum((F.col(y) - F.col(p)) ** 2) / (F.var_pop(y) * F.count(y))).alias("r_squared"))
+    """Null for a constant y."""
+    return df.groupBy(*keys).agg((1 - F.sum((F.col(y) - F.col(p)) ** 2) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r_squared"))
 
 
 def abs_correlation(df: DataFrame, gene: str = "gene", x: str = "b", y: str = "y", how: str = "sum") -> DataFrame:
-    """Sum or mean over genes of |Pearson correlation|; a constant gene counts 0."""
+    """Sum or mean (or a row for each: "both") over genes of |Pearson correlation|; a constant gene counts 0."""
     vx, vy = F.var_pop(x), F.var_pop(y)
     r = F.when((vx > 0) & (vy > 0), F.abs((F.avg(F.col(x) * F.col(y)) - F.avg(x) * F.avg(y)) / F.sqrt(vx * vy))).otherwise(0.0)
     per_gene = df.groupBy(gene).agg(r.alias("r"))
-    return per_gene.agg((F.sum if how == "sum" else F.avg)("r").alias("correlation"))
+    parts = {"sum": F.sum("r"), "mean": F.avg("r")}
+    if how != "both":
+        return per_gene.agg(parts[how].alias("correlation"))
+    found = per_gene.agg(*[c.alias(n) for n, c in parts.items()])
+    return found.select(F.expr("stack(2, 'sum', sum, 'mean', mean) as (how, correlation)"))
 
 
 def standard_error(column: str = "error") -> Column:
@@ -31,9 +36,14 @@ LOSSES = {
 }
 
 
+def mean_losses(df: DataFrame, names: list[str], phenotype: str = "phenotype", p: str = "p", y: str = "y") -> DataFrame:
+    """phenotype and the named losses, in one aggregation."""
+    return df.groupBy(phenotype).agg(*[F.avg(LOSSES[n](F.col(p).cast("double"), F.col(y).cast("double"))).alias(n) for n in names])
+
+
 def mean_loss(df: DataFrame, name: str, phenotype: str = "phenotype", p: str = "p", y: str = "y") -> DataFrame:
     """phenotype, loss."""
-    return df.groupBy(phenotype).agg(F.avg(LOSSES[name](F.col(p).cast("double"), F.col(y).cast("double"))).alias("loss"))
+    return mean_losses(df, [name], phenotype, p, y).withColumnRenamed(name, "loss")
 
 
 def average_precision(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:

@@ -60,6 +60,11 @@ def combine(df: DataFrame, keys: list[str], method: str = "bonferroni", pval: st
     return df.groupBy(*keys).agg(COMBINATIONS[method](pval).alias("pval"))
 
 
+def combine_several(df: DataFrame, keys: list[str], methods: dict[str, str], pval: str = "pval") -> DataFrame:
+    """One column a method (name -> method), from one aggregation."""
+    return df.groupBy(*keys).agg(*[COMBINATIONS[m](pval).alias(name) for name, m in methods.items()])
+
+
 def with_n_tests(df: DataFrame, partition_by: list[str]) -> DataFrame:
     return df.withColumn("n_tests", F.count("*").over(Window.partitionBy(*partition_by)))
 

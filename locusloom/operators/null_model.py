@@ -23,12 +23,17 @@ class NullModel:
     sigma2: float
     n: int
     logistic: bool
+    #: False for a logistic model whose fit didn't settle, as where the classes can be separated.
+    converged: bool = True
 
-    def fitted(self) -> Column:
+    def linear(self) -> Column:
         eta = F.lit(self.beta[0])
         for b, c in zip(self.beta[1:], self.x, strict=True):
             eta = eta + F.lit(b) * F.col(c)
-        return 1 / (1 + F.exp(-eta)) if self.logistic else eta
+        return eta
+
+    def fitted(self) -> Column:
+        return logistic(self.linear()) if self.logistic else self.linear()
 
     def frame(self, samples: DataFrame) -> DataFrame:
         """sample, residual ``r``, weight ``w`` and the covariates of the samples with y and all x."""
@@ -38,6 +43,14 @@ class NullModel:
         return rows.select("sample", (F.col(self.y).cast("double") - mu).alias("r"), weight.alias("w"), *self.x)
 
 
+#: Linear predictors beyond this have a chance of 1 - 1e-13 and count as this.
+MOST = 30.0
+
+
+def logistic(eta: Column) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(MOST)), F.lit(-MOST))))
+
+
 def complete(samples: DataFrame, y: str, x: tuple[str, ...] | list[str]) -> DataFrame:
     return samples.na.drop(subset=[y, *x])
 
@@ -71,23 +84,38 @@ def fit_linear(samples: DataFrame, y: str, x: list[str], ddof: int | None = None
     return NullModel(y, tuple(x), tuple(beta), tuple(map(tuple, inverse)), sigma2, n, False)
 
 
-def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tolerance: float = 1e-9) -> NullModel:
-    """Logistic regression by iteratively reweighted least squares, one aggregation a step."""
-    rows, k = complete(samples, y, x), len(x) + 1
-    beta = np.zeros(k)
+def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tolerance: float = 1e-8) -> NullModel:
+    """Logistic regression by Newton steps, one aggregation a step over the rows read once.
+
+    A step that doesn't raise the likelihood is halved. ``converged`` says whether
+    the steps became small; where the classes can be separated they don't.
+    """
+    rows, k = complete(samples, y, x).select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([y, *x])]).cache(), len(x) + 1
+    beta, step, best, converged = np.zeros(k), np.zeros(k), -np.inf, False
+    inverse, n = np.zeros((k, k)), 0
     for _ in range(steps):
-        model = NullModel(y, tuple(x), tuple(beta), (), 1.0, 0, True)
-        mu = model.fitted()
-        w = F.greatest(mu * (1 - mu), F.lit(1e-12))
-        target = F.log(mu / (1 - mu)) + (F.col(y).cast("double") - mu) / w
-        m, n = products(rows, [*design(x), target], w)
-        inverse = np.linalg.pinv(m[:k, :k])
-        new = inverse @ m[:k, k]
-        done = np.abs(new - beta).max() < tolerance
-        beta = new
-        if done:
+        model = NullModel(y, tuple(x), tuple(map(float, beta + step)), (), 1.0, 0, True)
+        mu, eta = model.fitted(), F.greatest(F.least(model.linear(), F.lit(MOST)), F.lit(-MOST))
+        w = mu * (1 - mu)
+        gains = [F.sum(c * (F.col(y) - mu)).alias(f"g{i}") for i, c in enumerate(design(x))]
+        likelihood = F.sum(F.col(y) * eta - F.log1p(F.exp(eta))).alias("l")
+        parts = [F.sum(w * a * b).alias(f"h{i}_{j}") for i, a in enumerate(design(x)) for j, b in enumerate(design(x)) if i <= j]
+        row = rows.agg(*gains, *parts, likelihood, F.count("*").alias("n")).first()
+        n = row["n"]
+        if not n:
+            break
+        if row["l"] < best - 1e-9 * abs(best):
+            step = step / 2
+            continue
+        beta, best = beta + step, row["l"]
+        hessian = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        inverse = np.linalg.pinv(hessian)
+        step = inverse @ np.array([row[f"g{i}"] for i in range(k)])
+        if np.abs(step).max() < tolerance * (1 + np.abs(beta).max()):
+            converged = True
             break
-    return NullModel(y, tuple(x), tuple(beta), tuple(map(tuple, inverse)), 1.0, n, True)
+    rows.unpersist()
+    return NullModel(y, tuple(x), tuple(map(float, beta)), tuple(map(tuple, inverse)), 1.0, n, True, converged)
 
 
 def fit(samples: DataFrame, y: str, x: list[str]) -> NullModel:

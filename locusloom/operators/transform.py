@@ -74,9 +74,9 @@ def transform_y(df: DataFrame, column: str, how: str | None = None) -> DataFrame
 
 
 def permute(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
-    """``column`` dealt anew among the rows: the i-th row by key gets the value of the i-th by a seeded hash."""
+    """``column`` dealt anew among the rows: the i-th row by key gets the value of the i-th by a seeded MD5 digest of the key."""
     order = dense_ids(df.select(key), [key], "_i")
-    drawn = dense_ids(df.select(F.xxhash64(F.lit(seed), key).alias("_h"), F.col(column).alias("_y"), F.col(key).alias("_k")), ["_h", "_k"], "_i").select("_i", "_y")
+    drawn = dense_ids(df.select(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("_h"), F.col(column).alias("_y"), F.col(key).alias("_k")), ["_h", "_k"], "_i").select("_i", "_y")
     return df.drop(column).join(order.join(drawn, "_i").select(key, F.col("_y").alias(column)), key)
 
 

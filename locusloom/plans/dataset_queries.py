@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -107,16 +107,53 @@ def merge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.add_ids(scores, ids, {"#BRAND": "brand", "#TYPE": "type"}, ["brand", "type"])
 
 
-@query("merge_many", "with a as (select l_partkey as id, max(l_discount) as d from lineitem group by 1), b as (select l_partkey as id, max(l_tax) as t from lineitem where l_linenumber = 1 group by 1) select l_orderkey as row, l_linenumber as line, p_partkey as id, d, t from lineitem join part on p_partkey = l_partkey left join a on a.id = p_partkey left join b on b.id = p_partkey where l_linenumber = 4")
+@query("merge_many", "with a as (select l_partkey as id, max(l_discount) as d, max(l_tax) as t from lineitem group by 1) select l_orderkey as row, l_linenumber as line, l_partkey as id, d, t from lineitem join a on a.id = l_partkey")
 def merge_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotator rows m:1 variants, then two score tables."""
+    """Annotator rows m:1 variants, then two score tables."""
     lines = study.table(spark, sf_dir, "lineitem")
     key = F.col("l_partkey").alias("pos")
-    rows = lines.where("l_linenumber = 4").select(key, F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("line"))
-    scores = [lines.groupBy(key).agg(F.max("l_discount").alias("d")), lines.where("l_linenumber = 1").groupBy(key).agg(F.max("l_tax").alias("t"))]
+    rows = lines.select(key, F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("line"))
+    scores = [lines.groupBy(key).agg(F.max("l_discount").alias("d")), lines.groupBy(key).agg(F.max("l_tax").alias("t"))]
     return annotate.merge_annotations(rows, study.variants(spark, sf_dir).select("pos", "id"), scores, ["pos"]).select("row", "line", "id", "d", "t")
 
 
+@query("merge_components", "with r as (select distinct l_partkey as id, l_linenumber as line from lineitem), c as (select l_partkey as id, min({'a': l_discount, 'b': l_tax}) as p from lineitem group by 1) select id, line, p.a as pc_1, p.b as pc_2 from r left join c using (id)")
+def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component columns of the first row of each key, joined to distinct annotation rows."""
+    lines = study.table(spark, sf_dir, "lineitem")
+    components = lines.select(F.col("l_partkey").alias("id"), F.col("l_discount").alias("pc_1"), F.col("l_tax").alias("pc_2"), F.col("l_quantity").alias("other"))
+    return annotate.merge_components(lines.select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("line")), components, ["id"], "pc_")
+
+
+@query("annotations_concatenated", "select p_partkey as id, p_size as size, p_brand as gene from part union all select p_partkey, p_size, p_type from part")
+def annotations_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of the same columns in any order."""
+    v = study.variants(spark, sf_dir)
+    return readers.concat_same([v.select("id", "size", "gene"), v.select(F.col("chrom").alias("gene"), "id", "size")])
+
+
+@query("chunks_combined", f"with {CALLS}, s as (select c_custkey as sample, c_custkey % 4 as chunk from customer) select sample, row_number() over (order by chunk, sample) - 1 as row from s")
+def chunks_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of samples, each numbered on its own, in one order; raises if one is missing."""
+    chunked = study.samples(spark, sf_dir).select("sample", (F.col("sample") % 4).cast("int").alias("chunk"))
+    index = F.row_number().over(Window.partitionBy("chunk").orderBy("sample")) - 1
+    return sinks.combined_chunks(chunked.withColumn("index", index), 4).select("sample", "row")
+
+
+@query("results_labelled", "select p_partkey as k, p_brand || '-' || p_type as method from part")
+def results_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method of a result from the path of its file."""
+    v = study.variants(spark, sf_dir)
+    return v.select(F.col("id").alias("k"), scalar.method_of(F.concat_ws("/", F.lit("out"), "gene", "chrom", F.lit("eval"), F.lit("results.parquet"))).alias("method"))
+
+
+@query("simulated_phenotype", "select c_custkey as sample, c_nationkey::double as nation, y from customer left join (select o_custkey, sum(o_totalprice) as y from orders group by 1) on o_custkey = c_custkey")
+def simulated_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phenotype from another table; null for samples that it lacks."""
+    simulated = study.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sample")).agg(F.sum("o_totalprice").alias("y"))
+    return evaluate.with_simulated(study.samples(spark, sf_dir).select("sample", "nation", "y"), simulated)
+
+
 @query("same_covariates", "select c_custkey as sample, c_nationkey::double as nation from customer")
 def same_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two phenotypes' covariates agree within the tolerance."""
@@ -169,11 +206,11 @@ def models_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deepset.selected_models(m)
 
 
-@query("bag_samples", "select count(*) as n from customer")
+@query("bag_samples", f"select c_custkey as sample, case when ('0x' || substr(md5('5:' || c_custkey), 1, 8))::bigint < {int(0.7 * (1 << 32))} then 'train' else 'validation' end as part from customer")
 def bag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training and validation parts make up all samples."""
+    """Training and validation samples of a bag."""
     train, held = evaluate.bagged(study.samples(spark, sf_dir).select("sample"), 0.7, 5)
-    return train.unionByName(held).agg(F.count_distinct("sample").alias("n"))
+    return train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("validation")))
 
 
 @query("upsampled_classes", "with c as (select c_acctbal < 0 as y, count(*) as n from customer group by 1) select cast(y as int) as y_binary, (select max(n) from c) as n from c")
@@ -182,11 +219,10 @@ def upsampled_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.upsampled(study.samples(spark, sf_dir), "y_binary").groupBy("y_binary").agg(F.count("*").alias("n"))
 
 
-@query("shuffled_index", "select segment, n - 1 as last, n * (n - 1) // 2 as total from (select c_mktsegment as segment, count(*) as n from customer group by 1)")
+@query("shuffled_index", "select c_custkey as sample, row_number() over (partition by c_mktsegment order by substr(md5('0:' || c_custkey), 1, 8), c_custkey) - 1 as index from customer")
 def shuffled_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W16."""
-    rows = evaluate.shuffled_index(study.samples(spark, sf_dir).withColumnRenamed("segment", "phenotype"))
-    return rows.groupBy(F.col("phenotype").alias("segment")).agg(F.max("index").cast("long").alias("last"), F.sum("index").alias("total"))
+    return evaluate.shuffled_index(study.samples(spark, sf_dir).withColumnRenamed("segment", "phenotype")).select("sample", F.col("index").cast("long").alias("index"))
 
 
 @query("results_combined", f"with {PVALS} select gene, k, pval, 'm1' as model from pv where k % 2 = 0 union all select gene, k, pval, 'm1' from pv where k % 2 = 1")
@@ -203,11 +239,17 @@ def results_seed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.combined_seed_results([rows])[1]
 
 
-@query("results_significant", f"with {PVALS}, r as (select *, pval * count(*) over (partition by method) as q from pv) select method as phenotype, k as gene, round(q, 9) as pval_corrected from r where q < 0.9")
+@query("results_significant", f"""with {PVALS}, net as (select gene, min(pval) as pval from pv where method = 'ECONOMY' group by 1), base as (select gene, method, pval from pv where method <> 'ECONOMY'), comb as (select gene, min(pval) * count(*) as pval from base group by 1),
+every as (select gene, 'network' as m, 'New discovery' as kind, pval from net union all select gene, method, 'Baseline', pval from base union all select gene, 'combined baseline', null, pval from comb),
+c as (select *, pval * count(*) over (partition by m) as q from every), s as (select *, row_number() over (partition by gene, m order by pval) as i from c where q < 20)
+select 'p' as phenotype, gene, m as "Method", kind as "Discovery type", round(pval, 9) as pval, round(q, 9) as pval_corrected from s where i = 1""")
 def results_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Significant rows of all results."""
-    rows = pvals(spark, sf_dir).select(F.col("method").alias("phenotype"), F.col("k").alias("gene"), "pval", F.lit("repeat_0").alias("model"))
-    return rounded(evaluate.process_results(rows, 0.9, "Bonferroni")[0], "pval_corrected", digits=9).select("phenotype", "gene", "pval_corrected")
+    """Significant genes of a network and its baselines, the first row of each phenotype, gene and method."""
+    rows = pvals(spark, sf_dir).withColumn("phenotype", F.lit("p"))
+    network = rows.where("method = 'ECONOMY'").groupBy("phenotype", "gene").agg(F.min("pval").alias("pval"))
+    base = rows.where("method <> 'ECONOMY'").select("phenotype", "gene", "pval", F.col("method").alias("Method"), F.lit(evaluate.BASELINE).alias("Discovery type"))
+    found = evaluate.process_results(network, [base], 20.0, "Bonferroni")[0]
+    return rounded(found, "pval", "pval_corrected", digits=9).select("phenotype", "gene", "Method", "Discovery type", "pval", "pval_corrected")
 
 
 @query("results_display", f"with {PVALS} select k, case when method = 'ECONOMY' then 'The economy method' else replace(method, '_', ' ') end as label from pv")

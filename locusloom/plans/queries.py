@@ -94,13 +94,13 @@ def genotype_combined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("sample", "n_calls", F.aggregate("calls", F.lit(0).cast("long"), lambda a, x: a + x["gt"]).alias("alleles"))
 
 
-@query("genotype_padded", f"with {CALLS}, s as (select c_custkey as sample, count(variant_id) as n, coalesce(sum(variant_id), 0) as v, coalesce(sum(gt), 0) as g from customer left join calls on sample = c_custkey group by 1), w as (select max(n) as w from s) select sample, cast(w as int) as width, cast(v - (w - n) as bigint) as variant_sum, cast(g - (w - n) as bigint) as gt_sum from s cross join w")
+@query("genotype_padded", f"with {CALLS}, s as (select c_custkey as sample, count(variant_id) as n, list(variant_id order by variant_id) filter (variant_id is not null) as v, list(gt order by variant_id) filter (variant_id is not null) as g from customer left join calls on sample = c_custkey group by 1), w as (select max(n) as w from s), p as (select sample, v, g, [-1 for i in range(w - n)] as pad from s cross join w) select sample, array_to_string(list_concat(coalesce(v, []), pad), ',') as variants, array_to_string(list_concat(coalesce(g, []), pad), ',') as genotypes from p")
 def genotype_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: ragged rows padded with -1."""
     rows = genotype.sample_genotypes(study.calls(spark, sf_dir), study.samples(spark, sf_dir))
     width = rows.agg(F.max("n_calls")).first()[0]
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return genotype.padded(rows, width).select("sample", F.size("variant_matrix").alias("width"), total("variant_matrix").alias("variant_sum"), total("genotype_matrix").alias("gt_sum"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return genotype.padded(rows, width).select("sample", text("variant_matrix").alias("variants"), text("genotype_matrix").alias("genotypes"))
 
 
 @query("variant_ids", "with d as (select p_brand, p_type, p_size, row_number() over (partition by p_brand, p_type order by p_partkey) as k, p_partkey from part) select p_brand as brand, p_type as type, p_partkey as partkey, row_number() over (order by p_brand, p_type) - 1 as id from d where k = 1")
@@ -129,6 +129,20 @@ def common_variant_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotype.common_calls(study.calls(spark, sf_dir), v, masks.common_by_frequency("af", study.rare_bound(spark, sf_dir)))[0].select("id", "matrix_index")
 
 
+@query("common_variant_calls", f"with {CALLS}, {N}, {AF}, {ANNO}, c as (select id, row_number() over (order by id) - 1 as matrix_index from anno where af between {study.RARE_ALLELES} / (2.0 * (select n from n)) and 1 - {study.RARE_ALLELES} / (2.0 * (select n from n))) select sample, matrix_index, gt from calls join c on id = variant_id")
+def common_variant_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common variants of each sample, by their place in its vector."""
+    v = study.annotated(spark, sf_dir)
+    return genotype.common_calls(study.calls(spark, sf_dir), v, masks.common_by_frequency("af", study.rare_bound(spark, sf_dir)))[1].select("sample", "matrix_index", "gt")
+
+
+@query("rare_homozygotes_once", f"with {CALLS}, {N}, {AF}, {ANNO} select sample, variant_id, 1 as gt from calls join anno on id = variant_id where maf < {study.RARE_ALLELES} / (2.0 * (select n from n)) and maf > 0")
+def rare_homozygotes_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of rare variants, homozygous ones counted once."""
+    v = study.annotated(spark, sf_dir).where(masks.rare("MAF", study.rare_bound(spark, sf_dir))).select(F.col("id").alias("variant_id"))
+    return study.calls(spark, sf_dir).join(v, "variant_id").select("sample", "variant_id", scalar.homozygotes_once("gt").alias("gt"))
+
+
 # --- quality control ---------------------------------------------------------
 
 QC_CALLS = "qc as (select p_type as chrom, l_partkey as pos, case when p_size % 2 = 0 then 'A' else 'AT' end as ref, 'G' as alt, o_custkey as sample, case when l_linenumber = 1 then null when l_quantity >= 40 then 2 when l_quantity >= 20 then 1 else 0 end as gt, l_quantity as depth, l_discount as allele_ratio from lineitem join orders on l_orderkey = o_orderkey join part on p_partkey = l_partkey)"
@@ -244,14 +258,14 @@ def annotation_gene_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.add_gene_ids(v.select("id", F.concat("gene", F.lit(".12")).alias("Gene")), genes).select("id", "gene_id")
 
 
-EXONS = "exons as (select p_brand as gene, p_size * 40 as s, p_size * 40 + 15 as e from part where p_partkey % 50 = 0)"
+EXONS = "exons as (select p_brand as gene, p_size * 40 as s, p_size * 40 + 15 as e from part)"
 
 
 @query("annotation_near_exons", f"with {EXONS} select p_partkey as id from part where exists (select 1 from exons where gene = p_brand and (p_partkey between s and e or abs(p_partkey - s) <= 20 or abs(p_partkey - e) <= 20))")
 def annotation_near_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J15."""
     v = study.variants(spark, sf_dir)
-    exons = v.where("id % 50 = 0").select("gene", (F.col("size") * 40).alias("start"), (F.col("size") * 40 + 15).alias("end"))
+    exons = v.select("gene", (F.col("size") * 40).alias("start"), (F.col("size") * 40 + 15).alias("end"))
     return annotate.near_exons(v, exons, 20, gene="gene").select("id")
 
 
@@ -274,18 +288,20 @@ def annotation_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(filled, "price", digits=2)
 
 
-@query("annotation_group_features", "select p_brand as gene, cast(max(p_size) as int) as size, round(sum(p_retailprice), 4) as price from part group by 1")
+@query("annotation_group_features", "select p_brand as gene, cast(max(p_size) as int) as size, round(sum(p_retailprice), 4) as price, round(avg(p_size / 2), 6) as half from part group by 1")
 def annotation_group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6, X22."""
-    v = study.variants(spark, sf_dir).select(F.array("gene", "gene").alias("gene_ids"), "size", "price")
-    return rounded(masks.explode_genes(v).groupBy("gene").agg(F.max("size").alias("size"), F.sum("price").alias("price")), "price", digits=4)
+    """Features of a gene's variants, each aggregated in its own way."""
+    v = study.variants(spark, sf_dir).select(F.array("gene", "gene").alias("gene_ids"), "size", "price", (F.col("size") / 2).alias("half"))
+    found = masks.group_features(masks.explode_genes(v), "gene", ["size", "price", "half"], {"size": "max", "price": "sum", "half": "mean"})
+    return rounded(rounded(found, "price", digits=4), "half")
 
 
 @query("annotation_components")
 def annotation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Principal components of the embedding columns."""
-    columns = [f"e{i}" for i in range(16)]
-    rows = study.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)])
+    """Principal components of all embedding columns."""
+    vectors = study.table(spark, sf_dir, "embeddings")
+    columns = [f"e{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0])]
+    rows = vectors.select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)])
     params, components = annotate.fit_components(rows, columns, 4)
     return annotate.project(rows, params, components)
 
@@ -327,18 +343,18 @@ def transform_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.quantile_transform(study.samples(spark, sf_dir).select("sample", "y"), "y")
 
 
-@query("transform_permuted", "select count(*) as n, round(sum(c_acctbal), 2) as total, round(min(c_acctbal), 2) as low, round(max(c_acctbal), 2) as high from customer")
+@query("transform_permuted", "with k as (select c_custkey as sample, row_number() over (order by c_custkey) as i from customer), h as (select c_acctbal as y, row_number() over (order by md5('3:' || c_custkey), c_custkey) as i from customer) select sample, y from k join h using (i)")
 def transform_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A permutation keeps the multiset of values."""
-    rows = transform.permute(study.samples(spark, sf_dir).select("sample", "y"), "y", "sample", 3)
-    return rounded(rows.agg(F.count("*").alias("n"), F.sum("y").alias("total"), F.min("y").alias("low"), F.max("y").alias("high")), "total", "low", "high", digits=2)
+    """W10."""
+    return transform.permute(study.samples(spark, sf_dir).select("sample", "y"), "y", "sample", 3)
 
 
-@query("sample_mask", f"with {CALLS} select c_custkey as sample from customer where c_custkey in (select sample from calls where variant_id % 3 = 0) and c_acctbal >= 100 and c_nationkey <> 5")
+@query("sample_mask", f"with {CALLS} select c_custkey as sample from customer where c_custkey in (select sample from calls) and c_mktsegment <> 'MACHINERY' and c_acctbal >= 100 and c_nationkey <> 5")
 def sample_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16, S16, U4."""
+    """Genotyped and listed samples with a phenotype and all covariates."""
     people = study.samples(spark, sf_dir).withColumns({"y": F.when(F.col("y") >= 100, F.col("y")), "nation": F.when(F.col("nation") != 5, F.col("nation"))})
-    return transform.sample_mask(people, study.calls(spark, sf_dir).where("variant_id % 3 = 0"), None, ["y"], ["nation"]).select("sample")
+    listed = people.where("segment <> 'MACHINERY'").select("sample")
+    return transform.sample_mask(people, study.calls(spark, sf_dir), listed, ["y"], ["nation"]).select("sample")
 
 
 @query("sample_carried_slots", f"with {STUDY} select sample from (select sample, gene, count(*) as n from carriers where size > 20 group by 1, 2) group by 1 having max(n) >= 2")
@@ -354,9 +370,7 @@ def sample_carried_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gene_burdens", f"with {STUDY} select sample, gene, round(sum(value), 6) as b_sum, round(max(value), 6) as b_max, 1.0::double as b_binary from vals group by 1, 2")
 def gene_burdens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, J25."""
-    rows = study.weighted(study.carriers(spark, sf_dir))
-    named = {m: gene_test.collapse(rows, m).withColumnRenamed("b", f"b_{m}") for m in ("sum", "max", "binary")}
-    return rounded(named["sum"].join(named["max"], ["sample", "gene"]).join(named["binary"], ["sample", "gene"]), "b_sum", "b_max")
+    return rounded(gene_test.collapse_several(study.weighted(study.carriers(spark, sf_dir)), {f"b_{m}": m for m in ("sum", "max", "binary")}), "b_sum", "b_max")
 
 
 @query("gene_association", f"with {GENE_SUMS}, t as (select gene, u / v as beta, u * u / (s2 * v) as stat from g cross join sig where v > 1e-9 * bb) select gene, round(beta, 6) as beta, round(stat, 6) as stat from t")
@@ -444,17 +458,31 @@ def gene_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gene_seed_tests")
 def gene_seed_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Burden and variance-component tests of two variant classes, with EAC and corrections per class."""
+    """Burden and variance-component tests of two variant classes, with corrections per class."""
+    return multitest.correct(seed_tests(spark, sf_dir), "FDR", partition_by=["vtype", "ttype"])
+
+
+def seed_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = study.samples(spark, sf_dir)
-    model = null_model.fit_linear(people, "y", ["nation"])
-    rows = study.weighted(study.carriers(spark, sf_dir)).withColumn("marker", F.col("variant_id").cast("string"))
-    parts = []
-    for kind, chosen in (("plof", rows.where("plof = 1")), ("missense", rows.where("plof = 0"))):
-        eac = gene_test.expected_allele_count(chosen, model.n, gene_test.case_count(people, "y")).select("gene", F.col("eac").alias("EAC"))
-        burden = gene_test.score_test(gene_test.collapse(chosen), model, people).select("gene", "pval", F.lit("burden").alias("ttype"))
-        skat = gene_test.skat(chosen, model, people).select("gene", "pval", F.lit("skat").alias("ttype"))
-        parts.append(burden.unionByName(skat).join(eac, "gene").withColumn("vtype", F.lit(kind)))
-    return multitest.correct(transform.union_all(parts), "FDR", partition_by=["vtype", "ttype"])
+    classes = {"plof": F.col("plof") == 1, "missense": F.col("plof") == 0}
+    return gene_test.seed_tests(study.carriers(spark, sf_dir), null_model.fit_linear(people, "y", ["nation"]), people, classes, collapse_method="sum")
+
+
+@query("gene_seed_statistics", f"""with {STUDY}, {NULL}, b as (select gene, plof, sample, sum(value) as b from vals group by 1, 2, 3),
+g as (select gene, plof, sum(b * r) as u, sum(b * b) - power(sum(b), 2) / any_value(k) - power(sum(b * x) - sum(b) * any_value(sx) / any_value(k), 2) / any_value(sxx) as v from b join res using (sample) cross join fit group by 1, 2),
+c as (select gene, plof, sum(gt) / 2.0 as eac, count(distinct variant_id) as n from carriers group by 1, 2)
+select gene, case when plof = 1 then 'plof' else 'missense' end as vtype, round(u * u / v / (select s2 from sig), 6) as stat, round(eac, 6) as "EAC", n as "n_QV" from g join c using (gene, plof)""")
+def gene_seed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The burden statistics, expected allele counts and numbers of variants of the seed tests."""
+    return rounded(seed_tests(spark, sf_dir).where("ttype = 'burden'").select("gene", "vtype", "stat", "EAC", "n_QV"), "stat", "EAC")
+
+
+@query("gene_regression_phenotypes", " union all ".join(f"select '{y}' as phenotype, * from (with {GENE_SUMS.replace('c_acctbal', c)}, o as (select gene, u / v as beta, v, (select sum(r * r) from res) - u * u / v as rss from g where v > 1e-9 * bb) select gene, round(beta, 6) as beta, round(beta / sqrt(rss / ((select k from fit) - 3) / v), 6) as t from o)" for y, c in (("y", "c_acctbal"), ("y_binary", "((c_acctbal < 0)::int)"))))
+def gene_regression_phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: least squares of several phenotypes on the same burdens."""
+    people = study.samples(spark, sf_dir)
+    found = gene_test.ols_phenotypes(gene_test.collapse(study.weighted(study.carriers(spark, sf_dir))), people, ["y", "y_binary"], ["nation"])
+    return rounded(found, "beta", "t").select("phenotype", "gene", "beta", "t")
 
 
 # --- scores ------------------------------------------------------------------
@@ -466,6 +494,14 @@ def score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(deepset.linear_score(study.carriers(spark, sf_dir), {"size": 0.02, "price": -0.001}, 0.5), "burden")
 
 
+@query("score_linear_heads", f"with {STUDY}, s as (select sample, gene, greatest(max(0.5 + 0.02 * size - 0.001 * price), 0.5) as burden from carriers group by 1, 2), w as (select c_custkey as sample, c_nationkey as nation, coalesce(sum(burden * length(gene)), 0) as g from customer left join s on sample = c_custkey group by 1, 2) select 'a' as phenotype, sample, round(1.5 + 0.1 * nation + g, 6) as prediction from w union all select 'b', sample, round(0.5 - 0.2 * nation + 2 * g, 6) from w")
+def score_linear_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear score under one head a phenotype."""
+    genes = study.variants(spark, sf_dir).select("gene", F.length("gene").alias("weight")).distinct()
+    heads = {"a": (genes, {"nation": 0.1}, 1.5), "b": (genes.withColumn("weight", 2 * F.col("weight")), {"nation": -0.2}, 0.5)}
+    return rounded(deepset.linear_heads(study.carriers(spark, sf_dir), {"size": 0.02, "price": -0.001}, study.samples(spark, sf_dir), heads, 0.5), "prediction").select("phenotype", "sample", "prediction")
+
+
 def networks() -> dict[int, deepset.Network]:
     return {r: deepset.random_network(3, seed=r) for r in range(3)}
 
@@ -546,9 +582,7 @@ def correct_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("combine_pvalues", f"with {PVALS} select gene, round(min(pval) * count(*), 9) as bonferroni, round(0.5 - atan(avg(tan((0.5 - pval) * pi()))) / pi(), 9) as cauchy from pv group by 1")
 def combine_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15, A16."""
-    rows = pvals(spark, sf_dir)
-    both = multitest.combine(rows, ["gene"], "bonferroni").withColumnRenamed("pval", "bonferroni").join(multitest.combine(rows, ["gene"], "cct").withColumnRenamed("pval", "cauchy"), "gene")
-    return rounded(both, "bonferroni", "cauchy", digits=9)
+    return rounded(multitest.combine_several(pvals(spark, sf_dir), ["gene"], {"bonferroni": "bonferroni", "cauchy": "cct"}), "bonferroni", "cauchy", digits=9)
 
 
 @query("qq_points", f"with {PVALS} select k, round(0 - log10(row_number() over (partition by method order by pval) / count(*) over (partition by method)), 9) as expected, round(0 - log10(pval), 9) as observed from pv")
@@ -598,11 +632,11 @@ def external_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(evaluate.external_results(rows, genes), "beta"), "pval", digits=9)
 
 
-@query("fold_union", "with f as (select c_custkey as sample, c_nationkey as nation, c_acctbal as y from customer where c_custkey % 5 < 3), m as (select avg(nation) as mn, stddev_pop(nation) as sn, avg(y) as my, stddev_pop(y) as sy from f) select sample, round((nation - mn) / sn, 6) as nation, round((y - my) / sy, 6) as y from f cross join m")
+@query("fold_union", "with f as (select c_custkey as sample, c_nationkey as nation, c_acctbal as y from customer), m as (select avg(nation) as mn, stddev_pop(nation) as sn, avg(y) as my, stddev_pop(y) as sy from f) select sample, round((nation - mn) / sn, 6) as nation, round((y - my) / sy, 6) as y from f cross join m")
 def fold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U7."""
-    people = study.samples(spark, sf_dir).select("sample", "nation", "y")
-    folds = [people.where(F.col("sample") % 5 == i) for i in range(3)]
+    people = study.samples(spark, sf_dir)
+    folds = [[people.where(F.col("sample") % 5 == i).select("sample", c) for c in ("nation", "y")] for i in range(5)]
     return rounded(evaluate.combine_folds(folds, ["nation"], "y", "standardize"), "nation", "y")
 
 
@@ -613,11 +647,7 @@ def fold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A26."""
     d = study.table(spark, sf_dir, "part").select(F.col("p_type").alias("phenotype"), (F.col("p_size") / 10.0).alias("p"), (F.col("p_retailprice") > 1400).cast("int").alias("y"))
-    out = None
-    for name in metrics.LOSSES:
-        one = metrics.mean_loss(d, name).withColumnRenamed("loss", name)
-        out = one if out is None else out.join(one, "phenotype")
-    return rounded(out, *metrics.LOSSES)
+    return rounded(metrics.mean_losses(d, list(metrics.LOSSES)), *metrics.LOSSES)
 
 
 @query("metric_r_squared", "select p_type as phenotype, round(1 - sum(power(p_size - p_retailprice / 50, 2)) / (var_pop(p_size) * count(*)), 6) as r_squared from part group by 1")
@@ -631,8 +661,7 @@ def metric_r_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A23, A24."""
     d = study.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.col("p_size").cast("double").alias("b"), F.col("p_retailprice").alias("y"))
-    both = [metrics.abs_correlation(d, how=how).withColumn("how", F.lit(how)) for how in ("sum", "mean")]
-    return rounded(both[0].unionByName(both[1]), "correlation")
+    return rounded(metrics.abs_correlation(d, how="both"), "correlation")
 
 
 @query("metric_average_precision", "with s as (select p_type as phenotype, p_size as p, sum(cast(p_retailprice > 1400 as int)) as pos, count(*) as n from part group by 1, 2), c as (select phenotype, pos, sum(pos) over (partition by phenotype order by p desc) as tp, sum(n) over (partition by phenotype order by p desc) as seen, sum(pos) over (partition by phenotype) as total from s) select phenotype, round(sum(pos / nullif(total, 0) * tp / seen), 6) as average_precision from c group by 1")

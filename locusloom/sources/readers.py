@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar
+
 CALLS = "chrom string, pos long, ref string, alt string, sample string, gt int"
 VARIANTS = "chrom string, pos long, ref string, alt string"
 GTF = "chrom string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"
@@ -58,6 +60,11 @@ def parquet_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.parquet(path).columns
 
 
+def labelled_results(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of result files with ``method``: the two folders above a file's own, joined by a dash (.../type/test/eval/file.parquet is type-test)."""
+    return concat_same([spark.read.parquet(p).withColumn("method", scalar.method_of(F.lit(p))) for p in paths])
+
+
 def file_stem(path: Column | None = None) -> Column:
     """The file's name without folders and suffixes."""
     return F.regexp_extract(path if path is not None else F.input_file_name(), r"([^/]+?)(\.[^/.]+)*$", 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.checks import CheckFailed
 from ..operators.transform import union_all
 
 
@@ -41,6 +42,28 @@ def pseudovariants(burdens: DataFrame, genes: DataFrame, position: str = "span")
     return joined.select("gene", "chrom", "pos", F.lit("A").alias("allele1"), F.lit("C").alias("allele2"), "sample", F.array(F.col("b"), F.lit(0.0), 1 - F.col("b")).alias("probabilities"))
 
 
+def combined_chunks(rows: DataFrame, n_chunks: int, chunk: str = "chunk", index: str = "index") -> DataFrame:
+    """Rows of chunks 0..n-1, each numbered from 0, with their place in the whole as ``row``.
+
+    Raises if a chunk is missing or unknown, or its rows aren't numbered without gaps. One count a chunk reaches the driver.
+    """
+    found = rows.groupBy(chunk).agg(F.count("*").alias("n"), F.count_distinct(index).alias("d"), F.min(index).alias("low"), F.max(index).alias("high")).orderBy(chunk).limit(n_chunks + 1).collect()
+    if [r[chunk] for r in found] != list(range(n_chunks)):
+        raise CheckFailed(f"chunks 0 to {n_chunks - 1} are wanted; there are {[r[chunk] for r in found]}")
+    before, starts = 0, []
+    for r in found:
+        if (r["low"], r["high"], r["d"]) != (0, r["n"] - 1, r["n"]):
+            raise CheckFailed(f"the rows of chunk {r[chunk]} are not numbered from 0 without gaps")
+        starts += [F.lit(r[chunk]), F.lit(before)]
+        before += r["n"]
+    return rows.withColumn("row", F.create_map(*starts)[F.col(chunk)].cast("long") + F.col(index))
+
+
+def written_chunks(rows: DataFrame, path: str, n_chunks: int, overwrite: bool = False) -> None:
+    """Combined chunks as one table in order; an existing one is an error unless ``overwrite``."""
+    parquet(combined_chunks(rows, n_chunks).repartitionByRange("row").sortWithinPartitions("row"), path, mode="overwrite" if overwrite else "errorifexists")
+
+
 def combined_results(chunks: list[DataFrame], model: str | None = None) -> DataFrame:
     rows = union_all(chunks)
     return rows.withColumn("model", F.lit(model)) if model is not None else rows

@@ -56,3 +56,29 @@ def same():
         assert rows_of(ours) == rows_of(theirs)
 
     return compare
+
+
+@pytest.fixture(scope="session")
+def run_elsewhere():
+    def run(name, folder):
+        """Runs a registered query to its last row in a session of its own, whose Python workers don't have this repository on their path."""
+        import subprocess
+
+        script = f"""
+import os, sys
+sys.path.insert(0, {ROOT!r})
+os.environ.pop("PYTHONPATH", None)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(folder)!r}).getOrCreate()
+def found(_):
+    import importlib.util
+    return [importlib.util.find_spec("locusloom") is not None]
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(found).collect() == [False]
+import __spark_entry__
+__spark_entry__.queries()[{name!r}](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+"""
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        done = subprocess.run([sys.executable, "-c", script], cwd=folder, env=env, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-3000:]
+
+    return run

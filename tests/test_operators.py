@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from locusloom.functions import distributions as dist
 from locusloom.functions import scalar
-from locusloom.operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, multitest, null_model, qc, transform
+from locusloom.operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, transform
 from pyspark.sql import functions as F
 
 SITE = "chrom string, pos long, ref string, alt string"
@@ -320,11 +320,14 @@ def test_seed_genes(spark):
 
 def test_results(spark):
     df = spark.createDataFrame([("p", "a", 1e-5, "repeat_0"), ("p", "b", 0.4, "repeat_0"), ("p", "a", 0.9, "repeat_1")], "phenotype string, gene string, pval double, model string")
-    significant, every = evaluate.process_results(df)
-    assert [r["gene"] for r in significant.collect()] == ["a"] and every.count() == 3
+    significant, every = evaluate.process_results(df, repeats=[0])
+    assert [r["gene"] for r in significant.collect()] == ["a"] and every.count() == 2
     assert evaluate.process_results(df, repeats=[1])[1].count() == 1
     with pytest.raises(checks.CheckFailed):
-        evaluate.process_results(df.union(df))
+        evaluate.process_results(df)
+    base = spark.createDataFrame([("p", "a", 1e-6, "burden", "Baseline"), ("p", "a", 1e-7, "burden", "Baseline"), ("p", "c", 0.5, "burden", "Baseline")], "phenotype string, gene string, pval double, Method string, `Discovery type` string")
+    rows = [(r["gene"], r["Method"], r["pval"]) for r in evaluate.process_results(df.where("model = 'repeat_0'"), [base], correction="Bonferroni")[0].collect()]
+    assert rows == [("a", "burden", 1e-7), ("a", "combined baseline", 2e-7), ("a", "network", 1e-5)]
 
 
 def test_bags(spark):
@@ -378,3 +381,136 @@ def test_skat_statistic_gathers_no_gene(spark, data, study):
     sums = gene_test.skat_statistic(rows, model, samples).collect()
     assert {r["gene"] for r in sums} == whole.keys()
     assert all(abs(r["q"] - whole[r["gene"]]["q"]) < 1e-6 * max(1, r["q"]) and r["n_markers"] == whole[r["gene"]]["n_markers"] for r in sums)
+
+
+def test_logistic_separable_and_plain(spark):
+    """Classes that can be told apart by x have no finite fit: the steps end, and the model says so."""
+    apart = spark.createDataFrame([(i, float(i), int(i >= 10)) for i in range(20)], "sample int, x double, y int")
+    model = null_model.fit_logistic(apart, "y", ["x"])
+    assert not model.converged and np.isfinite(model.beta).all()
+    assert all(np.isfinite(r["r"]) for r in model.frame(apart).collect())
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(0.4 + 1.3 * x)))).astype(int)
+    mixed = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "sample int, x double, y int")
+    fitted = null_model.fit_logistic(mixed, "y", ["x"])
+    beta, d = np.zeros(2), np.column_stack([np.ones(300), x])
+    for _ in range(50):
+        mu = 1 / (1 + np.exp(-d @ beta))
+        beta = beta + np.linalg.solve(d.T @ (d * (mu * (1 - mu))[:, None]), d.T @ (y - mu))
+    assert fitted.converged and np.allclose(fitted.beta, beta, atol=1e-6)
+
+
+def test_constant_targets_and_no_samples(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 2.0), ("b", 1.0, 1.0), ("b", 3.0, 2.0)], "k string, p double, y double")
+    got = {r["k"]: r["r_squared"] for r in metrics.r_squared(df, ["k"]).collect()}
+    assert got["a"] is None and got["b"] == 1 - 1.0 / 0.5
+    calls = spark.createDataFrame([], "variant_id int, gt int")
+    variants = spark.createDataFrame([(1,)], "id int")
+    assert genotype.allele_frequency(calls, variants, 0).first()["af"] is None
+    rows = spark.createDataFrame([("g", 1)], "gene string, gt int")
+    assert gene_test.expected_allele_count(rows, 0, 0).first()["eac"] is None
+
+
+def test_upsampled_is_exact(spark):
+    s = spark.createDataFrame([(i, i % 3 == 0) for i in range(100)] + [(200, None)], "sample int, y boolean")
+    rows = evaluate.upsampled(s, "y").collect()
+    few = [r["sample"] for r in rows if r["y"]]
+    assert len(few) == 66 and sum(r["y"] is False for r in rows) == 66 and sum(r["y"] is None for r in rows) == 1
+    assert {few.count(i) for i in set(few)} <= {1, 2} and len(set(few)) == 34
+
+
+def test_chunks(spark, tmp_path):
+    from locusloom.sources import sinks
+
+    rows = spark.createDataFrame([(c, i, f"{c}-{i}") for c, n in ((1, 2), (0, 3), (2, 1)) for i in range(n)], "chunk int, index int, name string")
+    assert [r["name"] for r in sinks.combined_chunks(rows, 3).orderBy("row").collect()] == ["0-0", "0-1", "0-2", "1-0", "1-1", "2-0"]
+    for bad, n in ((rows, 2), (rows, 4), (rows.where("chunk <> 1"), 3), (rows.where("name <> '0-1'"), 3), (rows.union(rows), 3)):
+        with pytest.raises(checks.CheckFailed):
+            sinks.combined_chunks(bad, n)
+    sinks.written_chunks(rows, f"{tmp_path}/whole", 3)
+    with pytest.raises(Exception, match="exists"):
+        sinks.written_chunks(rows, f"{tmp_path}/whole", 3)
+    sinks.written_chunks(rows.where("chunk < 1"), f"{tmp_path}/whole", 1, overwrite=True)
+    assert spark.read.parquet(f"{tmp_path}/whole").count() == 3
+
+
+def test_labelled_results(spark, tmp_path):
+    from locusloom.sources import readers
+
+    for kind, test in (("plof", "skat"), ("missense", "burden")):
+        spark.createDataFrame([("g", 0.5)], "gene string, pval double").write.parquet(f"{tmp_path}/{kind}/{test}/eval/results.parquet")
+    paths = [f"{tmp_path}/plof/skat/eval/results.parquet", f"{tmp_path}/missense/burden/eval/results.parquet"]
+    assert sorted(r["method"] for r in readers.labelled_results(spark, paths).collect()) == ["missense-burden", "plof-skat"]
+    spark.createDataFrame([("g", 0.5, 1)], "gene string, pval double, more int").write.parquet(f"{tmp_path}/a/b/eval/results.parquet")
+    with pytest.raises(ValueError, match="more"):
+        readers.labelled_results(spark, [*paths, f"{tmp_path}/a/b/eval/results.parquet"])
+
+
+def test_folds_hold_the_same_samples(spark):
+    x = spark.createDataFrame([(i, float(i)) for i in range(4)], "sample int, x double")
+    y = spark.createDataFrame([(i, 2.0 * i) for i in range(4)], "sample int, y double")
+    assert evaluate.combine_folds([[x.where("sample < 2"), y.where("sample < 2")], [x.where("sample >= 2"), y.where("sample >= 2")]], ["x"], "y").count() == 4
+    for bad in ([x, y.where("sample > 0")], [x, y.union(y)]):
+        with pytest.raises(checks.CheckFailed):
+            evaluate.combine_folds([bad], ["x"], "y")
+    with pytest.raises(checks.CheckFailed):
+        evaluate.combine_folds([[x, y], [x, y]], ["x"], "y")
+
+
+def test_seed_tests(spark):
+    """Against the single tests, with a weight bound, a bound on markers and homozygous calls counted once."""
+    rng = np.random.default_rng(8)
+    people = spark.createDataFrame([(i, float(rng.normal())) for i in range(120)], "sample int, y double")
+    calls = [(int(s), f"g{v % 2}", v, int(rng.integers(1, 3)), 0.2 + 0.1 * (v % 7)) for v in range(20) for s in rng.choice(120, 6, replace=False)]
+    rows = spark.createDataFrame(calls, "sample int, gene string, variant_id int, gt int, weight double")
+    model = null_model.fit_linear(people, "y", [])
+    got = {(r["gene"], r["ttype"]): r for r in gene_test.seed_tests(rows, model, people, {"all": F.lit(True)}, 0.35, 3, homozygotes_once=True, collapse_method="max").collect()}
+    chosen = rows.where("weight >= 0.35").withColumn("value", F.sqrt("weight"))
+    burden = {r["gene"]: r for r in gene_test.score_test(gene_test.collapse(chosen, "max"), model, people).collect()}
+    skat = {r["gene"]: r for r in gene_test.skat(gene_test.collapse_ultra_rare(chosen, 3), model, people).collect()}
+    for g in ("g0", "g1"):
+        assert np.isclose(got[g, "burden"]["stat"], burden[g]["stat"]) and np.isclose(got[g, "burden"]["pval"], burden[g]["pval"])
+        assert np.isclose(got[g, "skat"]["stat"], skat[g]["q"]) and np.isclose(got[g, "skat"]["pval"], skat[g]["pval"])
+        some = [(v, gt) for _, gene, v, gt, w in calls if gene == g and w >= 0.35]
+        assert got[g, "skat"]["n_QV"] == len({v for v, _ in some}) and np.isclose(got[g, "burden"]["EAC"], sum(gt for _, gt in some) / 2)
+    none = gene_test.seed_tests(rows, model, people, {"all": F.lit(True)}, max_markers=3).collect()
+    assert len(none) == 4 and all(r["pval"] is None and r["n_QV"] == 10 for r in none)
+
+
+def test_reversed_models(spark):
+    """Mean change of the carriers' scores when flags are set to zero, against numpy."""
+    rng = np.random.default_rng(9)
+    nets = {r: deepset.random_network(2, seed=r) for r in range(3)}
+    data = [(s, "g", 1, float(rng.normal()), float(rng.integers(0, 2))) for s in range(30) for _ in range(2)]
+    df = spark.createDataFrame(data, "sample int, gene string, gt int, a double, plof double")
+    got = {r["repeat"]: r for r in deepset.reversed_models(df, ["a", "plof"], ["plof"], nets).collect()}
+    for r, net in nets.items():
+        change = []
+        for s in range(30):
+            x = np.array([d[3:] for d in data if d[0] == s])
+            if x[:, 1].max() > 0:
+                score = lambda x, net=net: net.finish(np.maximum(net.embed(x).max(0, keepdims=True), net.embed(np.zeros((1, 2)))))[0]
+                change.append(score(x) - score(x * [1, 0]))
+        assert np.isclose(got[r]["mean_change"], np.mean(change)) and got[r]["reverse"] == (np.mean(change) < 0)
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from locusloom.functions.shared import shared_dir
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
+    Session.conf["spark.master"] = "local[2]"
+    assert shared_dir(Session()) == Session.conf["spark.checkpoint.dir"]
+
+
+def test_executors_need_no_copy(run_elsewhere, tmp_path):
+    """A network is scored where the executors' Python can't import this package."""
+    run_elsewhere("score_deepset", tmp_path)
