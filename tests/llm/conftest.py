@@ -19,7 +19,9 @@ def odd_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     from pyspark.sql import functions as F
 
-    for name in ("score", "length", "offset", "bag", "rep", "_hash", "label", "word", "lang_pred", "quality_score", "fingerprint", "piece_ids", "n_removed", "licence"):
+    # columns that operators use inside, and names that they give out
+    inside = ("_key", "_path", "_own", "_dir", "_near", "_k", "_above", "_lic", "_gone", "_lt", "_id", "_text", "_at", "_sites", "_before", "_first_rank", "_n", "_first_sequence", "_order", "_bucket", "_row", "_rank", "_text_hash", "_KEY2", "x_key")
+    for name in (*inside, "score", "length", "offset", "bag", "rep", "_hash", "label", "word", "lang_pred", "quality_score", "fingerprint", "piece_ids", "n_removed", "licence"):
         df = df.withColumn(name, F.lit("x"))
     return df
 

@@ -30,6 +30,14 @@ def test_chat_collapse(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_long_conversation(spark):
+    """3000 turns, logged twice more as it grew."""
+    turns = [("user" if i % 2 else "assistant", f"turn {i} " + "x" * 50) for i in range(3000)]
+    df = spark.createDataFrame([(c, i, *t) for c, n in ((1, 3000), (2, 2999), (3, 1)) for i, t in enumerate(turns[:n])], "conv_id long, turn long, role string, text string")
+    (kept,) = chat.format_chats(df).collect()
+    assert kept["conv_id"] == 1 and len(kept["turns"]) == 3000 and kept["chat_text"].count("<|end|>") == 3000
+
+
 def brute_top(vectors, queries, k):
     out = {}
     for q in queries:
@@ -109,6 +117,19 @@ def test_licence_runs_and_whole_files(spark):
     assert got["full/MIT/x.py"]["inherited_from"] == "full/MIT" and got["full/MIT/x.py"]["licence"] == "MIT"
 
 
+def test_licence_odd(spark, odd_documents):
+    """Clashing names, repeated rows, and a very long text that is a licence file."""
+    path = F.when(F.col("doc_id") == 8, "a/LICENSE").when(F.col("doc_id") == 4, "b/LICENSE").otherwise(F.concat(F.lit("a/b/"), "doc_id"))
+    docs = odd_documents.withColumn("path", path)
+    got = licenses.scan(docs).collect()
+    assert len(got) == 10 and licenses.scan(docs).columns == [*[c for c in docs.columns if c != "licence"], "own_licence", "cosine", "inherited_from", "licence"]
+    by = {(r["doc_id"], r["_key"]): r for r in got}
+    assert by[8, "x"]["own_licence"] == "MIT" and by[1, "x"]["inherited_from"] == "a" and by[4, "x"]["licence"] is None
+    text = "word " * 40_000 + "\nReleased under the MIT License.\n" + "more " * 40_000
+    long = spark.createDataFrame([("x.py", text), ("x.py", text)], "path string, text string")
+    assert [r["licence"] for r in licenses.scan(long).collect()] == ["MIT", "MIT"]
+
+
 def test_licence_plan_is_native(spark, data):
     plan = QUERIES["op7_licenses"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -166,11 +187,17 @@ def test_near_duplicates_chains_and_groups(spark):
         t = fresh(120)
         docs[i] = t
         docs[i + 1] = t[: 120 - (i - 200)] + fresh(i - 200)
+    passages = [fresh(70) for _ in range(3)]
+    for i in range(300, 400):  # unlike texts around common passages, which agree in bands, and near copies of every fifth
+        docs[i] = fresh(40) + passages[i % 3] + passages[(i + 1) % 3] + fresh(40)
+        if i % 5 == 0:
+            docs[i + 200] = [*docs[i][:-6], *fresh(6)]
     rows = [(i, " ".join(t)) for i, t in docs.items()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
     want = brute_classes(rows)
     assert got == want
+    assert all(got[i] == got[i + 200] == i for i in range(300, 400, 5)) and len({got[i] for i in range(300, 400)}) == 100
     assert len({want[i] for i in range(60)}) == 1 and len({want[i] for i in range(100, 112)}) == 1
 
 
@@ -201,6 +228,21 @@ def test_signatures_do_not_depend_on_the_batch():
         assert (neardup.signatures([b])[0] == s).all()
 
 
+def test_prefixes_of_similar_bags_meet():
+    """Bags at the similarity share an element of their prefixes in any order of elements, and none is lost by size or place."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = neardup.copies(np.sort(rng.integers(0, max(2, n), n).astype(np.uint64)))
+        b = neardup.copies(np.sort(np.where(rng.random(n) < 0.1, rng.integers(0, max(2, n), n), a % np.uint64(max(2, n))).astype(np.uint64)))
+        order = dict(zip(np.unique(np.concatenate([a, b])).tolist(), rng.permutation(len(np.unique(np.concatenate([a, b])))).tolist(), strict=True))
+        x, y = (sorted(v.tolist(), key=order.get) for v in (a, b))
+        if neardup.jaccard(a, b) >= 0.8:
+            least = math.ceil(0.8 / 1.8 * (len(x) + len(y)) - 1e-9)
+            px, py = (v[: len(v) - math.ceil(0.8 * len(v) - 1e-9) + 1] for v in (x, y))
+            assert any(min(len(x) - i, len(y) - py.index(e)) >= least for i, e in enumerate(px) if e in py)
+
+
 def test_near_duplicates_odd(spark, odd_documents, no_documents):
     rows = neardup.classes(odd_documents).collect()
     assert len(rows) == 10
@@ -209,7 +251,9 @@ def test_near_duplicates_odd(spark, odd_documents, no_documents):
     kept = neardup.dedup(odd_documents)
     assert kept.columns == odd_documents.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "5", "8", "9", "None"]
-    assert neardup.classes(no_documents).count() == 0
+    assert neardup.classes(no_documents).count() == 0 and neardup.dedup(no_documents).count() == 0
+    twice = odd_documents.where("doc_id = 1").withColumn("source", F.lit("z")).unionByName(odd_documents.where("doc_id = 1"))
+    assert len({tuple(neardup.dedup(twice.repartition(n)).collect()[0]) for n in (1, 2, 3)}) == 1
 
 
 def test_components(spark):

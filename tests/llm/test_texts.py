@@ -2,10 +2,12 @@
 
 import functools
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from locusloom.llm import digest, linededup, packing, subwords
@@ -149,6 +151,9 @@ def test_plan_fits(counts):
 
 
 def test_packing_odd(spark, odd_documents, no_documents):
+    kept = packing.pack(odd_documents.withColumn("length", F.lit(5)))
+    assert kept.columns == [*[c for c in odd_documents.columns if c not in ("length", "offset")], "length", "sequence_id", "offset"] or set(kept.columns) == {*odd_documents.columns, "sequence_id"}
+    assert kept.count() == 10 and {r["_row"] for r in kept.collect()} == {"x"}
     rows = packing.pack_documents(odd_documents).collect()
     check_packed(rows, 1024)
     assert sum(r["doc_id"] == 1 for r in rows) == 2
@@ -201,6 +206,72 @@ def test_sampling_follows_the_lattice():
         assert abs(counts.get(path, 0) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def plain_sample(text, key, seed, pieces, by_text):
+    """One text's segmentation, a unit and a character at a time, with the same random numbers."""
+    low = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & low
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & low
+        return x ^ x >> 31
+
+    step, out = 0x9E3779B97F4A7C15, []
+    for place, unit in enumerate(re.findall(r"\n| +[^ \n]*|[^ \n]+", text)):
+        edges = []  # of each position: (length, ids, log-probability)
+        for end in range(1, len(unit) + 1):
+            here = []
+            for n in range(1, end + 1):
+                part = unit[end - n : end]
+                raw = part.encode()
+                if part in by_text and "▁" not in part:
+                    here.append((n, [by_text[part]], pieces.log_p[by_text[part]]))
+                elif n == 1:
+                    here.append((1, [int(pieces.byte_ids[b]) for b in raw], pieces.log_byte * len(raw)))
+            edges.append(here)
+        alpha = [0.0]
+        for end, here in enumerate(edges, 1):
+            alpha.append(np.logaddexp.reduce([alpha[end - n] + lp for n, _, lp in here]))
+        state, at, ids = mix((xxhash.xxh3_64_intdigest(f"{seed}:{key}") + place * step) & low), len(unit), []
+        while at:
+            state = mix((state + step) & low)
+            u, here = (state >> 11) * 2.0**-53, edges[at - 1]
+            for k, (n, part, lp) in enumerate(here):
+                chance = np.exp(alpha[at - n] + lp - alpha[at])
+                if u < chance or k == len(here) - 1:
+                    break
+                u -= chance
+            ids, at = part + ids, at - n
+        out += ids
+    return out
+
+
+def test_subwords_query_against_a_plain_form(spark, data):
+    pieces = subwords_pieces()
+    by_text = {b.decode(): i for i, b in enumerate(pieces.bytes_of) if b and i not in set(pieces.byte_ids.tolist())}
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, data, "documents").collect() if len(r["text"]) < 1500]
+    docs += [(-1, "▁ é 漢字 \U0001f642\tx  y\n\n z"), (-2, "")]
+    got = subwords.sample([t for _, t in docs], [str(d) for d, _ in docs], pieces, 0)
+    want = [plain_sample(t, d, 0, pieces, by_text) for d, t in docs]
+    assert [x.tolist() for x in got] == want
+    plain = spark.createDataFrame([(d, ids) for (d, _), ids in zip(docs, want, strict=True) if d >= 0], "doc_id long, piece_ids array<int>")
+    plain = {r["doc_id"]: (r["n"], r["h"]) for r in plain.select("doc_id", F.size("piece_ids").alias("n"), F.xxhash64("piece_ids").alias("h")).collect()}
+    rows = {r["doc_id"]: (r["n_pieces"], r["ids_hash"]) for r in QUERIES["op6_subwords"](spark, data).collect()}
+    assert len(plain) > 50 and all(rows[d] == v for d, v in plain.items())
+
+
+def test_kept_lattices_change_nothing(monkeypatch):
+    """A table that is emptied again and again, and one that keeps all, give the same pieces."""
+    texts = [f"the words number {i % 7} and some others{i}" for i in range(60)]
+    keys = [str(i) for i in range(60)]
+    pieces = subwords_pieces()
+    whole = subwords.sample(texts, keys, pieces, 5)
+    for kept in (0, 1 << 20):
+        monkeypatch.setattr(subwords, "KEPT_EDGES", kept)
+        sampler = subwords.Sampler(pieces, 5)
+        parts = [x for i in range(0, 60, 7) for x in sampler.sample(texts[i : i + 7], keys[i : i + 7])]
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parts, strict=True))
+
+
 def test_subwords_do_not_depend_on_batches(spark, data):
     docs = table(spark, data, "documents").select("doc_id", "text")
     one = {r["doc_id"]: r["piece_ids"] for r in subwords.encode(docs.repartition(7, "doc_id")).collect()}
@@ -237,7 +308,16 @@ def test_line_dedup_near_threshold(spark):
     assert [d for d, n in sorted(got.items()) if n] == list(range(101, 105))
 
 
+def test_line_dedup_long_text(spark):
+    """A log of 40,000 lines, half of which stand on every site, in time in proportion to its length."""
+    log = [f"entry {i // 2}" if i % 2 else f"common {i % 4000}" for i in range(40_000)]
+    rows = [(i, "\n".join(f"common {k}" for k in range(0, 4000, 2)), f"s{i}") for i in range(6)] + [(50, "\n".join(log), "s1")]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[50]["n_removed"] == 20_000 and got[50]["text"] == "\n".join(x for x in log if x.startswith("entry"))
+
+
 def test_line_dedup_odd(spark, odd_documents, no_documents):
+    assert linededup.dedup_lines(odd_documents).columns == [*[c for c in odd_documents.columns if c != "n_removed"], "n_lines", "n_removed"]
     rows = linededup.dedup_lines(odd_documents, min_sites=1).collect()
     assert len(rows) == 10
     assert {r["text"] for r in rows if r["doc_id"] == 2} == {None} and {r["text"] for r in rows if r["doc_id"] == 7} == {"\n\n \n"}
