@@ -23,7 +23,8 @@ from .common import aside, written
 MIN_SITES = 5
 #: The sketch has 2^12 cells: a standard error of 1.6 %. Estimates this near the threshold are counted exactly.
 SKETCH_BITS, NEAR = 12, 0.25
-SALTS = 32
+#: Hashes of 16 bytes that may be broadcast; tasks that share a line of many texts beyond that.
+SENT, SALTS = 200_000, 16
 BLANKS = " \t\r"
 
 
@@ -34,16 +35,21 @@ def lines_of(docs: DataFrame, site: str, text: str) -> DataFrame:
     return rows.where(line != "").select("_id", "_text", "_site", "_at", F.unhex(F.md5(line)).alias("_hash"))
 
 
+def of_hashes(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The ``lines`` of the chosen hashes (written): by a broadcast of at most SENT hashes, else by a join that deals a line of very many texts over SALTS tasks."""
+    if chosen.limit(SENT + 1).count() <= SENT:
+        return lines.join(F.broadcast(chosen), "_hash", "left_semi")
+    dealt = lines.withColumn("_salt", F.pmod("_text", F.lit(SALTS)).cast("int"))
+    return dealt.join(chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["_hash", "_salt"], "left_semi")
+
+
 def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` sites, with the place of the first occurrence."""
     lines = lines_of(docs, site, text)
     spread = lines.groupBy("_hash").agg(F.hll_sketch_agg("_site", F.lit(SKETCH_BITS)).alias("_sketch"), F.min(F.struct("_id", "_text", "_at")).alias("_first"))
     counted = spread.select("_hash", "_first", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - NEAR))
     suspects = written(counted, "suspects")
-    # a line that very many texts hold is dealt over SALTS tasks, and each sends its distinct sites on
-    near = suspects.where(F.col("_sites") < min_sites * (1 + NEAR)).select("_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = lines.withColumn("_salt", F.pmod("_text", F.lit(SALTS)).cast("int"))
-    exact = dealt.join(near, ["_hash", "_salt"], "left_semi").where("_site is not null").select("_hash", "_site").distinct().groupBy("_hash").agg(F.count("*").alias("_exact"))
+    exact = of_hashes(lines, suspects.where(F.col("_sites") < min_sites * (1 + NEAR)).select("_hash")).where("_site is not null").select("_hash", "_site").distinct().groupBy("_hash").agg(F.count("*").alias("_exact"))
     sites = F.coalesce(F.col("_exact"), F.col("_sites"))
     return suspects.join(exact, "_hash", "left").where(sites >= min_sites).select("_hash", "_first")
 

@@ -49,7 +49,7 @@ SLOTS = BANDS * ROWS
 CACHED, TEXTS, CHARS = 1 << 17, 128, 1 << 20
 #: Cells of the sketch of shingle counts: at most so many numbers reach the driver and go out again.
 CELL_BITS = 18
-SALTS = 16
+SALTS = 8
 U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -244,7 +244,10 @@ def across(left: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFr
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """``rows`` left-joined with ``table`` on ``key``; a key that many rows share is dealt over SALTS tasks."""
+    """``rows`` left-joined with ``table`` on ``key``; a key that many rows share is dealt over SALTS tasks.
+
+    Spark broadcasts ``table`` up to its own threshold, by the size before it is repeated: at most SALTS times that much.
+    """
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     return dealt.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"], "left").drop("salt")
 

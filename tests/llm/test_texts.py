@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -300,8 +301,10 @@ def test_line_dedup_keeps_first(spark):
     assert got[100]["text"] == rows[-1][1]
 
 
-def test_line_dedup_near_threshold(spark):
-    """Spreads just below and at the threshold are told apart exactly."""
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_line_dedup_near_threshold(spark, monkeypatch, bound):
+    """Spreads just below and at the threshold are told apart exactly, by a broadcast and by the join beyond it."""
+    monkeypatch.setattr(linededup, "SENT", bound)
     rows = [(i, "four sites", f"s{i}") for i in range(4)] + [(100 + i, "five sites", f"s{i}") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(docs).collect()}
