@@ -166,10 +166,16 @@ def qc_variant_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(qc.variant_missingness(qc_calls(spark, sf_dir), bound=0.25), "missing", digits=9).select("pos", "missing")
 
 
-@query("qc_hardy_weinberg")
+@query("qc_hardy_weinberg", f"""with {QC_CALLS}, c as (select pos, count(*) filter (gt = 0) as hom_ref, count(*) filter (gt = 1) as het, count(*) filter (gt = 2) as hom_alt from qc group by chrom, pos, ref, alt),
+d as (select *, hom_ref + het + hom_alt as n, 2 * least(hom_ref, hom_alt) + het as rare from c),
+h as (select *, unnest(range(rare % 2, rare + 1, 2)) as k from d),
+l as (select pos, hom_ref, het, hom_alt, k, k * ln(2) - lgamma(k + 1) - lgamma((rare - k) / 2 + 1) - lgamma((2 * n - rare - k) / 2 + 1) as lp from h),
+e as (select *, exp(lp - max(lp) over (partition by pos)) as p, exp(max(case when k = het then lp end) over (partition by pos) - max(lp) over (partition by pos)) as seen from l),
+r as (select pos, hom_ref, het, hom_alt, sum(p) filter (p <= seen * (1 + 1e-9)) / sum(p) as hwe_p from e group by all)
+select pos, het, hom_alt, hom_ref, round(hwe_p, 9) as hwe_p from r where hwe_p <= 0.05""")
 def qc_hardy_weinberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3."""
-    return qc.hardy_weinberg(qc_calls(spark, sf_dir), bound=0.05)
+    return rounded(qc.hardy_weinberg(qc_calls(spark, sf_dir), bound=0.05), "hwe_p", digits=9).select("pos", "het", "hom_alt", "hom_ref", "hwe_p")
 
 
 @query("qc_hardy_weinberg_counts", f"with {QC_CALLS} select pos, count(*) filter (gt = 1) as het, count(*) filter (gt = 2) as hom_alt, count(*) filter (gt = 0) as hom_ref from qc group by chrom, pos, ref, alt")
