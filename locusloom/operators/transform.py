@@ -30,8 +30,8 @@ def standardize_nonzero(df: DataFrame, params: dict[str, tuple[float, float]]) -
     return df.withColumns({c: F.when(F.col(c) != 0, (F.col(c) - m) / s).otherwise(0.0) for c, (m, s) in params.items()})
 
 
-def quantile_transform(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Gaussian quantile transform; nulls stay null, ties take the mean of their first and last rank.
+def quantile_ranks(df: DataFrame, column: str) -> DataFrame:
+    """_v, _p of each distinct value that isn't null: its quantile from 0 to 1; ties take the mean of their first and last rank.
 
     Distinct values and their counts are numbered by sorted ranges, so no task
     sees all rows.
@@ -42,7 +42,12 @@ def quantile_transform(df: DataFrame, column: str, out: str | None = None) -> Da
     first, last = F.col("_before"), F.col("_before") + F.col("_n") - 1
     low, high = first / (total - 1), last / (total - 1)
     q = F.when(F.col("_before") == 0, 0.0).when(F.col("_before") + F.col("_n") == total, 1.0).otherwise((low + high) / 2)
-    ranks = parts.select("_v", normal_quantile(q).alias("_q"))
+    return parts.select("_v", q.alias("_p"))
+
+
+def quantile_transform(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """Gaussian quantile transform (see ``quantile_ranks``); nulls stay null."""
+    ranks = quantile_ranks(df, column).select("_v", normal_quantile("_p").alias("_q"))
     joined = df.join(ranks, df[column] == ranks["_v"], "left")
     name = out or column
     return joined.select(*[df[c] for c in df.columns if c != name], F.col("_q").alias(name))

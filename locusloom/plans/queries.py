@@ -349,6 +349,14 @@ def transform_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.quantile_transform(study.samples(spark, sf_dir).select("sample", "y"), "y")
 
 
+@query("transform_quantile_ranks", "with v as (select c_acctbal as y, count(*) as n from customer group by 1), r as (select y, n, sum(n) over (order by y) - n as before, sum(n) over () as total from v) select c_custkey as sample, round(case when before = 0 then 0.0 when before + n = total then 1.0 else (before / (total - 1) + (before + n - 1) / (total - 1)) / 2 end, 9) as q from customer join r on y = c_acctbal")
+def transform_quantile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantiles that the transform takes normal quantiles of."""
+    people = study.samples(spark, sf_dir)
+    ranks = transform.quantile_ranks(people, "y")
+    return rounded(people.join(ranks, people["y"] == ranks["_v"]).select("sample", F.col("_p").alias("q")), "q", digits=9)
+
+
 @query("transform_permuted", "with k as (select c_custkey as sample, row_number() over (order by c_custkey) as i from customer), h as (select c_acctbal as y, row_number() over (order by md5('3:' || c_custkey), c_custkey) as i from customer) select sample, y from k join h using (i)")
 def transform_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W10."""

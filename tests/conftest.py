@@ -45,7 +45,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
     for c in frame.columns:
         if frame[c].dtype.kind == "f":
-            frame = frame.assign(**{c: frame[c].round(6)})
+            frame = frame.assign(**{c: frame[c].round(6) + 0.0})  # no negative zero
     return sorted(tuple(map(str, r)) for r in frame.itertuples(index=False))
 
 
