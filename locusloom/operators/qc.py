@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +38,12 @@ def hwe_exact(ref: int, het: int, alt: int) -> float:
     rare, n = 2 * min(ref, alt) + het, ref + het + alt
     if not n or not rare:
         return 1.0
-    mid = rare * (2 * n - rare) // (2 * n)
-    mid += (mid ^ rare) & 1
-    chance = {mid: 1.0}
-    h, r, c = mid, (rare - mid) // 2, n - mid - (rare - mid) // 2
-    while h > 1:
-        chance[h - 2] = chance[h] * h * (h - 1) / (4 * (r + 1) * (c + 1))
-        h, r, c = h - 2, r + 1, c + 1
-    h, r, c = mid, (rare - mid) // 2, n - mid - (rare - mid) // 2
-    while h <= rare - 2:
-        chance[h + 2] = chance[h] * 4 * r * c / ((h + 2) * (h + 1))
-        h, r, c = h + 2, r - 1, c - 1
-    seen = chance[het] * (1 + 1e-9)
-    return min(1.0, math.fsum(x for x in chance.values() if x <= seen) / math.fsum(chance.values()))
+    h = np.arange(rare % 2, rare + 1, 2, dtype=np.float64)  # heterozygotes, with r and c homozygotes of either kind
+    r, c = (rare - h) / 2, n - (rare + h) / 2
+    steps = np.log(4 * r[:-1] * c[:-1]) - np.log((h[:-1] + 2) * (h[:-1] + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chance = np.exp(logs - logs.max())
+    return float(min(1.0, chance[logs <= logs[het // 2] + 1e-9].sum() / chance.sum()))
 
 
 def hardy_weinberg(calls: DataFrame, n_samples: int | None = None, key: list[str] = SITE, bound: float = 1e-15) -> DataFrame:

@@ -47,7 +47,7 @@ def quantile_ranks(df: DataFrame, column: str) -> DataFrame:
 
 def quantile_transform(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Gaussian quantile transform (see ``quantile_ranks``); nulls stay null."""
-    ranks = quantile_ranks(df, column).select("_v", normal_quantile("_p").alias("_q"))
+    ranks = quantile_ranks(df, column).select("_v", normal_quantile(F.col("_p")).alias("_q"))
     joined = df.join(ranks, df[column] == ranks["_v"], "left")
     name = out or column
     return joined.select(*[df[c] for c in df.columns if c != name], F.col("_q").alias(name))

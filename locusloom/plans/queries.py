@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.distributions import CLIP
 from ..operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, transform
 from ..sources import readers, sinks
 from . import study
@@ -28,7 +29,13 @@ NULL = """fit as (select regr_slope(c_acctbal, c_nationkey) as s, regr_intercept
 res as (select c_custkey as sample, c_nationkey as x, c_acctbal - i - s * c_nationkey as r from customer cross join fit),
 sig as (select sum(r * r) / (count(*) - 2) as s2 from res)"""
 STUDY = ", ".join([CALLS, N, AF, ANNO, CARRIERS, VALUES])
-GENE_SUMS = f"{STUDY}, {BURDENS}, {NULL}, g as (select gene, sum(b * r) as u, sum(b * b) - power(sum(b), 2) / any_value(k) - power(sum(b * x) - sum(b) * any_value(sx) / any_value(k), 2) / any_value(sxx) as v, sum(b * b) as bb from burdens join res using (sample) cross join fit group by gene)"
+SUMS = f"{NULL}, g as (select gene, sum(b * r) as u, sum(b * b) - power(sum(b), 2) / any_value(k) - power(sum(b * x) - sum(b) * any_value(sx) / any_value(k), 2) / any_value(sxx) as v, sum(b * b) as bb from burdens join res using (sample) cross join fit group by gene)"
+GENE_SUMS = f"{STUDY}, {BURDENS}, {SUMS}"
+SCORE_TEST = "t as (select gene, u / v as beta, sqrt(s2 / v) as beta_sd, u * u / (s2 * v) as stat from g cross join sig where v > 1e-9 * bb)"
+# the upper tail of chi-squared with one degree of freedom, by the series of the error function
+PVAL = "1 - list_sum(list_transform(range(0, 400), lambda n: exp((n + 0.5) * ln(greatest(stat, 1e-300) / 2) - stat / 2 - lgamma(n + 1.5))))"
+FDR_SQL = """r as (select *, row_number() over ({p} order by pval) as i, count(*) over ({p}) as m from pv),
+c as (select *, least(min(pval * m / i) over ({p} order by i desc rows unbounded preceding), 1) as q from r)"""
 # a p-value for each part and method, from its key
 PVALS = "pv as (select p_brand as gene, p_partkey as k, p_type as method, (p_partkey * 7919 % 10007 + 1) / 10008.0 as pval from part)"
 
@@ -343,13 +350,20 @@ def transform_standardized_nonzero(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(transform.standardize_nonzero(v, transform.mean_std(v, ["x"], ignore_zero=True)), "x")
 
 
-@query("transform_quantile")
+RANKS = "v as (select c_acctbal as y, count(*) as n from customer group by 1), r as (select y, n, sum(n) over (order by y) - n as before, sum(n) over () as total from v), ranks as (select y, case when before = 0 then 0.0 when before + n = total then 1.0 else (before / (total - 1) + (before + n - 1) / (total - 1)) / 2 end as p from r)"
+# the normal quantile by bisection of the normal distribution, whose values come from the series of the error function
+NORMAL = "0.5 + sign(z) * list_sum(list_transform(range(0, 120), lambda n: exp((n + 0.5) * ln(greatest(z * z, 1e-300) / 2) - z * z / 2 - lgamma(n + 1.5)))) / 2"
+
+
+@query("transform_quantile", f"""with recursive {RANKS}, step as (select p, 0 as i, -{CLIP} as low, {CLIP} as high, 0.0::double as z from (select distinct p from ranks) union all
+select p, i + 1, case when f < p then z else low end, case when f < p then high else z end, (case when f < p then z + high else low + z end) / 2 from (select *, {NORMAL} as f from step where i < 44)),
+q as (select p, case when p <= 1e-7 then -{CLIP} when p >= 1 - 1e-7 then {CLIP} else z end as z from step where i = 44) select c_custkey as sample, round(z, 9) as y from customer join ranks on y = c_acctbal join q using (p)""")
 def transform_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W8."""
-    return transform.quantile_transform(study.samples(spark, sf_dir).select("sample", "y"), "y")
+    return rounded(transform.quantile_transform(study.samples(spark, sf_dir).select("sample", "y"), "y"), "y", digits=9)
 
 
-@query("transform_quantile_ranks", "with v as (select c_acctbal as y, count(*) as n from customer group by 1), r as (select y, n, sum(n) over (order by y) - n as before, sum(n) over () as total from v) select c_custkey as sample, round(case when before = 0 then 0.0 when before + n = total then 1.0 else (before / (total - 1) + (before + n - 1) / (total - 1)) / 2 end, 9) as q from customer join r on y = c_acctbal")
+@query("transform_quantile_ranks", f"with {RANKS} select c_custkey as sample, round(p, 9) as q from customer join ranks on y = c_acctbal")
 def transform_quantile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quantiles that the transform takes normal quantiles of."""
     people = study.samples(spark, sf_dir)
@@ -387,16 +401,16 @@ def gene_burdens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gene_test.collapse_several(study.weighted(study.carriers(spark, sf_dir)), {f"b_{m}": m for m in ("sum", "max", "binary")}), "b_sum", "b_max")
 
 
-@query("gene_association", f"with {GENE_SUMS}, t as (select gene, u / v as beta, u * u / (s2 * v) as stat from g cross join sig where v > 1e-9 * bb) select gene, round(beta, 6) as beta, round(stat, 6) as stat from t")
+@query("gene_association", f"with {GENE_SUMS}, {SCORE_TEST} select gene, round(beta, 6) as beta, round(stat, 6) as stat from t")
 def gene_association_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first slice end to end: M1, M3, M4 (p-values, which SQL lacks, are in ``gene_association_corrected``)."""
+    """The first slice end to end: M1, M3, M4."""
     return rounded(study.gene_association(spark, sf_dir), "beta", "stat").select("gene", "beta", "stat")
 
 
-@query("gene_association_corrected")
+@query("gene_association_corrected", f"with {GENE_SUMS}, {SCORE_TEST}, pv as (select *, {PVAL} as pval from t), {FDR_SQL.format(p='')} select gene, round(beta, 6) as beta, round(stat, 6) as stat, round(pval, 9) as pval, round(q, 9) as pval_corrected, q <= 0.05 as significant from c")
 def gene_association_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with p-values, corrected."""
-    return study.gene_association(spark, sf_dir)
+    return rounded(rounded(study.gene_association(spark, sf_dir), "beta", "stat"), "pval", "pval_corrected", digits=9)
 
 
 @query("gene_ols", f"with {GENE_SUMS}, o as (select gene, u / v as beta, v, (select sum(r * r) from res) - u * u / v as rss from g where v > 1e-9 * bb) select gene, round(beta, 6) as beta, round(beta / sqrt(rss / ((select k from fit) - 3) / v), 6) as t from o")
@@ -520,20 +534,53 @@ def networks() -> dict[int, deepset.Network]:
     return {r: deepset.random_network(3, seed=r) for r in range(3)}
 
 
+def network_sql(rows: str, x: str, out: str) -> str:
+    """CTEs that end in ``out`` (sample, gene, repeat, burden): scores of the rows' features ``x`` by ``networks``, whose weights are written out, a unit's bias last."""
+    units = lambda layer: "[" + ", ".join(str([*map(float, column), float(b)]) for column, b in zip(layer[0].T, layer[1], strict=True)) + "]::double[][]"
+    nets = [[*net.phi, *net.rho] for net in networks().values()]
+    values = ", ".join(f"({r}, " + ", ".join(map(units, layers)) + ")" for r, layers in enumerate(nets))
+    n, phi = len(nets[0]), len(networks()[0].phi)
+    layer = lambda k, before: f"list_transform(w{k}, lambda u: list_dot_product(u, list_append({before}, 1.0::double)))"
+    ctes = [
+        f"{out}_n as (select * from (values {values}) as nets(repeat, {', '.join(f'w{k}' for k in range(n))}))",
+        f"{out}_h0 as (select id, x as h, {out}_n.* from (select distinct variant_id as id, {x}::double[] as x from {rows} union all select null, [0, 0, 0]::double[]) cross join {out}_n)",
+        *[f"{out}_h{k + 1} as (select * replace (list_transform({layer(k, 'h')}, lambda z: greatest(z, 0.01 * z)) as h) from {out}_h{k})" for k in range(phi)],
+        f"{out}_s as (select sample, gene, repeat, h from {rows} join {out}_h{phi} on id = variant_id union all select sample, gene, repeat, h from (select distinct sample, gene from {rows}) cross join {out}_h{phi} where id is null union all select null, null, repeat, h from {out}_h{phi} where id is null)",
+        f"{out}_m as (select sample, gene, repeat, i, max(h[i]) as m from (select *, unnest(range(1, len(h) + 1)) as i from {out}_s) group by all)",
+        f"{out}_h{phi}p as (select sample, gene, h, {out}_n.* from (select sample, gene, repeat, list(m order by i) as h from {out}_m group by all) join {out}_n using (repeat))",
+    ]
+    last = f"{out}_h{phi}p"
+    for k in range(phi, n):
+        h = layer(k, "h") if k == n - 1 else f"list_transform({layer(k, 'h')}, lambda z: greatest(z, 0.01 * z))"
+        ctes.append(f"{out}_h{k + 1} as (select * replace ({h} as h) from {last})")
+        last = f"{out}_h{k + 1}"
+    # the empty set's scores have no sample
+    ctes += [f"{out}_all as (select sample, gene, repeat, 1 / (1 + exp(-h[1])) as burden from {last})", f"{out} as (select * from {out}_all where sample is not null)"]
+    return ", ".join(ctes)
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.carriers(spark, sf_dir).select("sample", "gene", "gt", "MAF", (F.col("size") / 50.0).alias("size"), (F.col("price") / 2000).alias("price"))
 
 
-@query("score_deepset")
+SCORES = STUDY + ", " + network_sql("carriers", "[maf, size / 50.0, price / 2000]", "scores")
+MEANS = f"{SCORES}, means as (select sample, gene, avg(burden) as burden from scores group by 1, 2)"
+
+
+@query("score_deepset", f"with {SCORES} select sample, gene, repeat, round(burden, 9) as burden from scores")
 def score_deepset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """carriers' scores by three networks."""
+    return rounded(scores(spark, sf_dir), "burden", digits=9)
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deepset.score(features(spark, sf_dir), ["MAF", "size", "price"], networks())
 
 
-@query("score_deepset_averaged")
+@query("score_deepset_averaged", f"with {MEANS} select sample, gene, round(burden, 9) as burden from means")
 def score_deepset_averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 over M16."""
-    return deepset.average(score_deepset(spark, sf_dir))
+    return rounded(deepset.average(scores(spark, sf_dir)), "burden", digits=9)
 
 
 @query("score_averaged_repeats", f"with {CALLS}, r as (select sample, 'g' || variant_id % 20 as gene, variant_id % 3 as repeat, avg(gt) as burden from calls group by all) select sample, gene, round(avg(burden), 9) as burden from r where repeat in (0, 2) group by 1, 2")
@@ -543,21 +590,24 @@ def score_averaged_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(deepset.average(deepset.average_models(rows), [0, 2]), "burden", digits=9)
 
 
-@query("score_association")
+@query("score_association", f"with {MEANS}, burdens as (select sample, gene, burden - (select avg(burden) from scores_all where sample is null) as b from means), {SUMS}, {SCORE_TEST} select gene, round(beta, 6) as beta, round(beta_sd, 6) as beta_sd, round(stat, 6) as stat, round({PVAL}, 9) as pval from t")
 def score_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Network scores less the empty score, tested for association."""
     nets = networks()
     empty = sum(n.empty_score() for n in nets.values()) / len(nets)
-    b = score_deepset_averaged(spark, sf_dir).select("sample", "gene", (F.col("burden") - empty).alias("b"))
+    b = deepset.average(scores(spark, sf_dir)).select("sample", "gene", (F.col("burden") - empty).alias("b"))
     people = study.samples(spark, sf_dir)
-    return gene_test.score_test(b, null_model.fit_linear(people, "y", ["nation"]), people)
+    found = gene_test.score_test(b, null_model.fit_linear(people, "y", ["nation"]), people)
+    return rounded(rounded(found, "beta", "beta_sd", "stat"), "pval", digits=9).select("gene", "beta", "beta_sd", "stat", "pval")
 
 
-@query("score_reversed_models")
+@query("score_reversed_models", f"""with {STUDY}, flagged as (select * from carriers where (sample, gene) in (select (sample, gene) from carriers where plof > 0)),
+{network_sql("flagged", "[maf, size / 50.0, plof]", "given")}, {network_sql("flagged", "[maf, size / 50.0, 0]", "cleared")},
+d as (select repeat, avg(g.burden - c.burden) as mean_change from given g join cleared c using (sample, gene, repeat) group by 1) select repeat, round(mean_change, 9) as mean_change, mean_change < 0 as reverse from d""")
 def score_reversed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14."""
     rows = study.carriers(spark, sf_dir).select("sample", "gene", "gt", "MAF", (F.col("size") / 50.0).alias("size"), F.col("plof").cast("double").alias("plof"))
-    return deepset.reversed_models(rows, ["MAF", "size", "plof"], ["plof"], networks())
+    return rounded(deepset.reversed_models(rows, ["MAF", "size", "plof"], ["plof"], networks()), "mean_change", digits=9)
 
 
 @query("score_phenotype_head", f"with {STUDY}, {BURDENS} select c_custkey as sample, round(1.5 + 0.1 * c_nationkey + coalesce(sum(b * length(gene)), 0), 6) as prediction from customer left join burdens on sample = c_custkey group by c_custkey, c_nationkey")
@@ -570,10 +620,6 @@ def score_phenotype_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- corrections and evaluation ----------------------------------------------
 
-FDR_SQL = """r as (select *, row_number() over ({p} order by pval) as i, count(*) over ({p}) as m from pv),
-c as (select *, least(min(pval * m / i) over ({p} order by i desc rows unbounded preceding), 1) as q from r)"""
-
-
 @query("correct_fdr", f"with {PVALS}, {FDR_SQL.format(p='')} select k, round(q, 9) as pval_corrected, q <= 0.5 as significant from c")
 def correct_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1, W3."""

@@ -1,6 +1,7 @@
 """Operators on hand-made tables, with their failures, and numerics against plain numpy."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -100,10 +101,18 @@ def test_hwe():
 def test_distributions():
     assert abs(dist.chi2_1_sf(3.841458820694124) - 0.05) < 1e-12
     assert abs(dist.t_sf2(2.2281388519649385, 10) - 0.05) < 1e-10
-    assert dist.norm_ppf(0) == -dist.norm_ppf(1) == -dist.CLIP
     assert abs(dist.beta_pdf(0.1, 1, 25) - 25 * 0.9**24) < 1e-9
 
 
+def test_normal_quantile(spark):
+    ps = [0.0, 1e-8, 1.1e-7, 1e-5, 0.01, 0.0749, 0.0751, 0.3, 0.5, 0.9, 0.9251, 0.99999, 1 - 1.1e-7, 1 - 1e-9, 1.0, None]
+    got = [r["q"] for r in spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").select("i", dist.normal_quantile(F.col("p")).alias("q")).orderBy("i").collect()]
+    assert got[-1] is None
+    for p, q in zip(ps[:-1], got[:-1], strict=True):
+        plain = -dist.CLIP if p <= 1e-7 else dist.CLIP if p >= 1 - 1e-7 else NormalDist().inv_cdf(p)
+        assert abs(q - plain) < 1e-12
+
+
 def test_mixture_tail():
     rng = np.random.default_rng(0)
     for w in ([1.0], [1.0, 1.0], [3.0, 1.0, 0.5, 0.1], [1.0] * 20):
@@ -220,7 +229,7 @@ def test_quantile_transform(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([3.0, 1.0, 2.0, 2.0, None, 5.0])], "id int, y double")
     got = {r["id"]: r["y"] for r in transform.quantile_transform(df, "y").collect()}
     assert got[4] is None and got[1] == -dist.CLIP and got[5] == dist.CLIP
-    assert abs(got[2] - dist.norm_ppf((1 / 4 + 2 / 4) / 2)) < 1e-12 and got[2] == got[3] and abs(got[0] - dist.norm_ppf(3 / 4)) < 1e-12
+    assert abs(got[2] - NormalDist().inv_cdf((1 / 4 + 2 / 4) / 2)) < 1e-12 and got[2] == got[3] and abs(got[0] - NormalDist().inv_cdf(3 / 4)) < 1e-12
 
 
 def test_transform_y_leaves_binary(spark):
