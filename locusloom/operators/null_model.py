@@ -112,7 +112,7 @@ def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tole
         inverse = np.linalg.pinv(hessian)
         step = inverse @ np.array([row[f"g{i}"] for i in range(k)])
         if np.abs(step).max() < tolerance * (1 + np.abs(beta).max()):
-            converged = True
+            beta, converged = beta + step, True
             break
     rows.unpersist()
     return NullModel(y, tuple(x), tuple(map(float, beta)), tuple(map(tuple, inverse)), 1.0, n, True, converged)
