@@ -5,9 +5,11 @@ Every fit is a few sums over the samples: a k x k system is solved on the driver
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def fit_linear(samples: DataFrame, y: str, x: list[str], ddof: int | None = None
 
 
 def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tolerance: float = 1e-8) -> NullModel:
-    """Logistic regression by Newton steps, one aggregation a step over the rows read once.
+    """Logistic regression by Newton steps, one small job a step over the rows read once.
 
     A step that doesn't raise the likelihood is halved. ``converged`` says whether
     the steps became small; where the classes can be separated they don't.
@@ -94,23 +96,14 @@ def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tole
     beta, step, best, converged = np.zeros(k), np.zeros(k), -np.inf, False
     inverse, n = np.zeros((k, k)), 0
     for _ in range(steps):
-        model = NullModel(y, tuple(x), tuple(map(float, beta + step)), (), 1.0, 0, True)
-        mu, eta = model.fitted(), F.greatest(F.least(model.linear(), F.lit(MOST)), F.lit(-MOST))
-        w = mu * (1 - mu)
-        gains = [F.sum(c * (F.col(y) - mu)).alias(f"g{i}") for i, c in enumerate(design(x))]
-        likelihood = F.sum(F.col(y) * eta - F.log1p(F.exp(eta))).alias("l")
-        parts = [F.sum(w * a * b).alias(f"h{i}_{j}") for i, a in enumerate(design(x)) for j, b in enumerate(design(x)) if i <= j]
-        row = rows.agg(*gains, *parts, likelihood, F.count("*").alias("n")).first()
-        n = row["n"]
+        gradient, hessian, l, n = newton_sums(rows, y, x, beta + step)
         if not n:
             break
-        if row["l"] < best - 1e-9 * abs(best):
+        if l < best - 1e-9 * abs(best):
             step = step / 2
             continue
-        beta, best = beta + step, row["l"]
-        hessian = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        inverse = np.linalg.pinv(hessian)
-        step = inverse @ np.array([row[f"g{i}"] for i in range(k)])
+        beta, best, inverse = beta + step, l, np.linalg.pinv(hessian)
+        step = inverse @ gradient
         if np.abs(step).max() < tolerance * (1 + np.abs(beta).max()):
             beta, converged = beta + step, True
             break
@@ -118,6 +111,24 @@ def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tole
     return NullModel(y, tuple(x), tuple(map(float, beta)), tuple(map(tuple, inverse)), 1.0, n, True, converged)
 
 
+def newton_sums(rows: DataFrame, y: str, x: list[str], beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Gradient, Hessian, log-likelihood and number of rows at ``beta``: matrix products of Arrow batches, summed over partitions by Spark."""
+    k = len(x) + 1
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(k * k + k + 2)
+        for b in batches:
+            z = np.column_stack([np.ones(len(b)), *[b[c].to_numpy(np.float64) for c in x]])
+            t, eta = b[y].to_numpy(np.float64), np.clip(z @ beta, -MOST, MOST)
+            mu = 1 / (1 + np.exp(-eta))
+            total += np.concatenate([((z * (mu * (1 - mu))[:, None]).T @ z).ravel(), z.T @ (t - mu), [t @ eta - np.log1p(np.exp(eta)).sum(), len(b)]])
+        yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "v": total})
+
+    got = {r["i"]: r["v"] for r in rows.mapInPandas(summed, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    v = np.array([got.get(i, 0.0) for i in range(k * k + k + 2)])
+    return v[k * k : k * k + k], v[: k * k].reshape(k, k), float(v[-2]), int(v[-1])
+
+
 def fit(samples: DataFrame, y: str, x: list[str]) -> NullModel:
     """Logistic if y has exactly two values, else linear."""
     two = samples.agg(F.count_distinct(y).alias("n")).first()["n"] == 2
