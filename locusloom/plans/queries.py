@@ -434,18 +434,22 @@ def logistic_sql(steps: int = 12) -> str:
     return ", ".join([*ctes, sums.format(steps)])
 
 
-@query("gene_logistic", f"""with {STUDY}, {BURDENS}, {logistic_sql()}, w as (select * from w12), f as (select seg, ws, xs, xx from s12),
-p as (select gene, seg, sum(b * (y - mu)) as u, sum(wt * b) as bs, sum(wt * b * x) as bx, sum(wt * b * b) as bb, count(*) filter (b <> 0) as c from burdens join w using (sample) group by 1, 2),
-t as (select gene, sum(c)::bigint as n_carriers, power(sum(u), 2) / (sum(bb) - sum(bs * bs / ws) - power(sum(bx - xs * bs / ws), 2) / (select sum(xx - xs * xs / ws) from f)) as stat from p join f using (seg) group by 1)
-select gene, n_carriers, round(stat, 6) as stat, round({PVAL}, 6) as pval from t""")
 def gene_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2, M3 for a binary phenotype, with covariates one-hot coded."""
     people = study.samples(spark, sf_dir)
     values = transform.levels(people, "segment")[1:]
     coded = people.select("sample", "y_binary", "nation", *transform.one_hot_columns("segment", values))
     x = ["nation", *[f"segment_{v}" for v in values]]
-    found = gene_test.score_test(gene_test.collapse(study.weighted(study.carriers(spark, sf_dir))), null_model.fit(coded, "y_binary", x), coded)
-    return rounded(found, "stat", "pval").select("gene", "n_carriers", "stat", "pval")  # a logistic model has no effect sizes
+    return gene_test.score_test(gene_test.collapse(study.weighted(study.carriers(spark, sf_dir))), null_model.fit(coded, "y_binary", x), coded)
+
+
+@query("gene_logistic", f"""with {STUDY}, {BURDENS}, {logistic_sql()}, w as (select * from w12), f as (select seg, ws, xs, xx from s12),
+p as (select gene, seg, sum(b * (y - mu)) as u, sum(wt * b) as bs, sum(wt * b * x) as bx, sum(wt * b * b) as bb, count(*) filter (b <> 0) as c from burdens join w using (sample) group by 1, 2),
+t as (select gene, sum(c)::bigint as n_carriers, power(sum(u), 2) / (sum(bb) - sum(bs * bs / ws) - power(sum(bx - xs * bs / ws), 2) / (select sum(xx - xs * xs / ws) from f)) as stat from p join f using (seg) group by 1)
+select gene, n_carriers, round(stat, 6) as stat, round({PVAL}, 6) as pval from t""")
+def gene_logistic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, rounded; a logistic model has no effect sizes."""
+    return rounded(gene_logistic(spark, sf_dir), "stat", "pval").select("gene", "n_carriers", "stat", "pval")
 
 
 def skat_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, null_model.NullModel, DataFrame]:
