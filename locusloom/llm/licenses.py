@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import aside, written
 
-# Words that mark a notice in the SQL, and public short notices by SPDX identifier.
-ANCHORS = "licen[sc]e|copyright|copying|creative commons|cc by|public domain|redistribut|without warranty"
+# Public short notices by SPDX identifier.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -58,6 +57,14 @@ LEAST = 0.8
 NOT_WORD = "[^a-z0-9]+"
 
 
+def longest_run(least: float) -> int:
+    """Words of a run at most: twice those of the longest notice over the squared threshold."""
+    return math.ceil(2 * max(len([w for w in re.split(NOT_WORD, t.lower()) if w]) for _, t in TEMPLATES) / max(least, 0.1) ** 2)
+
+
+LONGEST = longest_run(LEAST)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
@@ -165,7 +172,7 @@ def runs(docs: DataFrame, text: str, tells: list[str], longest: int, *keys: str)
 def spots(keyed: DataFrame, text: str, short: Notices, full: Notices) -> DataFrame:
     """_key, _path, header (hash), line, whole: the runs of all files, and the whole texts of licence files, that may match."""
     tells = short.tells()
-    longest = math.ceil(2 * max(len([w for w in re.split(NOT_WORD, t.lower()) if w]) for _, t in TEMPLATES) / max(short.least, 0.1) ** 2)
+    longest = longest_run(short.least)
     parts = runs(keyed, text, tells, longest, "_key", "_path").withColumn("whole", F.lit(False))
     either = sorted({*tells, *full.tells()})
     files = keyed.where(is_holder(F.col("_path")) & holds(F.col(text), either)).select("_key", "_path", F.lower(F.col(text)).alias("line"), F.lit(True).alias("whole"))

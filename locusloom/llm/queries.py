@@ -80,31 +80,42 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sql() -> str:
-    """The same by DuckDB: cosines of all header lines, then the deepest directory above with a licence file."""
-    templates = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+    """The same by DuckDB: cosines of all runs of lines and of whole licence files, without a gate of tell-tale words, then the deepest directory above with a licence file."""
+    quoted = lambda texts: ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(texts))
     words = "list_filter(regexp_split_to_array(lower({}), '" + licenses.NOT_WORD + "'), lambda w: w <> '')"
+
+    def cosines(k: str, texts: list[tuple[str, str]], docs: str) -> str:
+        """CTEs of {k}cos (header, licence, cosine): headers of {k}hw (header, word, tf) against the texts, with document frequencies of docs."""
+        return f"""{k}t(template, licence, notice) as (values {quoted(texts)}),
+{k}tw as (select template, word, count(*) as tf from (select template, unnest({words.format("notice")}) as word from {k}t) group by all),
+{k}df as (select word, count(*) as df from (select distinct doc_id, unnest({words.format("text")}) as word from {docs}) where word in (select word from {k}tw) group by word),
+{k}idf as (select word, ln(((select count(*) from {docs}) + 1) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct word from {k}tw) left join {k}df using (word)),
+{k}tv as (select template, word, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by template)) as y from {k}tw join {k}idf using (word)),
+{k}w as (select header, word, tf * coalesce(idf, ln((select count(*) from {docs}) + 1) + 1) as w, idf is not null as inside from {k}hw left join {k}idf using (word)),
+{k}v as (select header, word, w / norm as x from {k}w join (select header, sqrt(sum(w * w)) as norm from {k}w group by header) using (header) where inside),
+{k}cos as (select header, licence, round(sum(x * y), 9) as cosine from {k}v join {k}tv using (word) join {k}t using (template) group by header, licence, template)"""
+
     return f"""
-with templates(template, licence, notice) as (values {templates}),
-d as (select doc_id, text, case when doc_id % 14 = 0 then source || '/p' || (doc_id % 50) || '/LICENSE-' || doc_id
+with d as (select doc_id, text, case when doc_id % 14 = 0 then source || '/p' || (doc_id % 50) || '/LICENSE-' || doc_id
         when doc_id % 7 = 0 then source || '/p' || (doc_id % 50) || '/q' || (doc_id % 3) || '/LICENSE-' || doc_id
         else source || '/p' || (doc_id % 50) || '/q' || (doc_id % 3) || '/' || doc_id || '.txt' end as path from documents),
-tw as (select template, word, count(*) as tf from (select template, unnest({words.format("notice")}) as word from templates) group by all),
-vocabulary as (select distinct word from tw),
-df as (select word, count(*) as df from (select distinct doc_id, unnest({words.format("text")}) as word from d) where word in (select word from vocabulary) group by word),
-idf as (select word, ln(((select count(*) from d) + 1) / (coalesce(df, 0) + 1)) + 1 as idf from vocabulary left join df using (word)),
-other as (select ln((select count(*) from d) + 1) + 1 as other),
-tv as (select template, word, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by template)) as y from tw join idf using (word)),
-l as (select doc_id, lower(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(lower(line), '{licenses.ANCHORS}')),
-lw as (select line, word, count(*) as tf from (select line, unnest({words.format("line")}) as word from (select distinct line from l)) group by all),
-lv as (select line, word, tf * coalesce(idf, other) / sqrt(sum(tf * coalesce(idf, other) * tf * coalesce(idf, other)) over (partition by line)) as x from lw left join idf using (word) cross join other),
-cosines as (select line, licence, template, round(sum(x * y), 9) as cosine from lv join tv using (word) join templates using (template) group by all),
-best as (select line, max({{'cosine': cosine, 'licence': licence}}) as b from cosines group by line having max(cosine) >= {licenses.LEAST}),
-own as (select doc_id, max(b) as o from l join best using (line) group by doc_id),
-f as (select d.doc_id, regexp_replace(path, '/?[^/]*$', '') as dir, regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILES}') as holder, o from d left join own using (doc_id)),
-held as (select dir as above, max(o) as lic from f where holder and o is not null group by dir),
+f as (select doc_id, text, regexp_replace(path, '/?[^/]*$', '') as dir, regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILES}') as holder from d),
+files as (select doc_id, text from f where holder),
+l as (select doc_id, line, row_number() over (partition by doc_id order by spot) as i from (select doc_id, unnest(string_split(lower(text), chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as spot from d) where regexp_matches(line, '[a-z0-9]')),
+lw as (select doc_id, i, word, count(*) as tf from (select doc_id, i, unnest({words.format("line")}) as word from l) group by all),
+ln as (select doc_id, i, n, sum(n) over (partition by doc_id order by i) as upto from (select doc_id, i, sum(tf) as n from lw group by all)),
+runs as (select {{'d': a.doc_id, 'a': a.i, 'b': b.i}} as header, a.doc_id as doc_id, a.i as a, b.i as b from ln a join ln b on a.doc_id = b.doc_id and b.i between a.i and a.i + {licenses.LONGEST} and (a.i = b.i or b.upto - a.upto + a.n <= {licenses.LONGEST})),
+rhw as (select header, word, sum(tf) as tf from runs join lw on lw.doc_id = runs.doc_id and i between a and b group by all),
+whw as (select doc_id, word, count(*) as tf from (select doc_id, unnest({words.format("text")}) as word from files) group by all),
+shw as (select * from rhw union all select {{'d': doc_id, 'a': 0, 'b': 0}}, word, tf from whw),
+fhw as (select doc_id as header, word, tf from whw),
+{cosines("s", licenses.TEMPLATES, "d")},
+{cosines("f", licenses.full_texts(), "files")},
+own as (select doc_id, max({{'cosine': cosine, 'licence': licence}}) as o from (select header.d as doc_id, licence, cosine from scos union all select header, licence, cosine from fcos) where cosine >= {licenses.LEAST} group by doc_id),
+held as (select dir as above, max(o) as lic from f join own using (doc_id) where holder group by dir),
 near as (select f.doc_id, arg_max({{'above': above, 'licence': lic.licence}}, length(above)) as n from f join held on f.dir = above or starts_with(f.dir, above || '/') or above = '' group by f.doc_id)
 select doc_id, o.licence as own_licence, o.cosine as cosine, case when o is null then n.above end as inherited_from, coalesce(o.licence, n.licence) as licence
-from f left join near using (doc_id)
+from f left join own using (doc_id) left join near using (doc_id)
 """
 
 

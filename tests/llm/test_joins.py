@@ -85,6 +85,22 @@ def test_licence_oracle(spark, data, duck, same):
     same(QUERIES["op7_licenses"](spark, data).toPandas(), duck.sql(ORACLES["op7_licenses"]).df())
 
 
+def test_licence_oracle_on_runs(spark, same, tmp_path):
+    """The SQL, which compares all runs without a gate, on wrapped and commented notices and whole licence files."""
+    import duckdb
+
+    mit = "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software, to deal in the Software\n#\n# without restriction"
+    gpl = "// This program is free software: you can redistribute it and/or\n// modify it under the terms of the GNU General Public License,\n// version 3."
+    texts = [t for _, t in licenses.full_texts()] + [mit, gpl, mit + "\n" + gpl, "x\n\n" + gpl.replace(" ", "\n") + "\ny", "Released under\nthe MIT License.", "", None, "no licence of any kind\nto be found"]
+    rows = [(i, t, f"s{i % 2}") for i, t in enumerate(texts * 3)] + [(100 + i, f"plain words of document {i} in the order of the day", "s0") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op7_licenses"](spark, str(tmp_path)).toPandas()
+    assert got["own_licence"].nunique() >= 3
+    same(got, con.sql(ORACLES["op7_licenses"]).df())
+
+
 def test_licence_inheritance(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [
