@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, langid, licenses, linededup, neardup, packing, quality, subwords, topk
+from . import audit, chat, crosstoken, digest, exactdup, langid, licenses, linededup, neardup, packing, quality, subwords, topk
 from .common import held_out, table
 
 QUALITY_THRESHOLD = 0.3
@@ -152,6 +152,49 @@ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step and what the step's filter keeps, removes, repeats and alone catches, for every order of five filters."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+with d as (select coalesce(source, '') as part, doc_id, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
+f as (select part, doc_id, (len(ws) < 50)::int + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int
+             + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(min(doc_id) over (partition by t) < doc_id, false)::int as mask from w),
+g as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+m as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f left join g using (doc_id) group by part, mask),
+l as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as v(name, bit)),
+o as (select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+      from l a, l b, l c, l d, l e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s as (select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+r as (select part, filter_order, step, bit,
+             sum(case when mask & (before | bit) = 0 then n else 0 end) as kept, sum(case when mask & before = 0 and mask & bit <> 0 then n else 0 end) as removed,
+             sum(case when mask & before <> 0 and mask & bit <> 0 then n else 0 end) as redundant, sum(case when mask = bit then n else 0 end) as unique_fails,
+             sum(case when mask & before = 0 and mask & bit <> 0 then good else 0 end) as good_lost, sum(case when mask & before = 0 and mask & bit <> 0 then toxic else 0 end) as toxic_lost
+      from m, s group by part, filter_order, step, bit)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley from r
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+    return exactdup.duplicates(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t, length(coalesce(text, '')) as chars from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size, row_number() over w = 1 as kept, sha256(t) as text_sha256
+from n window w as (partition by t order by chars desc, doc_id nulls last rows between unbounded preceding and unbounded following)
+"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
+    return crosstoken.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -163,6 +206,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_top_k": op10_top_k,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op7_licenses": op7_sql(), "op8_line_dedup": OP8_SQL, "op10_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op7_licenses": op7_sql(), "op8_line_dedup": OP8_SQL, "op10_top_k": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_exact_dedup": OP12_SQL}
