@@ -6,7 +6,6 @@ of samples that don't carry a variant are never made: b is 0 for them.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.distributions import chi2_1_sf, chi2_sf, t_pvalue
+from ..functions.mixture import mixture_tail
+from ..functions.shared import written
+from . import spectrum
 from .null_model import NullModel, complete, design, fit_linear, products
 
 
@@ -104,35 +106,6 @@ def collapse_ultra_rare(rows: DataFrame, min_mac: int = 10) -> DataFrame:
     return marked.groupBy("sample", "gene", "marker").agg(F.max("value").alias("value"))
 
 
-def mixture_tail(q: float, weights: np.ndarray) -> float:
-    """P(sum of weights x chi2(1) > q), by the saddlepoint (Lugannani-Rice) with a moment match near the mean."""
-    w = weights[weights > 1e-9 * max(weights.max(initial=0.0), 1e-300)]
-    if not len(w) or q <= 0:
-        return 1.0
-    if len(w) == 1:
-        return chi2_1_sf(q / w[0])
-    k0 = lambda t: -0.5 * np.log1p(-2 * t * w).sum()
-    k1 = lambda t: (w / (1 - 2 * t * w)).sum()
-    low, high = -0.5 * len(w) / q - 1 / w.max(), 0.5 / w.max() * (1 - 1e-14)
-    while k1(low) > q:
-        low *= 2
-    for _ in range(200):
-        t = (low + high) / 2
-        low, high = (t, high) if k1(t) < q else (low, t)
-    mean, var, third = w.sum(), 2 * (w**2).sum(), 8 * (w**3).sum()
-    if abs(t) * math.sqrt(var) < 1e-4:
-        skew = third / var**1.5
-        df = 8 / skew**2
-        z = ((q - mean) / math.sqrt(var) * math.sqrt(2 * df) + df) / df
-        x = (z ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-        return 0.5 * math.erfc(x / math.sqrt(2))
-    k2 = (2 * w**2 / (1 - 2 * t * w) ** 2).sum()
-    r = math.copysign(math.sqrt(max(0.0, 2 * (t * q - k0(t)))), t)
-    v = t * math.sqrt(k2)
-    z = r + math.log(v / r) / r
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
 def skat_statistic(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
     """gene, q, n_markers of ``skat``, from sums alone: no gene is gathered in a task."""
     z = rows.select("sample", "gene", "marker", "value").join(model.frame(samples), "sample")
@@ -140,27 +113,40 @@ def skat_statistic(rows: DataFrame, model: NullModel, samples: DataFrame) -> Dat
     return single.groupBy("gene").agg(F.sum(F.col("zr") * F.col("zr")).alias("q"), F.count("*").cast("int").alias("n_markers"))
 
 
-#: Genes with more markers aren't tested: a gene's matrix of 5000 markers takes 200 MB in one task.
+#: Markers of a gene whose matrix is built in one task (8 MB); larger genes' spectra are found without it.
+DENSE = 1000
+#: Genes of more qualifying variants aren't seed-tested by default.
 MAX_MARKERS = 5000
 
 
-def skat(rows: DataFrame, model: NullModel, samples: DataFrame, max_markers: int = MAX_MARKERS) -> DataFrame:
+def skat_rows(rows: DataFrame, model: NullModel, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: gene, sample, marker, value, w; and a row a marker with zr, zx, sums of value x residual and of w x value x [1, covariates]."""
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in model.x]]
+    frame = model.frame(samples).select("sample", "r", "w", F.array(*x).alias("x"))
+    z = written(rows.select("sample", "gene", F.col("marker").cast("string").alias("marker"), F.col("value").cast("double").alias("value")).join(frame, "sample"), "markers")
+    sums = F.array(*[F.sum(F.col("w") * F.col("value") * F.get("x", F.lit(i))) for i in range(len(x))])
+    return z, written(z.groupBy("gene", "marker").agg(F.sum(F.col("value") * F.col("r")).alias("zr"), sums.alias("zx")), "marker_sums")
+
+
+def skat_moments(rows: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
+    """gene, trace, trace2 of the matrix of each gene's test statistic, without that matrix."""
+    return spectrum.moments(*skat_rows(rows, model, samples), model)
+
+
+def skat(rows: DataFrame, model: NullModel, samples: DataFrame, dense: int = DENSE, block: int = spectrum.BLOCK, steps: int = spectrum.STEPS) -> DataFrame:
     """gene, q, n_markers, pval: variance-component test of marker values z (sample, gene, marker, value).
 
     Cross products of markers come from a self join on (gene, sample), so only
-    pairs that share a carrier exist; one gene's small matrix is built in its
-    group. Genes are tested each on their own. A gene of more than ``max_markers``
-    markers has its q, from sums alone, and a null p.
+    pairs that share a carrier exist. A gene of at most ``dense`` markers has its
+    matrix and all eigenvalues in its group; larger ones go through ``spectrum``,
+    which holds no gene in one task.
     """
-    many = rows.select("gene", "marker").distinct().groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") > max_markers).select("gene")
-    large = skat_statistic(rows.join(many, "gene", "left_semi"), model, samples).withColumn("pval", F.lit(None).cast("double"))
-    rows = rows.join(many, "gene", "left_anti")
-    frame = model.frame(samples)
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in model.x]]
-    z = rows.select("sample", "gene", "marker", "value").join(frame, "sample")
-    single = z.groupBy("gene", "marker").agg(F.sum(F.col("value") * F.col("r")).alias("zr"), F.array(*[F.sum(F.col("w") * F.col("value") * c) for c in x]).alias("zx"))
-    a = z.select("gene", "sample", F.col("marker").alias("m1"), F.col("value").alias("v1"), "w")
-    b = z.select("gene", "sample", F.col("marker").alias("m2"), F.col("value").alias("v2"))
+    z, single = skat_rows(rows, model, samples)
+    large = written(single.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("gene"), "large_genes")
+    found = None if large.isEmpty() else spectrum.spectra(z, single, model, large, block, steps)
+    small, ones = (t.join(large, "gene", "left_anti") for t in (z, single))
+    a = small.select("gene", "sample", F.col("marker").alias("m1"), F.col("value").alias("v1"), "w")
+    b = small.select("gene", "sample", F.col("marker").alias("m2"), F.col("value").alias("v2"))
     cross = a.join(b, ["gene", "sample"]).where("m1 <= m2").groupBy(F.col("gene").alias("gene_"), "m1", "m2").agg(F.sum(F.col("w") * F.col("v1") * F.col("v2")).alias("zz"))
     inverse, sigma2 = np.array(model.inverse), model.sigma2
 
@@ -173,11 +159,12 @@ def skat(rows: DataFrame, model: NullModel, samples: DataFrame, max_markers: int
         zz[j, i] = two.zz
         zx = np.stack(one.zx.to_list())
         q = float((one.zr**2).sum())
-        spectrum = np.linalg.eigvalsh(zz - zx @ inverse @ zx.T) * sigma2
-        return pd.DataFrame({"gene": [key[0]], "q": [q], "n_markers": [len(one)], "pval": [mixture_tail(q, spectrum)]})
+        values = np.linalg.eigvalsh(zz - zx @ inverse @ zx.T) * sigma2
+        return pd.DataFrame({"gene": [key[0]], "q": [q], "n_markers": [len(one)], "pval": [mixture_tail(q, values)]})
 
     kind = rows.schema["gene"].dataType.simpleString()
-    return single.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, q double, n_markers int, pval double").unionByName(large)
+    out = ones.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, q double, n_markers int, pval double")
+    return out if found is None else out.unionByName(found)
 
 
 def ols_phenotypes(burdens: DataFrame, samples: DataFrame, phenotypes: list[str], x: list[str]) -> DataFrame:
@@ -186,27 +173,46 @@ def ols_phenotypes(burdens: DataFrame, samples: DataFrame, phenotypes: list[str]
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Burden tests of seed genes have effect sizes where p is smaller than this.
+SEED_EFFECTS = 1e-3
+
+
 def seed_tests(rows: DataFrame, model: NullModel, samples: DataFrame, classes: dict[str, Column], least_weight: float = 0.0, min_mac: int = 10, max_markers: int = MAX_MARKERS, collapse_method: str = "binary", homozygotes_once: bool = False) -> DataFrame:
-    """gene, vtype, ttype, stat, pval, EAC, n_QV: burden and variance-component tests of each class of variants.
+    """Burden and variance-component tests of each class of variants: a row a gene, vtype and ttype.
 
     rows: sample, gene, variant_id, gt, weight and what ``classes`` (name -> rows of
     it) reads. Variants qualify with at least ``least_weight``; a call counts as gt
     times the root of the weight. Genes of ``max_markers`` qualifying variants or
     more have null p-values and statistics; variants of at most ``min_mac`` alleles
     are one marker of the variance-component test.
+
+    Columns: stat, pval; EAC of all variants of the class and EAC_filtered of
+    qualifying ones, n_cases, n_QV, n_cluster, max_var_count with homozygous calls and
+    max_var_count_wo_homoz, markers_after_mac_collapsing (of the test); beta and
+    beta_sd of burden tests with p below SEED_EFFECTS under a linear model.
     """
     n_cases, out = case_count(samples, model.y), []
+    eac = lambda some, name: expected_allele_count(some, model.n, n_cases).select("gene", F.col("eac").alias(name))
     for name, belongs in classes.items():
-        chosen = rows.where(belongs & (F.col("weight") >= least_weight))
-        counts = chosen.groupBy("gene").agg(F.count_distinct("variant_id").alias("n_QV")).join(expected_allele_count(chosen, model.n, n_cases).select("gene", F.col("eac").alias("EAC")), "gene")
-        few = counts.where(F.col("n_QV") < max_markers).select("gene")
+        of_class = rows.where(belongs)
+        chosen = of_class.where(F.col("weight") >= least_weight)
+        counters = variant_counters(chosen, min_mac).drop("n_cluster").withColumnRenamed("n_qv", "n_QV")
+        counts = eac(of_class, "EAC").join(eac(chosen, "EAC_filtered"), "gene", "left").join(counters, "gene", "left").fillna(0, ["n_QV"])
+        few = counts.where((F.col("n_QV") > 0) & (F.col("n_QV") < max_markers)).select("gene")
         gt = scalar.homozygotes_once("gt", homozygotes_once)
         valued = chosen.join(few, "gene", "left_semi").withColumn("value", gt * F.sqrt("weight"))
-        burden = score_test(collapse(valued, collapse_method), model, samples).select("gene", "stat", "pval", F.lit("burden").alias("ttype"))
-        component = skat(collapse_ultra_rare(valued, min_mac), model, samples, max_markers).select("gene", F.col("q").alias("stat"), "pval", F.lit("skat").alias("ttype"))
+        nothing = F.lit(None).cast("double")
+        effect = lambda c: F.when(F.col("pval") < SEED_EFFECTS, F.col(c)).alias(c)
+        burden = score_test(collapse(valued, collapse_method), model, samples).select("gene", "stat", "pval", effect("beta"), effect("beta_sd"), F.lit("burden").alias("ttype"))
+        component = skat(collapse_ultra_rare(valued, min_mac), model, samples).select("gene", F.col("q").alias("stat"), "pval", nothing.alias("beta"), nothing.alias("beta_sd"), F.lit("skat").alias("ttype"))
         kinds = counts.withColumn("ttype", F.explode(F.array(F.lit("burden"), F.lit("skat")))).withColumn("vtype", F.lit(name))
         out.append(kinds.join(burden.unionByName(component), ["gene", "ttype"], "left"))
-    return reduce(DataFrame.unionByName, out).select("gene", "vtype", "ttype", "stat", "pval", "EAC", "n_QV")
+    tested = (F.col("n_QV") > 0) & (F.col("n_QV") < max_markers)
+    found = reduce(DataFrame.unionByName, out).withColumns({
+        "n_cases": F.lit(n_cases).cast("long"), "n_cluster": F.when(tested, F.col("n_QV")),
+        "markers_after_mac_collapsing": F.when(tested & (F.col("ttype") == "skat"), F.col("markers_after_mac_collapsing")).otherwise(F.col("n_QV")),
+    })
+    return found.select("gene", "vtype", "ttype", "stat", "pval", "EAC", "EAC_filtered", "n_cases", "n_QV", "n_cluster", "max_var_count", "max_var_count_wo_homoz", "markers_after_mac_collapsing", "beta", "beta_sd")
 
 
 def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataFrame, y: str, x: list[str]) -> DataFrame:

@@ -470,6 +470,23 @@ def gene_skat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gene_test.skat(*skat_inputs(spark, sf_dir))
 
 
+@query("gene_skat_matrix_free")
+def gene_skat_matrix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9, as for genes of more markers than a task's matrix may have."""
+    return gene_test.skat(*skat_inputs(spark, sf_dir), dense=0, steps=6)
+
+
+@query("gene_skat_moments", f"""with {STUDY}, {NULL}, v as (select gene, variant_id, sample, value, x from vals join res using (sample)),
+s as (select gene, variant_id, sum(value) as a, sum(value * x) - sum(value) * any_value(sx) / any_value(k) as c, any_value(k) as k, any_value(sxx) as sxx from v cross join fit group by 1, 2),
+o as (select a.gene, a.variant_id as i, b.variant_id as j, sum(a.value * b.value) as zz from v a join v b on a.gene = b.gene and a.sample = b.sample group by 1, 2, 3),
+m as (select p.gene, p.variant_id = q.variant_id as same, coalesce(zz, 0) - p.a * q.a / p.k - p.c * q.c / p.sxx as e from s p join s q on p.gene = q.gene left join o on o.gene = p.gene and i = p.variant_id and j = q.variant_id)
+select gene, round(sum(case when same then e else 0 end) / 1e3, 6) as trace, round(sum(e * e) / 1e6, 6) as trace2 from m group by 1""")
+def gene_skat_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: traces of the test's matrix and of its square."""
+    found = gene_test.skat_moments(*skat_inputs(spark, sf_dir))
+    return found.select("gene", F.round(F.col("trace") / 1e3, 6).alias("trace"), F.round(F.col("trace2") / 1e6, 6).alias("trace2"))
+
+
 @query("gene_allele_counts", f"with {STUDY} select gene, round(sum(gt) / (2.0 * (select n from n)), 9) as caf, round(sum(gt) / (2.0 * (select n from n)) * (select count(*) from customer where c_acctbal < 0), 6) as eac from carriers group by 1")
 def gene_allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8, A28."""
@@ -510,10 +527,10 @@ def gene_seed_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multitest.correct(seed_tests(spark, sf_dir), "FDR", partition_by=["vtype", "ttype"])
 
 
-def seed_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seed_tests(spark: SparkSession, sf_dir: str, min_mac: int = 10) -> DataFrame:
     people = study.samples(spark, sf_dir)
     classes = {"plof": F.col("plof") == 1, "missense": F.col("plof") == 0}
-    return gene_test.seed_tests(study.carriers(spark, sf_dir), null_model.fit_linear(people, "y", ["nation"]), people, classes, collapse_method="sum")
+    return gene_test.seed_tests(study.carriers(spark, sf_dir), null_model.fit_linear(people, "y", ["nation"]), people, classes, min_mac=min_mac, collapse_method="sum")
 
 
 @query("gene_seed_statistics", f"""with {STUDY}, {NULL}, b as (select gene, plof, sample, sum(value) as b from vals group by 1, 2, 3),
@@ -525,6 +542,15 @@ def gene_seed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(seed_tests(spark, sf_dir).where("ttype = 'burden'").select("gene", "vtype", "stat", "EAC", "n_QV"), "stat", "EAC")
 
 
+@query("gene_seed_counters", f"""with {STUDY}, v as (select gene, plof, variant_id, sum(gt) as mac, count(*) as c from carriers group by 1, 2, 3),
+c as (select gene, plof, count(*) as n, max(mac)::bigint as top, max(c) as once, count(*) filter (mac > 40) + max((mac <= 40)::bigint) as left_, sum(mac) / 2.0 as eac from v group by 1, 2),
+t as (select unnest(['burden', 'skat']) as ttype)
+select gene, case when plof = 1 then 'plof' else 'missense' end as vtype, ttype, round(eac, 6) as "EAC", (select count(*) from customer) as n_cases, n as "n_QV", n as n_cluster, top as max_var_count, once as max_var_count_wo_homoz, case when ttype = 'skat' then left_ else n end as markers_after_mac_collapsing from c cross join t""")
+def gene_seed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters beside each seed test."""
+    return rounded(seed_tests(spark, sf_dir, 40).drop("stat", "pval", "EAC_filtered", "beta", "beta_sd"), "EAC")
+
+
 @query("gene_regression_phenotypes", " union all ".join(f"select '{y}' as phenotype, * from (with {GENE_SUMS.replace('c_acctbal', c)}, o as (select gene, u / v as beta, v, (select sum(r * r) from res) - u * u / v as rss from g where v > 1e-9 * bb) select gene, round(beta, 6) as beta, round(beta / sqrt(rss / ((select k from fit) - 3) / v), 6) as t from o)" for y, c in (("y", "c_acctbal"), ("y_binary", "((c_acctbal < 0)::int)"))))
 def gene_regression_phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: least squares of several phenotypes on the same burdens."""

@@ -6,8 +6,8 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 from locusloom.functions import distributions as dist
-from locusloom.functions import scalar
-from locusloom.operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, transform
+from locusloom.functions import mixture, scalar
+from locusloom.operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, spectrum, transform
 from pyspark.sql import functions as F
 
 SITE = "chrom string, pos long, ref string, alt string"
@@ -195,6 +195,46 @@ def test_skat(study):
     assert all(abs(s["pval"] - burden[s["gene"]]) < 1e-9 for s in gene_test.skat(one, model, samples).collect())
 
 
+def test_mixture_against_published_values():
+    """Imhof's (1961) tails of 0.6, 0.3 and 0.1 chi-squared(1), and exact ones of chi-squared with an even number of degrees."""
+    for q, want in ((0.1, 0.9458), (0.7, 0.5064), (2.0, 0.1240)):
+        assert abs(mixture.mixture_tail(q, np.array([0.6, 0.3, 0.1])) - want) < 5e-5
+    for q, d in ((3.0, 6), (20.0, 20), (45.0, 20)):
+        want = math.exp(-q / 2) * sum((q / 2) ** i / math.factorial(i) for i in range(d // 2))
+        assert abs(mixture.mixture_tail(q, np.ones(d)) / want - 1) < 1e-7
+        assert abs(mixture.mixture_tail(q, np.array([1.0]), np.array([float(d)])) / want - 1) < 1e-7
+    w, draws = np.array([3.0, 1.0, 0.5, 0.1]), np.random.default_rng(0).normal(size=(400_000, 4)) ** 2
+    for q in (2.0, 8.0, 20.0):
+        want = (draws @ w > q).mean()
+        assert abs(mixture.mixture_tail(q, w) - want) < 4 * math.sqrt(want / 400_000)
+
+
+def test_skat_without_a_gene_matrix(spark, monkeypatch):
+    """Traces, whole spectra of genes that the blocks exhaust, leading values and p-values of larger ones, in several waves."""
+    rng = np.random.default_rng(4)
+    n, sizes = 250, {"a": 12, "b": 40, "c": 160}
+    x, parts = rng.normal(size=(n, 1)), {g: (rng.random((n, m)) < 0.03) * rng.uniform(0.2, 2, m) for g, m in sizes.items()}
+    parts["c"][:30, :20] += 1.5  # a few large eigenvalues
+    y = x[:, 0] + parts["b"].sum(1) + rng.normal(size=n)
+    samples = spark.createDataFrame([(i, float(y[i]), float(x[i, 0])) for i in range(n)], "sample long, y double, x double")
+    rows = spark.createDataFrame([(int(i), g, f"v{k}", float(z[i, k])) for g, z in parts.items() for i, k in zip(*np.nonzero(z), strict=True)], "sample long, gene string, marker string, value double").repartition(3)
+    model = null_model.fit_linear(samples, "y", ["x"])
+    design = np.column_stack([np.ones(n), x])
+    proj = np.eye(n) - design @ np.linalg.pinv(design)
+    values = {g: np.linalg.eigvalsh(z.T @ proj @ z)[::-1] for g, z in parts.items()}
+    traces = {r["gene"]: r for r in gene_test.skat_moments(rows, model, samples).collect()}
+    assert all(np.isclose(traces[g]["trace"], v.sum()) and np.isclose(traces[g]["trace2"], (v**2).sum()) for g, v in values.items())
+    monkeypatch.setattr(spectrum, "WAVE", 2)
+    dense = {r["gene"]: r for r in gene_test.skat(rows, model, samples).collect()}
+    free = {r["gene"]: r for r in gene_test.skat(rows, model, samples, dense=20, block=8, steps=6).collect()}
+    assert free.keys() == dense.keys() and all(np.isclose(free[g]["q"], dense[g]["q"]) and free[g]["n_markers"] == dense[g]["n_markers"] for g in dense)
+    assert free["a"]["pval"] == dense["a"]["pval"] and abs(free["b"]["pval"] - dense["b"]["pval"]) < 1e-6 and abs(free["c"]["pval"] - dense["c"]["pval"]) < 0.01 * dense["c"]["pval"]
+    z, single = gene_test.skat_rows(rows.where("gene = 'c'"), model, samples)
+    leading, rest, degrees = spectrum.lanczos(z, single, model, 8, 6)["c"]
+    assert len(leading) and np.allclose(np.sort(leading)[::-1], values["c"][: len(leading)], rtol=1e-6)
+    assert 0.5 < (degrees * rest).sum() / (values["c"].sum() - leading.sum()) < 2
+
+
 def test_conditional(study):
     n, x, g, y, yb, samples, rows = study
     burdens = gene_test.collapse(rows.where("marker not like '%_3'"))
@@ -482,7 +522,13 @@ def test_seed_tests(spark):
         assert np.isclose(got[g, "burden"]["stat"], burden[g]["stat"]) and np.isclose(got[g, "burden"]["pval"], burden[g]["pval"])
         assert np.isclose(got[g, "skat"]["stat"], skat[g]["q"]) and np.isclose(got[g, "skat"]["pval"], skat[g]["pval"])
         some = [(v, gt) for _, gene, v, gt, w in calls if gene == g and w >= 0.35]
-        assert got[g, "skat"]["n_QV"] == len({v for v, _ in some}) and np.isclose(got[g, "burden"]["EAC"], sum(gt for _, gt in some) / 2)
+        assert got[g, "skat"]["n_QV"] == len({v for v, _ in some}) and np.isclose(got[g, "burden"]["EAC_filtered"], sum(gt for _, gt in some) / 2)
+        assert np.isclose(got[g, "burden"]["EAC"], sum(gt for _, gene, v, gt, w in calls if gene == g) / 2)
+        mac = {v: sum(gt for u, gt in some if u == v) for v, _ in some}
+        row = got[g, "skat"]
+        assert (row["n_cases"], row["n_cluster"], row["max_var_count"], row["max_var_count_wo_homoz"]) == (120, len(mac), max(mac.values()), 6)
+        assert row["markers_after_mac_collapsing"] == sum(m > 3 for m in mac.values()) + any(m <= 3 for m in mac.values()) and got[g, "burden"]["markers_after_mac_collapsing"] == len(mac)
+        assert got[g, "burden"]["beta"] is None or got[g, "burden"]["pval"] < 1e-3
     none = gene_test.seed_tests(rows, model, people, {"all": F.lit(True)}, max_markers=3).collect()
     assert len(none) == 4 and all(r["pval"] is None and r["n_QV"] == 10 for r in none)
 
