@@ -17,8 +17,8 @@ Of equal texts the row with the most code points in the original text stays, the
 the least doc_id (null last), then one of equal rows. Edge cases: a null text
 counts as empty, all texts of white space are equal, repeated rows are rows of
 their group like any other. A very long text is one row with a longer recipe. No
-documents: no rows. A hot recipe is counted before it is shuffled; the join back to its
-rows is a plain equi join, which Spark splits.
+documents: no rows. A hot recipe is counted before it is shuffled, and the join back to
+its rows is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from .common import aside, written
 BLANKS, MARKS = r"[\x20\x09-\x0D]+", ".!?;:…。！？；："
 #: Characters of a chunk.
 LEAST, MOST = 128, 1024
+#: Groups of more than this part of all rows (there can't be as many of them) are dealt over so many tasks.
+HOT, SALTS = 1000, 64
 
 
 def normalised(text: Column) -> Column:
@@ -76,8 +78,12 @@ def duplicates(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc
     """
     rows = recipes(docs, text, carry, identify)
     order = F.struct((-F.col("_chars")).alias("c"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    groups = rows.groupBy("_recipe").agg(F.count("*").alias("_n"), F.min(order).alias("_best")).where("_n > 1")
-    joined = rows.join(groups, "_recipe", "left")
+    groups = written(rows.groupBy("_recipe").agg(F.count("*").alias("_n"), F.min(order).alias("_best")).where("_n > 1"), "groups")
+    # rows of very large groups, known by hashes of their recipes, are dealt over several tasks
+    mark = F.xxhash64("_recipe")
+    hot = mark.isin([r["h"] for r in groups.where(F.col("_n") > rows.count() / HOT).select(mark.alias("h")).collect()])
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))))
+    joined = rows.withColumn("_salt", F.when(hot, F.pmod("_row", F.lit(SALTS))).otherwise(0).cast("int")).join(groups, ["_recipe", "_salt"], "left")
     alone = F.col("_n").isNull()
     return joined.select(
         *carry, F.when(alone, F.col("doc_id")).otherwise(F.col("_best.d")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
