@@ -34,6 +34,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER, SYMBOLS = 50, 65, 5, "[#$%&*|]"
 #: Words that wait in a task for their popcount, and keys whose counts wait to be sent.
 WAITING, KEYS = 1 << 20, 1 << 12
+#: Texts with more copies than this part of all rows are broadcast; there can't be as many of them.
+HOT = 1000
 #: survival word of each set of failed filters
 WORDS = np.array([sum(1 << kept for kept in range(32) if not failed & kept) for failed in range(32)], np.uint32)
 COUNTS = "part string, good boolean, toxic boolean, survivors array<long>"
@@ -52,9 +54,14 @@ def marked(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFram
     """part, good, toxic, failed (bits of all five filters) of every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = written(docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("_part"), F.unhex(F.sha2(text, 256)).alias("_text"), failures(text).alias("_failed")), "failures")
-    copies = rows.groupBy("_text").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_text", "_first")
+    copies = written(rows.groupBy("_text").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "copies")
+    hot = F.col("_n") > rows.count() / HOT
+    # texts with very many copies are broadcast, and their rows are dealt out by their ids, which are no text's hash
+    rows = rows.join(F.broadcast(copies.where(hot).select("_text", F.col("_first").alias("_early"))), "_text", "left")
+    key = F.when(F.col("_early").isNull(), F.col("_text")).otherwise(F.unhex(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))))
+    copies, rows = copies.where(~hot).select("_text", "_first"), rows.withColumn("_text", key)
     known = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    late = F.coalesce(F.when(F.col("_first") < F.col("_id"), 1 << 4), F.lit(0))
+    late = F.coalesce(F.when(F.coalesce("_early", "_first") < F.col("_id"), 1 << 4), F.lit(0))
     joined = rows.join(copies, "_text", "left").select("_id", "_part", (F.col("_failed") + late).alias("failed")).join(known, "_id", "left")
     return joined.select(F.col("_part").alias("part"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")], F.col("failed").cast("int").alias("failed"))
 
