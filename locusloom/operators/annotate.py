@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import scalar
+from ..functions.shared import sent
 from .checks import CheckFailed, checked_join
 from .genotype import SITE, dense_ids
 
@@ -142,40 +149,93 @@ def select_rename_fill(annotations: DataFrame, columns: dict[str, list], keep: l
     return unfilled.fillna({v[0]: v[1] for s, v in columns.items() if s in annotations.columns and v[1] is not None}), unfilled
 
 
+#: Columns of a table of scores: their covariance is solved on the driver.
+MOST_COLUMNS = 4096
+#: Groups in which the partial sums of a row are added up before they are one.
+FAN = 1024
+#: Terms of a projection that is written as expressions; a larger one takes products of Arrow batches.
+MOST_TERMS = 1024
+
+
+def matrix_of(columns: list[pa.Array]) -> np.ndarray:
+    """Double columns as a matrix; null counts as 0."""
+    return np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns])
+
+
+def row_sums(table: DataFrame, rows: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of a small matrix, ``rows`` of their matrix; the tasks' sums of each of its rows are added up in two steps."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = None
+        for b in batches:
+            if b.num_rows:
+                part = rows(matrix_of(b.columns))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.full(len(total), TaskContext.get().partitionId(), np.int32)), pa.array(list(total))], names=["i", "part", "v"])
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": parts.i.iloc[:1], "part": parts.part.iloc[:1] % FAN, "v": [np.sum(np.stack(parts.v.to_list()), 0)]})
+
+    schema = "i int, part int, v array<double>"
+    parts = table.mapInArrow(partial, schema)
+    for level in (F.col("part") % FAN, F.lit(0)):
+        parts = parts.groupBy("i", level.alias("next")).applyInPandas(added, schema)
+    found = sorted(parts.select("i", "v").collect())
+    return np.array([r["v"] for r in found])
+
+
 def fit_components(df: DataFrame, columns: list[str], k: int) -> tuple[dict[str, tuple[float, float]], list[list[float]]]:
-    """Means and deviations, and k principal components of the standardised columns.
+    """Means and deviations, and k principal components of the standardised columns; null counts as 0.
 
-    One aggregation gives the sums of products; the small covariance is solved on
-    the driver. The largest loading of a component is positive.
+    Two passes of matrix products over Arrow batches: the means, then the products
+    of centred columns, so that large means cost no digits. The largest loading of a
+    component is positive.
     """
-    import numpy as np
-
-    filled = df.fillna(0, columns)
-    n = len(columns)
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns[i:], i)]
-    row = filled.agg(F.count("*").alias("n"), *[F.sum(c).alias(f"m{i}") for i, c in enumerate(columns)], *sums).first()
-    mean = np.array([row[f"m{i}"] / row["n"] for i in range(n)])
-    second = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] / row["n"] for j in range(n)] for i in range(n)])
-    covariance = second - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(covariance), 0))
+    params, components, _ = component_analysis(df, columns, k)
+    return params, components
+
+
+def component_analysis(df: DataFrame, columns: list[str], k: int) -> tuple[dict[str, tuple[float, float]], list[list[float]], np.ndarray]:
+    """``fit_components`` and the covariance of the columns."""
+    if len(columns) > MOST_COLUMNS:
+        raise ValueError(f"{len(columns)} columns, at most {MOST_COLUMNS} are allowed")
+    table = df.select(*[F.col(c).cast("double") for c in columns])
+    sums = row_sums(table, lambda x: np.append(x.sum(0), len(x))[None])
+    n = sums[0, -1] if len(sums) else 0
+    if not n:
+        return {c: (0.0, 1.0) for c in columns}, np.eye(len(columns))[:k].tolist(), np.zeros((len(columns),) * 2)
+    mean = sums[0, :-1] / n
+    covariance = row_sums(table, lambda x: (x - mean).T @ (x - mean)) / n
+    sd = np.sqrt(np.diag(covariance))
     scale = np.where(sd > 0, sd, 1)
     _, vectors = np.linalg.eigh(covariance / np.outer(scale, scale))
     top = vectors[:, ::-1][:, :k].T
     top = top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(1)])[:, None]
-    return {c: (float(m), float(s)) for c, m, s in zip(columns, mean, scale, strict=True)}, top.tolist()
+    return {c: (float(m), float(s)) for c, m, s in zip(columns, mean, scale, strict=True)}, top.tolist(), covariance
 
 
 def project(df: DataFrame, params: dict[str, tuple[float, float]], components: list[list[float]], prefix: str = "PC_") -> DataFrame:
-    """``df`` without the columns, with their components: a column expression, no Python."""
-    filled = df.fillna(0, list(params))
-    score = [(F.col(c) - m) / s for c, (m, s) in params.items()]
-    out = {}
-    for i, row in enumerate(components, 1):
-        total = F.lit(0.0)
-        for w, x in zip(row, score, strict=True):
-            total = total + w * x
-        out[f"{prefix}{i}"] = total
-    return filled.withColumns(out).drop(*params)
+    """``df`` without the columns, with their components: column expressions for a few terms, else products of Arrow batches."""
+    names = [f"{prefix}{i}" for i in range(1, len(components) + 1)]
+    rest = df.drop(*params).columns
+    if len(components) * len(params) <= MOST_TERMS:
+        score = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / s for c, (m, s) in params.items()]
+        return df.select(*rest, *[sum((w * x for w, x in zip(row, score, strict=True)), F.lit(0.0)).alias(name) for name, row in zip(names, components, strict=True)])
+    held = sent(df.sparkSession, (np.array(components).T, *map(np.array, zip(*params.values(), strict=True))))
+    table = df.select(*rest, *[F.col(c).cast("double") for c in params])
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, mean, sd = held()
+        for b in batches:
+            if b.num_rows:
+                y = ((matrix_of(b.columns[len(rest) :]) - mean) / sd) @ w
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *[pa.array(c) for c in y.T]], names=[*rest, *names])
+
+    schema = StructType([*df.select(*rest).schema.fields, *[StructField(name, DoubleType()) for name in names]])
+    return table.mapInArrow(projected, schema)
 
 
 def shift_delta(predictions: DataFrame) -> DataFrame:

@@ -319,6 +319,30 @@ def annotation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.project(rows, params, components)
 
 
+def wide_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """id and a thousand score columns: products of an embedding's components (null beyond its length)."""
+    names = {f"s{i}_{j}": F.get("embedding", F.lit(i)).cast("double") * F.get("embedding", F.lit(j)).cast("double") for i in range(40) for j in range(25)}
+    return study.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *[c.alias(n) for n, c in names.items()]), list(names)
+
+
+@query("annotation_wide_components")
+def annotation_wide_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred principal components of a thousand score columns."""
+    rows, columns = wide_scores(spark, sf_dir)
+    return annotate.project(rows, *annotate.fit_components(rows, columns, 100))
+
+
+@query("annotation_wide_moments", """with c as (select 's' || i || '_' || j as name, row_number() over (order by i, j) as k, i, j from (select unnest(range(40)) as i), (select unnest(range(25)) as j)),
+v as (select name, k, vec_id, coalesce(embedding[i + 1]::double * embedding[j + 1]::double, 0) as x from embeddings, c)
+select a.name, round(avg(a.x), 9) as mean, round(stddev_pop(a.x), 9) as sd, round(covar_pop(a.x, b.x), 9) as with_next from v a join v b on a.vec_id = b.vec_id and (b.k = a.k + 1 or (a.k = 1000 and b.k = 1)) group by 1""")
+def annotation_wide_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the components are solved from: means, deviations, and of the covariance each column with the next."""
+    rows, columns = wide_scores(spark, sf_dir)
+    params, _, covariance = annotate.component_analysis(rows, columns, 1)
+    found = [(c, *params[c], float(covariance[i, (i + 1) % len(columns)])) for i, c in enumerate(columns)]
+    return rounded(spark.createDataFrame(found, "name string, mean double, sd double, with_next double"), "mean", "sd", "with_next", digits=9)
+
+
 @query("annotation_shift_delta", "with p as (select l_partkey as variant, l_linenumber as shift, avg(l_discount) as mut, avg(l_tax) as wild from lineitem where l_linenumber <= 4 group by 1, 2) select variant, round(avg(mut - wild), 9) as delta from p group by 1")
 def annotation_shift_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M28."""

@@ -313,6 +313,29 @@ def test_components(spark):
     assert np.allclose(np.sort(out[:, 0]), np.sort(z @ np.array(comps[0])))
 
 
+def test_wide_components(spark):
+    """Hundreds of columns with large means, nulls and a constant, against numpy; both forms of the projection agree."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 240)) + 0.1 * rng.normal(size=(300, 240)) + 1e6
+    x[:, 7] = 3.0
+    rows = [(i, *(None if (i + j) % 97 == 0 else float(v) for j, v in enumerate(r))) for i, r in enumerate(x)]
+    columns = [f"c{j}" for j in range(240)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    x = np.array([[v or 0.0 for v in r[1:]] for r in rows])
+    params, comps, covariance = annotate.component_analysis(df, columns, 6)
+    assert np.allclose(covariance, np.cov(x.T, ddof=0), rtol=1e-8, atol=1e-3)
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    _, values, vt = np.linalg.svd(z, full_matrices=False)
+    assert all(1 - abs(np.array(got) @ want) < 1e-8 for got, want in zip(comps[:4], vt, strict=False))
+    few = annotate.project(df, params, comps[:4]).orderBy("id").toPandas().to_numpy()
+    many = annotate.project(df, params, comps).orderBy("id").toPandas().to_numpy()
+    assert len(columns) * 6 > annotate.MOST_TERMS >= len(columns) * 4 and np.allclose(few, many[:, :5]) and np.allclose(many[:, 1:], z @ np.array(comps).T, atol=1e-6)
+    with pytest.raises(ValueError, match="columns"):
+        annotate.fit_components(df, columns * 20, 2)
+    none = annotate.fit_components(df.where("false"), columns, 2)
+    assert annotate.project(df.where("false"), *none).count() == 0
+
+
 def test_scalar(spark):
     df = spark.createDataFrame([("G|0.1|-|nan|0.7|9", "0/1", "missense_variant,stop_gained", "ENSG1.12", "acgN"), ("G|-|-|nan|-|9", "./1", "x", "ENSG2", "TTTT")], "s string, gt string, c string, g string, q string")
     flags = scalar.consequence_flags("c", ["stop_gained"])
