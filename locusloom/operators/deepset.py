@@ -168,76 +168,3 @@ def worst_bags_dropped(metrics: DataFrame, n: int, mode: str = "min") -> DataFra
 
     order = F.col("objective").desc() if mode == "min" else F.col("objective").asc()
     return metrics.withColumn("_n", F.row_number().over(Window.partitionBy("repeat").orderBy(order, "bag"))).where(F.col("_n") > n).drop("_n")
-
-
-def train(rows: DataFrame, targets: DataFrame, features: list[str], network: Network, epochs: int = 20, rate: float = 0.01, decay: float = 1e-4) -> tuple[Network, list[float]]:
-    """Fit the last layer's score of sum-pooled sets to a target, by full-batch AdamW with gradients summed over partitions.
-
-    rows: sample, gene, gt, features; targets: sample, y. The model predicts y as
-    the mean score over a sample's genes. A sample's rows are brought together
-    once; each epoch sends the few weights out and adds up small gradients.
-    """
-    gathered = rows.groupBy("sample").agg(F.collect_list(F.struct("gene", "gt", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))).alias("set")).join(targets.select("sample", F.col("y").cast("double").alias("y")), "sample").cache()
-    flat = [a for part in (network.phi, network.rho) for layer in part for a in layer]
-    moment, second, history = [np.zeros_like(a) for a in flat], [np.zeros_like(a) for a in flat], []
-    sizes = [a.size for a in flat]
-    n = gathered.count()
-    for epoch in range(1, epochs + 1):
-        held = sent(rows.sparkSession, network)
-
-        def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            net, total = held(), None
-            for b in batches:
-                for set_, y in zip(b["set"], b["y"], strict=True):
-                    g = np.append(*sample_gradient(net, set_, y))
-                    total = g if total is None else total + g
-            if total is not None:
-                yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "v": total})
-
-        # a row for each weight and one for the loss, from one job
-        row = gathered.mapInPandas(gradients, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-        *summed, loss = (r["v"] / n for r in row)
-        history.append(loss)
-        grad = np.split(np.array(summed), np.cumsum(sizes)[:-1])
-        for k, a in enumerate(flat):
-            g = grad[k].reshape(a.shape)
-            moment[k] = 0.9 * moment[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            a -= rate * (moment[k] / (1 - 0.9**epoch) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8) + decay * a)
-    gathered.unpersist()
-    return network, history
-
-
-def sample_gradient(net: Network, rows: list, y: float) -> tuple[np.ndarray, float]:
-    """Gradient of the squared error of one sample over all weights, and the error."""
-    x, gt = np.array([r["x"] for r in rows]), np.array([r["gt"] for r in rows], float)
-    genes = np.unique([str(r["gene"]) for r in rows], return_inverse=True)[1]
-    pool = np.zeros((genes.max() + 1, len(rows)))
-    pool[genes, np.arange(len(rows))] = gt
-
-    def forward(v: np.ndarray, part: list, last: bool) -> tuple[np.ndarray, list]:
-        kept = []
-        for i, (w, b) in enumerate(part):
-            z = v @ w + b
-            active = last or i < len(part) - 1
-            kept.append((v, z, active))
-            v = np.where(z > 0, z, net.slope * z) if active else z
-        return v, kept
-
-    def backward(d: np.ndarray, part: list, kept: list) -> tuple[np.ndarray, list]:
-        out = []
-        for (w, _), (v, z, active) in zip(reversed(part), reversed(kept), strict=True):
-            d = d * np.where(z > 0, 1, net.slope) if active else d
-            out = [v.T @ d, d.sum(0), *out]
-            d = d @ w.T
-        return d, out
-
-    h, kept_phi = forward(x, net.phi, True)
-    s, kept_rho = forward(pool @ h, net.rho, False)
-    sign = -1.0 if net.negate else 1.0
-    p = 1 / (1 + np.exp(-sign * s)) if net.sigmoid else sign * s
-    error = float(p.mean() - y)
-    d = 2 * error / len(p) * (p * (1 - p) if net.sigmoid else np.ones_like(p)) * sign
-    d, g_rho = backward(d, net.rho, kept_rho)
-    _, g_phi = backward(pool.T @ d, net.phi, kept_phi)
-    return np.concatenate([a.ravel() for a in [*g_phi, *g_rho]]), error * error

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import annotate, checks, dataset, deepset, evaluate, gene_test, masks, metrics, multitest, transform
+from ..operators import annotate, checks, dataset, deepset, evaluate, gene_test, masks, metrics, multitest, training, transform
 from ..sources import readers, sinks
 from . import study
 from .queries import ANNO, AF, BURDENS, CALLS, N, PVALS, STUDY, pvals, query, rounded
@@ -313,12 +313,13 @@ def y_transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("network_trained")
 def network_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small sum-pooled network fitted to the standardised phenotype; epoch and loss."""
-    people = transform.standardize(study.samples(spark, sf_dir).select("sample", "y"), ["y"])
+    """A maximum-pooled network with heads for two phenotypes, fitted in seeded batches with a validation split; epoch and losses."""
+    people = transform.standardize(study.samples(spark, sf_dir), ["y", "nation"])
     rows = study.carriers(spark, sf_dir).select("sample", "gene", "gt", "MAF", (F.col("size") / 50.0).alias("size"), (F.col("price") / 2000).alias("price"))
-    net = deepset.random_network(3, hidden=4, wide=3, seed=1, pool="sum", sigmoid=False)
-    _, history = deepset.train(rows, people, ["MAF", "size", "price"], net, epochs=3)
-    return spark.createDataFrame(list(enumerate(map(float, history))), "epoch int, loss double")
+    net = deepset.random_network(3, hidden=4, wide=3, seed=1, sigmoid=False)
+    heads = training.Heads.start(["y", "y_binary"], training.genes_of(rows), ["nation"])
+    *_, history = training.fit(rows, people, ["MAF", "size", "price"], net, heads, epochs=3, batches=2)
+    return spark.createDataFrame(history, "epoch int, train_loss double, val_loss double")
 
 
 @query("correct_by_name", f"with {PVALS} select k, 'Bonferroni' as correction_method, round(pval * count(*) over (), 6) as pval_corrected from pv")

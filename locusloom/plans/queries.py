@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.distributions import CLIP
-from ..operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, transform
+from ..operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, training, transform
 from ..sources import readers, sinks
 from . import study
 
@@ -647,6 +648,21 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deepset.score(features(spark, sf_dir), ["MAF", "size", "price"], networks())
 
 
+@query("network_losses", f"""with {SCORES}, e as (select repeat, burden as empty from scores_all where sample is null), t as (select sum(w) as total from (select distinct gene, length(gene) / 100.0 as w from carriers)),
+d as (select sample, repeat, sum(length(gene) / 100.0 * (burden - empty)) as more from scores join e using (repeat) group by 1, 2),
+z as (select repeat, c_acctbal / 1000 as y, (c_acctbal < 0)::int as yb, 0.1 + 0.01 * c_nationkey as base, total * empty + coalesce(more, 0) as g, ('0x' || substr(md5('split 0:' || c_custkey), 1, 8))::bigint % 5 = 0 as checked from customer cross join e cross join t left join d using (repeat) where d.sample = c_custkey
+union all select repeat, c_acctbal / 1000, (c_acctbal < 0)::int, 0.1 + 0.01 * c_nationkey, total * empty, ('0x' || substr(md5('split 0:' || c_custkey), 1, 8))::bigint % 5 = 0 from customer cross join e cross join t where (c_custkey, repeat) not in (select (sample, repeat) from d))
+select repeat, round((avg(power(base + g - y, 2)) filter (not checked) + avg(power(base - g - yb, 2)) filter (not checked)) / 2, 6) as train_loss, round((avg(power(base + g - y, 2)) filter (checked) + avg(power(base - g - yb, 2)) filter (checked)) / 2, 6) as val_loss from z group by 1""")
+def network_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of three networks with given heads for two phenotypes, before the first step of their training."""
+    rows, people = features(spark, sf_dir), study.samples(spark, sf_dir).withColumn("y", F.col("y") / 1000)
+    genes = training.genes_of(rows)
+    w = [len(g) / 100 for g in genes]
+    heads = training.Heads(["y", "y_binary"], genes, ["nation"], np.array([w, [-x for x in w]]), np.array([[0.01], [0.01]]), np.array([0.1, 0.1]))
+    found = [(r, *(training.fit(rows, people, ["MAF", "size", "price"], net, heads, epochs=0)[2][0][c] for c in ("train_loss", "val_loss"))) for r, net in networks().items()]
+    return rounded(spark.createDataFrame(found, "repeat int, train_loss double, val_loss double"), "train_loss", "val_loss")
+
+
 @query("score_deepset_averaged", f"with {MEANS} select sample, gene, round(burden, 9) as burden from means")
 def score_deepset_averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 over M16."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from locusloom.functions import distributions as dist
 from locusloom.functions import mixture, scalar
-from locusloom.operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, spectrum, transform
+from locusloom.operators import annotate, checks, deepset, evaluate, gene_test, genotype, masks, metrics, multitest, null_model, qc, spectrum, training, transform
 from pyspark.sql import functions as F
 
 SITE = "chrom string, pos long, ref string, alt string"
@@ -361,25 +361,83 @@ def test_deepset(spark):
     assert grid.count() == 4 and abs(grid.where("sample = 1 and gene = 'h'").first()["burden"] - net.empty_score()) < 1e-12
 
 
-def test_gradient_and_training(spark):
+@pytest.mark.parametrize("pool", ["max", "sum"])
+@pytest.mark.parametrize("loss", ["mse", "bce"])
+def test_gradients(pool, loss):
+    """Finite differences of the mean loss of two phenotypes, one with a missing value, over every weight."""
     rng = np.random.default_rng(0)
-    net = deepset.random_network(2, hidden=4, wide=3, seed=1, pool="sum", sigmoid=False)
-    rows = [{"gene": "g", "gt": 1, "x": [0.3, -0.2]}, {"gene": "h", "gt": 2, "x": [0.1, 0.8]}]
-    grad, loss = deepset.sample_gradient(net, rows, 0.7)
-    flat = [a for part in (net.phi, net.rho) for layer in part for a in layer]
-    at = 0
-    for a in flat:
+    net = deepset.random_network(2, hidden=4, wide=3, seed=1, pool=pool, pad_to=3, sigmoid=pool == "max", negate=pool == "sum")
+    heads = training.Heads.start(["a", "b"], ["g", "h", "i"], ["c"], seed=2)
+    heads.effects[:], heads.bias[:] = 0.3, [0.2, -0.1]
+    sample, gene, gt = np.array([0, 0, 0, 1, 2, 2, 3]), np.array([0, 0, 2, 1, 0, 1, -1]), np.array([1, 2, 1, 2, 1, 1, 0.0])
+    x, y, c = rng.normal(size=(7, 2)), rng.integers(0, 2, (4, 2)).astype(float)[sample], rng.normal(size=(4, 1))[sample]
+    y[sample == 2, 1] = np.nan
+    sizes = np.array([4.0, 3.0])
+
+    def mean():
+        sums, counts, _ = training.step(net, heads, sample, gene, gt, x, y, c, loss, None)
+        assert counts.tolist() == sizes.tolist()
+        return float((sums / counts).mean())
+
+    gradient, at = training.step(net, heads, sample, gene, gt, x, y, c, loss, sizes)[2], 0
+    for _, a in training.arrays(net, heads):
         for i in np.ndindex(a.shape):
             a[i] += 1e-6
-            up = deepset.sample_gradient(net, rows, 0.7)[1]
-            a[i] -= 1e-6
-            assert abs((up - loss) / 1e-6 - grad[at]) < 1e-4
+            up = mean()
+            a[i] -= 2e-6
+            down = mean()
+            a[i] += 1e-6
+            assert abs((up - down) / 2e-6 - gradient[at]) < 1e-6
             at += 1
-    data = [(s, "g", 1, float(rng.normal()), float(rng.normal())) for s in range(40)]
-    df = spark.createDataFrame(data, "sample int, gene string, gt int, a double, b double")
-    y = spark.createDataFrame([(s, 0.8 * a - 0.3 * b) for s, _, _, a, b in data], "sample int, y double")
-    _, history = deepset.train(df, y, ["a", "b"], net, epochs=40, rate=0.03)
-    assert history[-1] < 0.6 * history[0]
+    assert at == len(gradient)
+
+
+def test_training(spark):
+    """The same fit for 1 and 8 partitions; a signal is learned by both pools; frozen parts, early stopping, and predictions."""
+    rng = np.random.default_rng(3)
+    calls = [(s, f"g{g}", 1, float(rng.normal()), float(rng.normal())) for s in range(120) for g in rng.choice(4, rng.integers(0, 4), replace=False) for _ in range(2)]
+    effect = {s: 0.0 for s in range(120)}
+    for s, g, _, a, _ in calls:
+        effect[s] += max(a, 0.0) if g in ("g0", "g1") else 0.0
+    rows = spark.createDataFrame(calls, "sample int, gene string, gt int, a double, b double")
+    people = spark.createDataFrame([(s, 0.5 * e + 0.2 * (s % 3), None if s % 10 == 0 else float(e > 1), float(s % 3)) for s, e in effect.items()], "sample int, y double, z double, c double")
+    start = training.Heads.start(["y", "z"], training.genes_of(rows), ["c"], seed=1)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for pool in ("max", "sum"):
+        net, found = deepset.random_network(2, hidden=4, wide=3, seed=1, pool=pool, sigmoid=False), []
+        for parts in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(training.fit(rows.repartition(int(parts)), people, ["a", "b"], net, start, epochs=6, batches=2, rate=0.05))
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        one, eight = found
+        assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for (_, a), (_, b) in zip(training.arrays(*one[:2]), training.arrays(*eight[:2]), strict=True))
+        history = one[2]
+        assert history[-1]["train_loss"] < 0.7 * history[0]["train_loss"] and min(h["val_loss"] for h in history) < history[0]["val_loss"]
+    net, heads, history = one
+    predicted = {(r["sample"], r["phenotype"]): r["prediction"] for r in training.predict(rows, people, ["a", "b"], net, heads).collect()}
+    truth = {(r["sample"], p): r[p] for r in people.collect() for p in "yz"}
+    checked = {r["sample"] for r in people.where(training.dealt("split 0", 5) == 0).collect()}
+    loss = np.mean([np.mean([(predicted[k] - v) ** 2 for k, v in truth.items() if k[1] == p and k[0] in checked and v is not None]) for p in "yz"])
+    assert len(predicted) == 240 and np.isclose(loss, min(h["val_loss"] for h in history))
+    linear = training.linear_network([0.1, -0.1], pool="sum")
+    for frozen in ((), ("phi",)):
+        net, heads, history = training.fit(rows, people, ["a", "b"], linear, start, epochs=2, frozen=frozen, rate=0.05)
+        assert np.array_equal(net.phi[0][0], linear.phi[0][0]) == bool(frozen) and history[-1]["train_loss"] < history[0]["train_loss"]
+    *_, history = training.fit(rows, people, ["a", "b"], linear, start, epochs=9, rate=50.0, patience=2)
+    assert len(history) < 10 and min(range(len(history)), key=lambda i: history[i]["val_loss"]) == len(history) - 3
+    *_, history = training.fit(rows.where("false"), people.where("false"), ["a", "b"], linear, start, epochs=1)
+    assert history[0] == {"epoch": 0, "train_loss": None, "val_loss": None}
+
+
+def test_samples_stay_whole():
+    """A sample's rows come together whatever the batches are."""
+    import pyarrow as pa
+
+    ids = [0] * 3 + [1] * 8 + [2] + [3] * 2
+    for size in (1, 2, 3, 5, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + size])], ["s"]) for i in range(0, len(ids), size)]
+        tables = [t.column(0).to_pylist() for t in training.whole_samples(iter(batches))]
+        assert sum(tables, []) == ids and all(a[-1] != b[0] for a, b in zip(tables, tables[1:], strict=False))
 
 
 def test_seed_genes(spark):
