@@ -18,7 +18,7 @@ from ..functions import scalar
 from ..functions.distributions import chi2_1_sf, chi2_sf, t_pvalue
 from ..functions.mixture import mixture_tail
 from ..functions.shared import written
-from . import spectrum
+from . import saddlepoint, spectrum
 from .null_model import NullModel, complete, design, fit_linear, products
 
 
@@ -66,6 +66,13 @@ def score_test(burdens: DataFrame, model: NullModel, samples: DataFrame) -> Data
     return out.withColumn("pval", chi2_sf("stat"))
 
 
+def saddlepoint_test(burdens: DataFrame, model: NullModel, samples: DataFrame, cutoff: float = saddlepoint.CUTOFF) -> DataFrame:
+    """gene, n_carriers, stat, pval, saddlepoint: the score test of a binary phenotype, whose p-values come from the saddlepoint where the score lies beyond ``cutoff`` standard deviations."""
+    if not model.logistic:
+        raise ValueError("the saddlepoint test is for a logistic null model")
+    return saddlepoint.saddlepoint_test(gene_sums(burdens, model, samples).where(F.col("bpb") > 1e-9 * F.col("_bb")), burdens, model, samples, cutoff)
+
+
 def ols_test(burdens: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
     """gene, beta, t, pval of least squares on [burden, 1, x], from the sums of the null model (Frisch-Waugh)."""
     rss0 = model.sigma2 * (model.n - len(model.x) - 1)

@@ -477,6 +477,43 @@ def gene_logistic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gene_logistic(spark, sf_dir), "stat", "pval").select("gene", "n_carriers", "stat", "pval")
 
 
+def saddlepoint_sql(steps: int = 44) -> str:
+    """SQL of the saddlepoint p-values of gene_logistic's scores beyond one standard deviation; the points by bisection between bounds that the normal part gives."""
+    soft = lambda x: f"(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
+    sums = f"sum({soft('eta + t * a')} - {soft('eta')} - t * a * mu) as s0, sum(a * (1 / (1 + exp(-(eta + t * a))) - mu)) as s1, sum(a * a / (1 + exp(-(eta + t * a))) / (1 + exp(eta + t * a))) as s2"
+    ctes = [
+        "w as (select w12.*, ln(mu / (1 - mu)) as eta from w12)", "f as (select seg, ws, xs, xx from s12)", "xx as (select sum(xx - xs * xs / ws) as v from f)",
+        "p as (select gene, seg, sum(b * (y - mu)) as u, sum(wt * b) as bs, sum(wt * b * x) as bx, sum(wt * b * b) as bb, count(*) filter (b <> 0) as c from burdens join w using (sample) group by 1, 2)",
+        "g as (select gene, sum(c)::bigint as n_carriers, sum(u) as u, sum(bx - xs * bs / ws) / any_value(v) as bx, sum(bb) - sum(bs * bs / ws) - power(sum(bx - xs * bs / ws), 2) / any_value(v) as variance from p join f using (seg) cross join xx group by 1)",
+        # the burden less its fit on nation and the segments
+        "a as materialized (select b.gene, b.sample, mu, eta, wt, b.b - g.bx * w.x - (coalesce(p.bs, 0) - g.bx * f.xs) / f.ws as a from burdens b join w using (sample) join g on g.gene = b.gene join f on f.seg = w.seg left join p on p.gene = b.gene and p.seg = w.seg where g.u * g.u > variance)",
+        "t0 as materialized (select gene, side, side * abs(u) as q, rest, least(side * abs(u) / rest, 0) as low, greatest(side * abs(u) / rest, 0) as high, side * abs(u) / rest / 2 as t from g join (select gene, sum(wt * a * a) as v from a group by 1) using (gene) cross join (select unnest([1.0, -1.0]) as side), lateral (select greatest(variance - v, variance * 1e-9) as rest))",
+    ]
+    for i in range(steps):
+        ctes += [
+            f"m{i} as materialized (select t{i}.gene, side, {sums} from t{i} join a using (gene) group by 1, 2)",
+            f"t{i + 1} as materialized (select gene, side, q, rest, low, high, (low + high) / 2 as t from (select gene, side, q, rest, case when s1 + t * rest > q then low else t end as low, case when s1 + t * rest > q then t else high end as high from t{i} join m{i} using (gene, side)))",
+        ]
+    ctes += [
+        f"e as (select gene, side, q, t, s0 + t * t * rest / 2 as k0, s2 + rest as k2 from t{steps} join (select t{steps}.gene, side, {sums} from t{steps} join a using (gene) group by 1, 2) using (gene, side))",
+        "z as (select gene, power(w + ln(t * sqrt(k2) / w) / w, 2) as stat, (w + ln(t * sqrt(k2) / w) / w) * t > 0 as beyond from (select *, sign(t) * sqrt(greatest(2 * (t * q - k0), 0)) as w from e))",
+        f"far as (select gene, sum(case when beyond then ({PVAL}) / 2 else 1 - ({PVAL}) / 2 end) as p from z group by 1)",
+    ]
+    return ", ".join(ctes)
+
+
+@query("gene_logistic_saddlepoint", f"""with {STUDY}, {BURDENS}, {logistic_sql()}, {saddlepoint_sql()}, r as (select gene, n_carriers, u * u / variance as stat from g)
+select gene, n_carriers, round(stat, 6) as stat, round(coalesce(p, {PVAL}), 6) as pval, p is not null as saddlepoint from r left join far using (gene)""")
+def gene_logistic_saddlepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: score tests of a binary phenotype with p-values by the saddlepoint beyond one standard deviation."""
+    people = study.samples(spark, sf_dir)
+    values = transform.levels(people, "segment")[1:]
+    coded = people.select("sample", "y_binary", "nation", *transform.one_hot_columns("segment", values))
+    model = null_model.fit(coded, "y_binary", ["nation", *[f"segment_{v}" for v in values]])
+    found = gene_test.saddlepoint_test(gene_test.collapse(study.weighted(study.carriers(spark, sf_dir))), model, coded, cutoff=1.0)
+    return rounded(found, "stat", "pval").select("gene", "n_carriers", "stat", "pval", "saddlepoint")
+
+
 def skat_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, null_model.NullModel, DataFrame]:
     people = study.samples(spark, sf_dir)
     rows = study.weighted(study.carriers(spark, sf_dir)).withColumn("marker", F.col("variant_id").cast("string"))
