@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import scalar
+from ..functions.matrices import matrix_of, row_sums
 from ..functions.shared import sent
 from .checks import CheckFailed, checked_join
 from .genotype import SITE, dense_ids
@@ -151,42 +151,10 @@ def select_rename_fill(annotations: DataFrame, columns: dict[str, list], keep: l
 
 #: Columns of a table of scores: their covariance is solved on the driver.
 MOST_COLUMNS = 4096
-#: Groups in which the partial sums of a row are added up before they are one.
-FAN = 1024
 #: Terms of a projection that is written as expressions; a larger one takes products of Arrow batches.
 MOST_TERMS = 1024
 
 
-def matrix_of(columns: list[pa.Array]) -> np.ndarray:
-    """Double columns as a matrix; null counts as 0."""
-    return np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns])
-
-
-def row_sums(table: DataFrame, rows: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all batches of a small matrix, ``rows`` of their matrix; the tasks' sums of each of its rows are added up in two steps."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = None
-        for b in batches:
-            if b.num_rows:
-                part = rows(matrix_of(b.columns))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.full(len(total), TaskContext.get().partitionId(), np.int32)), pa.array(list(total))], names=["i", "part", "v"])
-
-    def added(parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": parts.i.iloc[:1], "part": parts.part.iloc[:1] % FAN, "v": [np.sum(np.stack(parts.v.to_list()), 0)]})
-
-    schema = "i int, part int, v array<double>"
-    parts = table.mapInArrow(partial, schema)
-    for level in (F.col("part") % FAN, F.lit(0)):
-        parts = parts.groupBy("i", level.alias("next")).applyInPandas(added, schema)
-    found = sorted(parts.select("i", "v").collect())
-    return np.array([r["v"] for r in found])
-
-
 def fit_components(df: DataFrame, columns: list[str], k: int) -> tuple[dict[str, tuple[float, float]], list[list[float]]]:
     """Means and deviations, and k principal components of the standardised columns; null counts as 0.
 

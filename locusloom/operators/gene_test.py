@@ -11,15 +11,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.distributions import chi2_1_sf, chi2_sf, t_pvalue
 from ..functions.mixture import mixture_tail
-from ..functions.shared import written
+from ..functions.matrices import matrix_of
+from ..functions.shared import sent, written
 from . import saddlepoint, spectrum
-from .null_model import NullModel, complete, design, fit_linear, products
+from .null_model import FEW, MOST, NullModel, complete, design, fit_linear, products
 
 
 def collapse(rows: DataFrame, method: str = "sum", value: str = "value") -> DataFrame:
@@ -45,7 +47,9 @@ def quadratic(sums: list[Column], inverse: tuple[tuple[float, ...], ...]) -> Col
 
 
 def gene_sums(burdens: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
-    """gene, u = b'r, bpb = b'P b, n_carriers, of each gene."""
+    """gene, n_carriers, u = b'r, bpb = b'P b, _bb = b'W b of each gene."""
+    if len(model.x) >= FEW:
+        return wide_gene_sums(burdens, model, samples)
     frame = model.frame(samples)
     rows = burdens.join(frame, "sample")
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in model.x]]
@@ -54,7 +58,65 @@ def gene_sums(burdens: DataFrame, model: NullModel, samples: DataFrame) -> DataF
         F.sum(F.col("b") * F.col("r")).alias("u"), F.sum(F.col("w") * F.col("b") * F.col("b")).alias("_bb"), F.count_if(F.col("b") != 0).alias("n_carriers"),
         *[F.sum(F.col("w") * F.col("b") * c).alias(n) for c, n in zip(x, names, strict=True)],
     )
-    return sums.select("gene", "n_carriers", "u", (F.col("_bb") - quadratic([F.col(n) for n in names], model.inverse)).alias("bpb"), "_bb", *names)
+    return sums.select("gene", "n_carriers", "u", (F.col("_bb") - quadratic([F.col(n) for n in names], model.inverse)).alias("bpb"), "_bb")
+
+
+#: Numbers that a task holds of its genes' sums before it sends them.
+HELD = 1 << 22
+
+
+def wide_gene_sums(burdens: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
+    """``gene_sums`` for many covariates: samples get their design times the root of its inverse, so b'P b is b'W b less the squared sums of b w times that."""
+    held = sent(samples.sparkSession, (np.array(model.beta), np.array(model.root), model.logistic))
+    sample, gene = (t.schema[c].dataType.simpleString() for t, c in ((samples, "sample"), (burdens, "gene")))
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta, root, logistic = held()
+        for b in batches:
+            # rows with a null go here: as a filter below a join it would meet every renamed column while Spark plans
+            b = b.drop_null()
+            if not b.num_rows:
+                continue
+            m = matrix_of(b.columns[1:])
+            z = np.column_stack([np.ones(len(m)), m[:, 1:]])
+            eta = z @ beta
+            mu = 1 / (1 + np.exp(-np.clip(eta, -MOST, MOST))) if logistic else eta
+            w = mu * (1 - mu) if logistic else np.ones(len(m))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m[:, 0] - mu), pa.array(w), pa.array(list(z @ root), pa.list_(pa.float64()))], names=["sample", "r", "w", "q"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+
+        def out() -> pa.RecordBatch:
+            n = len(next(iter(total.values())))
+            genes = pa.array([g for g in total for _ in range(n)])
+            batch = pa.RecordBatch.from_arrays([genes, pa.array(np.tile(np.arange(n, dtype=np.int32), len(total))), pa.array(np.concatenate(list(total.values())))], names=["gene", "i", "v"])
+            total.clear()
+            return batch
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            genes = b.column(0).dictionary_encode()
+            codes, (value, r, w) = genes.indices.to_numpy(), (b.column(i).to_numpy() for i in (1, 2, 3))
+            q = b.column(4).flatten().to_numpy().reshape(len(value), -1)
+            parts = np.column_stack([value * r, w * value * value, value != 0, q * (w * value)[:, None]])
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+            for code, sums in zip(codes[order][starts], np.add.reduceat(parts[order], starts), strict=True):
+                g = genes.dictionary[int(code)].as_py()
+                total[g] = total[g] + sums if g in total else sums
+            if len(total) * parts.shape[1] > HELD:
+                yield out()
+        if total:
+            yield out()
+
+    frame = samples.select("sample", *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate((model.y, *model.x))]).mapInArrow(projected, f"sample {sample}, r double, w double, q array<double>")
+    carried = burdens.select("sample", "gene", F.col("b").cast("double").alias("b")).join(frame, "sample").select("gene", "b", "r", "w", "q")
+    each = carried.mapInArrow(summed, f"gene {gene}, i int, v double").groupBy("gene", "i").agg(F.sum("v").alias("v"))
+    at = lambda k: F.sum(F.when(F.col("i") == k, F.col("v")))
+    sums = each.groupBy("gene").agg(at(0).alias("u"), at(1).alias("_bb"), at(2).cast("long").alias("n_carriers"), F.sum(F.when(F.col("i") > 2, F.col("v") * F.col("v"))).alias("_taken"))
+    return sums.select("gene", "n_carriers", "u", (F.col("_bb") - F.col("_taken")).alias("bpb"), "_bb")
 
 
 def score_test(burdens: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:

@@ -1,18 +1,20 @@
 """Null models of a phenotype on covariates, fitted once and shared by all genes.
 
 Every fit is a few sums over the samples: a k x k system is solved on the driver.
+With many covariates the sums are matrix products of Arrow batches, and least
+squares takes the triangle of a QR decomposition of all rows, made by tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matrices import row_sums, triangle
+
 
 @dataclass(frozen=True)
 class NullModel:
@@ -27,6 +29,8 @@ class NullModel:
     logistic: bool
     #: False for a logistic model whose fit didn't settle, as where the classes can be separated.
     converged: bool = True
+    #: A matrix whose product with its transpose is ``inverse``.
+    root: tuple[tuple[float, ...], ...] = ()
 
     def linear(self) -> Column:
         eta = F.lit(self.beta[0])
@@ -45,6 +49,10 @@ class NullModel:
         return rows.select("sample", (F.col(self.y).cast("double") - mu).alias("r"), weight.alias("w"), *self.x)
 
 
+#: Columns of a design whose sums are expressions; with more of them Arrow batches are multiplied.
+FEW = 12
+#: Least singular value of a design with unit columns, for each of its columns, that counts as one.
+RANK = 1e-14
 #: Linear predictors beyond this have a chance of 1 - 1e-13 and count as this.
 MOST = 30.0
 
@@ -58,8 +66,12 @@ def complete(samples: DataFrame, y: str, x: tuple[str, ...] | list[str]) -> Data
 
 
 def products(rows: DataFrame, columns: list[Column], weight: Column | None = None) -> tuple[np.ndarray, int]:
-    """Sums of (weighted) products of the columns, as a symmetric matrix, and the number of rows; one aggregation."""
+    """Sums of (weighted) products of the columns, as a symmetric matrix, and the number of rows."""
     k = len(columns)
+    if k > FEW:
+        table = rows.select(*[c.cast("double").alias(f"_{i}") for i, c in enumerate(columns)], (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"))
+        found = row_sums(table, lambda m: np.vstack([(m[:, :k] * m[:, k:]).T @ m[:, :k], np.append(len(m), np.zeros(k - 1))]))
+        return (found[:-1], int(found[-1, 0])) if len(found) else (np.zeros((k, k)), 0)
     w = weight if weight is not None else F.lit(1.0)
     sums = [F.sum(w * columns[i] * columns[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
     row = rows.agg(*sums, F.count("*").alias("n")).first()
@@ -76,14 +88,37 @@ def design(x: list[str] | tuple[str, ...]) -> list[Column]:
 
 def fit_linear(samples: DataFrame, y: str, x: list[str], ddof: int | None = None) -> NullModel:
     """Ordinary least squares; the residual variance is divided by n - ddof (default: the number of coefficients)."""
-    rows = complete(samples, y, x)
-    m, n = products(rows, [*design(x), F.col(y).cast("double")])
-    k = len(x) + 1
-    inverse = np.linalg.pinv(m[:k, :k])
-    beta = inverse @ m[:k, k]
-    rss = m[k, k] - beta @ m[:k, k]
+    rows, k = complete(samples, y, x), len(x) + 1
+    columns = [*design(x), F.col(y).cast("double")]
+    if k < FEW:
+        m, n = products(rows, columns)
+        inverse = np.linalg.pinv(m[:k, :k])
+        beta = inverse @ m[:k, k]
+        rss, root = m[k, k] - beta @ m[:k, k], halved(inverse)
+    else:
+        r, n = triangle(rows.select(*[c.alias(f"_{i}") for i, c in enumerate(columns)]))
+        beta, rss, root = solved(r)
+        inverse = root @ root.T
     sigma2 = float(max(rss, 0.0) / max(1, n - (k if ddof is None else ddof)))
-    return NullModel(y, tuple(x), tuple(beta), tuple(map(tuple, inverse)), sigma2, n, False)
+    return NullModel(y, tuple(x), tuple(map(float, beta)), tuple(map(tuple, inverse)), sigma2, n, False, root=tuple(map(tuple, root)))
+
+
+def solved(r: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Coefficients, residual sum of squares and root of the inverse, from the triangle of [design, y]; columns that others make up take part in the shortest solution."""
+    k = len(r) - 1
+    scale = np.linalg.norm(r[:k, :k], axis=0)
+    scale = np.where(scale > 0, scale, 1)
+    u, s, vt = np.linalg.svd(r[:k, :k] / scale)
+    use = s > RANK * k * s.max(initial=0.0)
+    to_y = u.T @ r[:k, k]
+    root = vt.T * np.where(use, 1 / np.where(use, s, 1), 0) / scale[:, None]
+    return root @ to_y, float(r[k, k] ** 2 + (to_y[~use] ** 2).sum()), root
+
+
+def halved(inverse: np.ndarray) -> np.ndarray:
+    """A root of a symmetric matrix without negative eigenvalues."""
+    values, vectors = np.linalg.eigh(inverse)
+    return vectors * np.sqrt(np.maximum(values, 0))
 
 
 def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tolerance: float = 1e-8) -> NullModel:
@@ -108,25 +143,28 @@ def fit_logistic(samples: DataFrame, y: str, x: list[str], steps: int = 25, tole
             beta, converged = beta + step, True
             break
     rows.unpersist()
-    return NullModel(y, tuple(x), tuple(map(float, beta)), tuple(map(tuple, inverse)), 1.0, n, True, converged)
+    return NullModel(y, tuple(x), tuple(map(float, beta)), tuple(map(tuple, inverse)), 1.0, n, True, converged, tuple(map(tuple, halved(inverse))))
 
 
 def newton_sums(rows: DataFrame, y: str, x: list[str], beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Gradient, Hessian, log-likelihood and number of rows at ``beta``: matrix products of Arrow batches, summed over partitions by Spark."""
-    k = len(x) + 1
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(k * k + k + 2)
-        for b in batches:
-            z = np.column_stack([np.ones(len(b)), *[b[c].to_numpy(np.float64) for c in x]])
-            t, eta = b[y].to_numpy(np.float64), np.clip(z @ beta, -MOST, MOST)
-            mu = 1 / (1 + np.exp(-eta))
-            total += np.concatenate([((z * (mu * (1 - mu))[:, None]).T @ z).ravel(), z.T @ (t - mu), [t @ eta - np.log1p(np.exp(eta)).sum(), len(b)]])
-        yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "v": total})
-
-    got = {r["i"]: r["v"] for r in rows.mapInPandas(summed, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-    v = np.array([got.get(i, 0.0) for i in range(k * k + k + 2)])
-    return v[k * k : k * k + k], v[: k * k].reshape(k, k), float(v[-2]), int(v[-1])
+    """Gradient, Hessian, log-likelihood and number of rows at ``beta``: matrix products of Arrow batches, added up by Spark."""
+    k, names = len(x) + 1, [*dict.fromkeys([y, *x])]
+    at = [names.index(c) for c in x]
+
+    def sums(m: np.ndarray) -> np.ndarray:
+        z, t = np.column_stack([np.ones(len(m)), m[:, at]]), m[:, 0]
+        eta = np.clip(z @ beta, -MOST, MOST)
+        mu = 1 / (1 + np.exp(-eta))
+        rest = np.zeros(max(k, 2))
+        rest[:2] = t @ eta - np.log1p(np.exp(eta)).sum(), len(m)
+        out = np.zeros((k + 2, max(k, 2)))
+        out[:k, :k], out[k, :k], out[k + 1] = (z * (mu * (1 - mu))[:, None]).T @ z, z.T @ (t - mu), rest
+        return out
+
+    found = row_sums(rows.select(*names), sums)
+    if not len(found):
+        return np.zeros(k), np.zeros((k, k)), 0.0, 0
+    return found[k, :k], found[:k, :k], float(found[k + 1, 0]), int(found[k + 1, 1])
 
 
 def fit(samples: DataFrame, y: str, x: list[str]) -> NullModel:

@@ -239,6 +239,51 @@ def test_saddlepoint(spark):
     assert gene_test.saddlepoint_test(burdens.where("false"), model, samples).count() == 0
 
 
+def test_many_covariates(spark):
+    """Hundreds of covariates, ill-conditioned and repeated columns among them, against numpy."""
+    rng = np.random.default_rng(21)
+    n, k = 900, 300
+    x = rng.normal(size=(n, k))
+    x[:, 1] = x[:, 0] + 1e-6 * x[:, 1]  # nearly the same column
+    x[:, 2] = 1e5 + 1e-2 * x[:, 2]  # nearly constant
+    x[:, 3] = x[:, 4]  # the same column
+    y = x[:, :3] @ [1.0, -2.0, 3.0] + rng.normal(size=n)
+    yb = (rng.random(n) < 1 / (1 + np.exp(-x[:, 5]))).astype(float)
+    names = [f"x{i}" for i in range(k)]
+    samples = spark.createDataFrame([(i, float(y[i]), float(yb[i]), *map(float, x[i])) for i in range(n)], "sample int, y double, yb double, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    design = np.column_stack([np.ones(n), x])
+    scale = np.linalg.norm(design, axis=0)
+    want = np.linalg.lstsq(design / scale, y, rcond=1e-13)[0] / scale
+    model = null_model.fit_linear(samples, "y", names)
+    # of equal columns only the sum of coefficients is defined
+    rest = [i for i in range(k + 1) if i not in (4, 5)]
+    assert np.allclose(np.array(model.beta)[rest], want[rest], rtol=1e-5, atol=1e-7) and np.isclose(model.beta[4] + model.beta[5], want[4] + want[5]) and model.n == n
+    assert np.isclose(model.sigma2, ((y - design @ want) ** 2).sum() / (n - k - 1), rtol=1e-8)
+    burdens = spark.createDataFrame([(f"g{j}", int(i), float(1 + i % 2)) for j in range(3) for i in rng.choice(n, 40 + 10 * j, replace=False)], "gene string, sample int, b double")
+    full = {g: np.zeros(n) for g in ("g0", "g1", "g2")}
+    for r in burdens.collect():
+        full[r["gene"]][r["sample"]] = r["b"]
+    keep = np.delete(design, 4, 1)
+    base, _ = np.linalg.qr(keep / np.linalg.norm(keep, axis=0))
+    for r in gene_test.score_test(burdens, model, samples).collect():
+        b = full[r["gene"]] - base @ (base.T @ full[r["gene"]])
+        assert np.isclose(r["beta"], b @ y / (b @ b), rtol=1e-6)
+    some = names[5:25]
+    fitted = null_model.fit_logistic(samples, "yb", some)
+    d, beta = np.column_stack([np.ones(n), x[:, 5:25]]), np.zeros(21)
+    for _ in range(30):
+        mu = 1 / (1 + np.exp(-d @ beta))
+        beta += np.linalg.solve(d.T @ (d * (mu * (1 - mu))[:, None]), d.T @ (yb - mu))
+    assert np.allclose(fitted.beta, beta, atol=1e-6)
+    w = mu * (1 - mu)
+    for r in gene_test.score_test(burdens, fitted, samples).collect():
+        b = full[r["gene"]]
+        v = b @ (w * b) - (d.T @ (w * b)) @ np.linalg.solve(d.T @ (d * w[:, None]), d.T @ (w * b))
+        assert np.isclose(r["stat"], (b @ (yb - mu)) ** 2 / v)
+    m, count = null_model.products(samples, null_model.design(some))
+    assert count == n and np.allclose(m, d.T @ d)
+
+
 def test_mixture_against_published_values():
     """Imhof's (1961) tails of 0.6, 0.3 and 0.1 chi-squared(1), and exact ones of chi-squared with an even number of degrees."""
     for q, want in ((0.1, 0.9458), (0.7, 0.5064), (2.0, 0.1240)):
