@@ -4,9 +4,12 @@ Features are hashed byte trigrams of the whole lower-cased text, with digits and
 ASCII symbols turned into spaces. The models are fitted on a bounded sample of
 labelled rows (``max_rows``); every text is scored in Arrow batches. The score is
 the product of the least chances of the winner against another family and against
-another language of its family.
+another language of its family. Every language of the labelled rows is learned;
+many that no listed family has are put into families of ``ODD`` each, so their
+pairs grow slower than the square of their number.
 
-Edge cases: a null text, and one without a letter, is ``und`` with score 0.
+Edge cases: a tie of votes goes to the greater sum of chances, then to the first
+name. A null text, and one without a letter, is ``und`` with score 0.
 Without a learnable row every text is ``und``. Repeated rows are scored alike.
 Very long texts are counted in chunks. No documents: no rows. Columns of the input
 other than the text are never read for a prediction.
@@ -34,6 +37,10 @@ FAMILIES = {
 }
 
 UNDETERMINED = "und"
+#: Languages without a listed family that are families of their own; more of them are put together, so many in one.
+ODD = 16
+#: Pairs of classes that have an SVM: 16 KB each at the default dimensions. More are an error, and no language is left out.
+MOST_PAIRS = 1 << 14
 DIMS = 4096
 CHUNK = 1 << 20
 TEXTS = 512
@@ -48,6 +55,13 @@ def family_of(lang: str) -> str:
     return next((name for name, codes in FAMILIES.items() if lang in codes), lang)
 
 
+def families_of(langs: list[str]) -> dict[str, str]:
+    """The family of each of ``langs``; where more than ODD are unlisted, neighbours in order share one."""
+    out = {x: family_of(x) for x in langs}
+    odd = sorted(x for x, f in out.items() if f not in FAMILIES)
+    return out | {x: f"unlisted-{i // ODD:04d}" for i, x in enumerate(odd)} if len(odd) > ODD else out
+
+
 def trigram_vector(text: str, dims: int = DIMS) -> np.ndarray:
     """Unit vector of square-rooted hashed trigram counts; long texts are counted in chunks."""
     raw = (" " + text.lower() + " ").encode("utf-8", "replace").translate(LETTERS_ONLY)
@@ -82,11 +96,15 @@ class Hierarchy:
 
     def __init__(self, vectors: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
-        self.families = sorted({family_of(x) for x in self.langs})
+        family = families_of(self.langs)
+        self.families = sorted(set(family.values()))
+        members = [[x for x in self.langs if family[x] == f] for f in self.families]
+        if (n := sum(math.comb(len(x), 2) for x in (self.families, *members))) > MOST_PAIRS:
+            raise ValueError(f"{len(self.langs)} languages need {n} pairs of classes, at most {MOST_PAIRS} are allowed")
         langs_of = np.array(langs, dtype=object)
-        families_of = np.array([family_of(x) for x in langs], dtype=object)
+        families = np.array([family[x] for x in langs], dtype=object)
         self.groups, columns = [], []
-        sets = [(self.families, families_of)] + [([x for x in self.langs if family_of(x) == f], langs_of) for f in self.families]
+        sets = [(self.families, families)] + [(x, langs_of) for x in members]
         for names, truth in sets:
             pairs = []
             for i, a in enumerate(names):
@@ -125,18 +143,20 @@ class Hierarchy:
         return list(langs), sure
 
 
-def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS, max_langs: int = 256) -> Hierarchy | None:
+def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS) -> Hierarchy | None:
     """Fit on about ``max_rows`` learnable rows in all, as many of each language; None without any.
 
     Rows are drawn by a hash of doc_id and text, and equal vectors count once, so
     only ``max_rows`` feature vectors or so (2 bytes a dimension: 48 MB at the
-    default) reach the driver. Beyond the ``max_langs`` most frequent values of
-    lang, others aren't learned.
+    default) reach the driver. Every value of lang is learned; more of them than
+    MOST_PAIRS allows are an error.
     """
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_PAIRS + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} languages")
     each = max_rows / len(counts)
     rate = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, each / n))])
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("langid")), F.lit(1 << 24)) / float(1 << 24) < rate[F.col("lang")]

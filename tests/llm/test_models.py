@@ -1,6 +1,7 @@
 """Language identification and quality classification: held-out accuracy and odd inputs."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from locusloom.llm import langid, quality
@@ -174,3 +175,17 @@ def test_flat_trees_match_plain_descent():
 
     assert np.allclose(model.predict(x), [plain(r) for r in x])
     assert ((model.predict(x) > 0.5) == y).mean() > 0.95
+
+
+def test_many_languages(spark):
+    """Three hundred languages, each with words of its own, are all learned and told apart; too many are an error."""
+    rng = np.random.default_rng(5)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4)] for k in range(300)}
+    rows = [(k * 12 + i, " ".join(rng.choice(words[k], 30)), f"q{k:03d}") for k in words for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, max_rows=3600)
+    assert model.langs == sorted({r[2] for r in rows}) and len(model.families) == 19 and len(model.weights.T) < langid.MOST_PAIRS
+    found = langid.predict(docs, model).where(held_out(F.col("doc_id"))).collect()
+    assert len(found) > 400 and np.mean([r["lang_pred"] == r["lang"] for r in found]) > 0.95
+    with pytest.raises(ValueError, match="languages"):
+        langid.Hierarchy(np.zeros((3000, 4), np.float32), [f"q{k:04d}" for k in range(3000)])
