@@ -94,18 +94,30 @@ def coding_exons(gtf: DataFrame) -> DataFrame:
     return gtf.where("feature = 'exon' and source = 'HAVANA' and gene_type = 'protein_coding' and transcript_type = 'protein_coding'")
 
 
-def near_exons(annotations: DataFrame, exons: DataFrame, max_dist: int = 300, keep_unmatched: bool = False, pos: str = "pos", gene: str = "gene_id") -> DataFrame:
+def islands(exons: DataFrame, max_dist: int, gene: str = "gene_id") -> DataFrame:
+    """_g, _low, _high: the disjoint stretches of a gene in its exons or within ``max_dist`` of one of their ends."""
+    s, e = F.col("start"), F.col("end")
+    # an exon that ends before it starts has only the surroundings of both
+    parts = F.when(s <= e, F.array(F.struct((s - max_dist).alias("l"), (e + max_dist).alias("h")))).otherwise(F.array(*[F.struct((c - max_dist).alias("l"), (c + max_dist).alias("h")) for c in (s, e)]))
+    each = exons.select(F.col(gene).alias("_g"), F.inline(parts)).where("l is not null and h is not null").distinct()
+    order = Window.partitionBy("_g").orderBy("l", "h")
+    begins = F.coalesce(F.col("l") > F.max("h").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    numbered = each.withColumn("_new", begins.cast("int")).withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("_g", "_i").agg(F.min("l").alias("_low"), F.max("h").alias("_high")).drop("_i")
+
+
+def near_exons(annotations: DataFrame, exons: DataFrame, max_dist: int = 300, keep_unmatched: bool = False, pos: str = "pos", gene: str = "gene_id", bin_size: int = 4096) -> DataFrame:
     """Annotation rows in an exon of their gene, or within ``max_dist`` of its start or end.
 
-    An equi join on the gene with the range as its condition; it only tests for a
-    match, so a row never multiplies. ``keep_unmatched`` keeps all rows.
+    Overlapping padded exons are merged first, and a variant is looked up among the
+    few merged ones in its bin of the gene, so crowded genes don't multiply. The
+    join only tests for a match. ``keep_unmatched`` keeps all rows.
     """
     if keep_unmatched:
         return annotations
-    e = exons.select(F.col(gene).alias("_g"), F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
-    p = F.col(pos)
-    inside = p.between(F.col("_s"), F.col("_e")) | (F.abs(p - F.col("_s")) <= max_dist) | (F.abs(p - F.col("_e")) <= max_dist)
-    kept = annotations.join(e, (F.col(gene) == F.col("_g")) & inside, "left_semi")
+    bin_ = lambda c: F.floor(c / bin_size)
+    places = islands(exons, max_dist, gene).withColumn("_bin", F.explode(F.sequence(bin_(F.col("_low")), bin_(F.col("_high")))))
+    kept = annotations.join(places, (F.col(gene) == F.col("_g")) & (bin_(F.col(pos)) == F.col("_bin")) & F.col(pos).between(F.col("_low"), F.col("_high")), "left_semi")
     if kept.isEmpty():
         raise CheckFailed("no variant lies near an exon")
     return kept

@@ -15,19 +15,27 @@ from .checks import require_rows, require_unique
 SITE = ["chrom", "pos", "ref", "alt"]
 
 
-def dense_ids(rows: DataFrame, order: list, name: str = "id", buckets: int = 64) -> DataFrame:
-    """``rows`` with ids 0..n-1 in that order, without a window over all rows.
+def in_ranges(rows: DataFrame, order: list, name: str = "id", buckets: int = 64) -> DataFrame:
+    """``rows`` with ids 0..n-1 in that order and ``_part``, the number of their range, without a window over all rows.
 
-    Rows are sorted into ranges; the count of each range (one row a partition)
-    gives its first id, and a window numbers the rows inside it.
+    Rows are sorted into ranges; the counts of the ranges give their first ids, and a
+    row's place in its range the rest.
     """
     ranged = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     # written, since ranges are sampled anew whenever they are computed
     placed = written(ranged.withColumn("_part", F.shiftright("_at", 33).cast("int")), "ranges")
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    before, at = [], 0
+    for r in sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # one row a range
+        before += [at] * (r["_part"] + 1 - len(before))
+        at += r["n"]
+    first = F.get(F.lit([0, *before]).cast("array<bigint>"), F.col("_part") + 1)
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside).drop("_at", "_part", "_before")
+    return placed.withColumn(name, first + inside).drop("_at")
+
+
+def dense_ids(rows: DataFrame, order: list, name: str = "id", buckets: int = 64) -> DataFrame:
+    """``rows`` with ids 0..n-1 in that order."""
+    return in_ranges(rows, order, name, buckets).drop("_part")
 
 
 def add_variant_ids(variants: DataFrame, key: list[str] = SITE, order_by: list[str] | None = None, chromosomes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

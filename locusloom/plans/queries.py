@@ -745,8 +745,8 @@ def score_phenotype_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("correct_fdr", f"with {PVALS}, {FDR_SQL.format(p='')} select k, round(q, 9) as pval_corrected, q <= 0.5 as significant from c")
 def correct_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W1, W3."""
-    return rounded(multitest.correct(pvals(spark, sf_dir), "FDR", 0.5), "pval_corrected", digits=9).select("k", "pval_corrected", "significant")
+    """W1, W3, for a table of a row a variant: without a task that sees all rows."""
+    return rounded(multitest.correct(pvals(spark, sf_dir), "FDR", 0.5, ranged=True), "pval_corrected", digits=9).select("k", "pval_corrected", "significant")
 
 
 @query("correct_fdr_by_method", f"with {PVALS}, {FDR_SQL.format(p='partition by method')} select k, method, round(q, 9) as pval_corrected from c")
@@ -755,6 +755,18 @@ def correct_fdr_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(multitest.correct(pvals(spark, sf_dir), "FDR", 0.5, ["method"]), "pval_corrected", digits=9).select("k", "method", "pval_corrected")
 
 
+@query("correct_fdr_by_method_ranged", f"with {PVALS}, {FDR_SQL.format(p='partition by method')} select k, method, round(q, 9) as pval_corrected from c")
+def correct_fdr_by_method_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4, for groups of any size."""
+    return rounded(multitest.correct(pvals(spark, sf_dir), "FDR", 0.5, ["method"], ranged=True), "pval_corrected", digits=9).select("k", "method", "pval_corrected")
+
+
+@query("qq_points_ranged", f"with {PVALS} select k, round(0 - log10(row_number() over (order by pval) / count(*) over ()), 9) as expected, round(0 - log10(pval), 9) as observed from pv")
+def qq_points_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W15 over all variants, without a task that sees them all."""
+    return rounded(multitest.qq_points(pvals(spark, sf_dir), ranged=True), "expected", "observed", digits=9).select("k", "expected", "observed")
+
+
 @query("correct_bonferroni", f"with {PVALS} select k, method, round(pval * count(*) over (partition by method), 9) as pval_corrected, pval * count(*) over (partition by method) < 0.9 as significant, count(*) over (partition by method) as n_tests from pv")
 def correct_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2, W17."""

@@ -98,6 +98,24 @@ def test_hwe():
         assert abs(qc.hwe_exact(*c) - plain(*c)) < 1e-9
 
 
+def test_hwe_batches():
+    """All small tables against plain sums, and cohorts of a million in the time of few terms."""
+    counts = [(a, b, c) for a in range(0, 9) for b in range(0, 9) for c in range(0, 9)] + [(1000, 60, 3), (5000, 10, 40), (300, 700, 300), (12, 1999, 5)]
+    got = qc.hwe_batch(*np.array(counts).T)
+    for (ref, het, alt), p in zip(counts, got, strict=True):
+        n, rare = ref + het + alt, 2 * min(ref, alt) + het
+        logs = {h: h * math.log(2) - sum(math.lgamma(x + 1) for x in ((rare - h) // 2, h, n - h - (rare - h) // 2)) for h in range(rare % 2, rare + 1, 2)}
+        top = max(logs.values())
+        want = sum(math.exp(v - top) for v in logs.values() if v <= logs[het] + 1e-9) / sum(math.exp(v - top) for v in logs.values()) if n else 1.0
+        assert abs(p - min(1.0, want)) < 1e-9 * max(want, 1e-3), (ref, het, alt)
+    large = np.array([[250_000, 500_000, 250_000], [250_000, 498_500, 251_500], [999_000, 998, 2], [900_000, 90_000, 10_000]])
+    p = qc.hwe_batch(*large.T)
+    assert p[0] == 1 and 0.001 < p[1] < 0.01 and p[2] > 1e-3 and p[3] < 1e-300
+    many = np.random.default_rng(1).multinomial(500_000, [0.49, 0.42, 0.09], 2000)
+    u = np.sort(qc.hwe_batch(*many.T))
+    assert np.abs(u - (np.arange(2000) + 0.5) / 2000).max() < 0.05  # in equilibrium p is uniform
+
+
 def test_distributions():
     assert abs(dist.chi2_1_sf(3.841458820694124) - 0.05) < 1e-12
     assert abs(dist.t_sf2(2.2281388519649385, 10) - 0.05) < 1e-10
@@ -380,6 +398,45 @@ def test_corrections(spark):
     assert abs(multitest.combine(one, ["g"], "cct").first()["pval"] / 2e-20 - 1) < 1e-6
 
 
+def test_ranged_corrections(spark, monkeypatch):
+    """Ranks by ranges give what windows give, with ties, nulls and groups; no task sees all rows."""
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 17 == 0 else float(min(1.0, rng.integers(1, 40) / 40) ** 3), None if i % 5 == 0 else f"m{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, pval double, method string").repartition(3)
+    monkeypatch.setattr(multitest, "RANGES", 7)
+    for group in (None, ["method"]):
+        plain = {r["k"]: r for r in multitest.fdr(df, 0.3, group).collect()}
+        ranged = multitest.fdr(df, 0.3, group, ranged=True)
+        assert set(ranged.columns) == {*df.columns, "pval_corrected", "significant"}
+        found = {r["k"]: r for r in ranged.collect()}
+        assert found.keys() == plain.keys()
+        for k, r in plain.items():
+            assert (r["pval_corrected"] is None) == (found[k]["pval_corrected"] is None) and (r["pval_corrected"] is None or np.isclose(r["pval_corrected"], found[k]["pval_corrected"])) and r["significant"] == found[k]["significant"]
+    some = df.where("pval is not null")
+    for group in (None, ["method"]):
+        expected = [sorted(r["expected"] for r in multitest.qq_points(some, group, ranged=x).collect()) for x in (False, True)]
+        assert np.allclose(*expected)
+    assert multitest.fdr(df.where("false"), ranged=True).count() == 0
+    placed = multitest.ranks(df, [], "pval")
+    assert placed.select("_part").distinct().count() > 3
+    plan = multitest.fdr(df, ranged=True)._jdf.queryExecution().executedPlan().toString()
+    single = [x for x in plan.split("\n") if "SinglePartition" in x]
+    assert "Window" in plan and len(single) <= 2  # the counts of ranges, a row each
+
+
+def test_crowded_exons(spark):
+    """Overlapping, nested and reversed exons, those beyond a bin, and the distance from each end, against all pairs."""
+    rng = np.random.default_rng(9)
+    exons = [(f"g{i % 3}", int(s), int(s + rng.integers(-20, 900))) for i, s in enumerate(rng.integers(0, 30_000, 120))] + [("g0", 5_000, 19_000), ("g1", None, 4)]
+    variants = [(i, f"g{i % 4}", int(p)) for i, p in enumerate(rng.integers(-300, 33_000, 3000))] + [(9000, None, 5), (9001, "g0", None)]
+    e, v = spark.createDataFrame(exons, "gene_id string, start long, end long"), spark.createDataFrame(variants, "id int, gene_id string, pos long")
+    for dist in (0, 15, 300):
+        got = {r["id"] for r in annotate.near_exons(v, e, dist, bin_size=1000).collect()}
+        assert got == {i for i, g, p in variants if g and p is not None and any(g == h and (abs(p - b) <= dist or a is not None and (a <= p <= b or abs(p - a) <= dist)) for h, a, b in exons)}
+    crowded = spark.range(100_000).selectExpr("'g' gene_id", "id % 5000 start", "id % 5000 + 40 end")
+    assert annotate.islands(crowded, 10).count() == 1
+
+
 def test_exons(spark):
     v = spark.createDataFrame([(1, 100, "g"), (2, 401, "g"), (3, 800, "g"), (4, 100, "h")], "id int, pos long, gene_id string")
     e = spark.createDataFrame([(50, 150, "g"), (60, 101, "g")], "start long, end long, gene_id string")
