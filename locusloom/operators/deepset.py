@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,41 +62,72 @@ def random_network(features: int, hidden: int = 20, deep: int = 2, wide: int = 1
     return Network(phi, rho, **options)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches again, cut between values of the first column only; equal values are neighbours."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(0)
+        last = ids[-1]
+        cut = b.num_rows
+        while cut and ids[cut - 1] == last:
+            cut -= 1
+        if cut:
+            yield pa.Table.from_batches([*rest, b.slice(0, cut)])
+            rest = [b.slice(cut)]
+        elif rest and rest[-1].column(0)[0] != last:
+            yield pa.Table.from_batches(rest)
+            rest = [b]
+        else:
+            rest.append(b)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value; null is one of them."""
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
 def score(rows: DataFrame, features: list[str], networks: dict[int, Network], keys: tuple[str, str] = ("sample", "gene")) -> DataFrame:
     """sample, gene, repeat, burden of carriers. rows: keys, gt, features; homozygous variants count twice in a sum.
 
-    An embedding depends on the features only, so each distinct set of them is
-    embedded once, in Arrow batches, and joined to its calls. Pools are partial
-    sums or maxima on the executors, finished in batches again.
+    Calls are dealt and sorted by sample once. In Arrow batches of whole samples
+    the distinct feature sets are embedded, pooled over each gene and finished, so
+    nothing wider than a call is shuffled or joined.
     """
-    held = sent(rows.sparkSession, networks)
-    repeats = sorted(networks)
-    width = next(iter(networks.values())).phi[-1][0].shape[1]
+    spark = rows.sparkSession
+    held, repeats = sent(spark, networks), sorted(networks)
     key_schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def embedded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nets = held()
-        for b in batches:
-            x = b[features].to_numpy(np.float64)
-            yield b.assign(h=list(np.hstack([nets[r].embed(x) for r in repeats])))
-
-    calls = rows.select(*keys, F.col("gt").cast("int").alias("gt"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-    e = calls.join(calls.select(*features).distinct().mapInPandas(embedded, ", ".join(f"{f} double" for f in features) + ", h array<double>"), features)
-    part = lambda k, r: F.max(F.get("h", F.lit(k))) if networks[r].pool == "max" else F.sum(F.get("h", F.lit(k)) * F.col("gt"))
-    pools = [part(j * width + i, r).alias(f"h{r}_{i}") for j, r in enumerate(repeats) for i in range(width)]
-    pooled = e.groupBy(*keys).agg(F.sum("gt").alias("n"), *pools)
-
-    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nets = held()
-        for b in batches:
+        zeros = {r: nets[r].embed(np.zeros((1, len(features)))) for r in repeats}
+        for t in whole_groups(batches):
+            one, two, gt = codes(t.column(0)), codes(t.column(1)), t.column(2).to_numpy().astype(np.float64)
+            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+            starts, n = np.flatnonzero(new), None
+            x, at = np.unique(np.column_stack([t.column(i + 3).to_numpy() for i in range(len(features))]), axis=0, return_inverse=True)
+            out = []
             for r in repeats:
-                net = nets[r]
-                x = b[[f"h{r}_{i}" for i in range(width)]].to_numpy(np.float64)
-                zero = net.embed(np.zeros((1, net.phi[0][0].shape[0])))
-                x = np.maximum(x, zero) if net.pool == "max" else x + np.maximum(0, net.pad_to - b["n"].to_numpy())[:, None] * zero
-                yield b[list(keys)].assign(repeat=r, burden=net.finish(x))
+                net, zero = nets[r], zeros[r]
+                h = net.embed(x)[at.ravel()]
+                if net.pool == "max":
+                    pooled = np.maximum(np.maximum.reduceat(h, starts), zero)
+                else:
+                    n = np.add.reduceat(gt, starts) if n is None else n
+                    pooled = np.add.reduceat(h * gt[:, None], starts) + np.maximum(0, net.pad_to - n)[:, None] * zero
+                out.append(net.finish(pooled))
+            kept = t.select([0, 1]).take(pa.array(starts)).combine_chunks()
+            for r, burden in zip(repeats, out, strict=True):
+                for b in kept.to_batches():
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(burden), r, np.int32)), pa.array(burden)], names=[*keys, "repeat", "burden"])
 
-    return pooled.mapInPandas(finished, f"{key_schema}, repeat int, burden double")
+    calls = rows.select(*keys, F.col("gt").cast("int").alias("gt"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    # a fixed number of partitions: they are small in bytes and long in work
+    dealt = calls.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), keys[0]).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(scored, f"{key_schema}, repeat int, burden double")
 
 
 def dense(burdens: DataFrame, samples: DataFrame, genes: DataFrame, networks: dict[int, Network]) -> DataFrame:

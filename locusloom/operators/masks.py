@@ -77,3 +77,9 @@ def coding_genes(genes: DataFrame, column: str = "gene") -> DataFrame:
 def share_of_samples(samples: DataFrame, share: float, key: str = "sample") -> DataFrame:
     """The first round(n x share) samples by key."""
     return samples.orderBy(key).limit(round(samples.count() * share))
+
+
+def first_of(df: DataFrame, n: int, key: str = "sample") -> DataFrame:
+    """The rows of the first n keys in order: samples or genes of a trial run."""
+    chosen = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
+    return df.join(chosen, key, "left_semi")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import sent
-from .deepset import Network
+from .deepset import Network, codes, score, whole_groups
 
 LOSSES = ("mse", "bce")
 #: Genes of the heads: their list is on the driver.
@@ -146,29 +146,6 @@ def step(net: Network, heads: Heads, sample: np.ndarray, gene: np.ndarray, gt: n
     return sums, counts, np.concatenate([a.ravel() for a in [*g_phi, *g_rho, g_weights, d.T @ covariates, d.sum(0)]])
 
 
-def whole_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of batches again, cut between samples."""
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b.column(0)
-        last = ids[-1]
-        cut = b.num_rows
-        while cut and ids[cut - 1] == last:
-            cut -= 1
-        if cut:
-            yield pa.Table.from_batches([*rest, b.slice(0, cut)])
-            rest = [b.slice(cut)]
-        elif rest and rest[-1].column(0)[0] != last:
-            yield pa.Table.from_batches(rest)
-            rest = [b]
-        else:
-            rest.append(b)
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def sums_of(table: DataFrame, net: Network, heads: Heads, n_features: int, loss: str, sizes: np.ndarray | None) -> np.ndarray:
     """Loss sums and counts of each phenotype, and the gradient where ``sizes`` are given, over the rows of a table of ``prepared``."""
     held = sent(table.sparkSession, (net, heads, sizes))
@@ -177,11 +154,10 @@ def sums_of(table: DataFrame, net: Network, heads: Heads, n_features: int, loss:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, heads, sizes = held()
         total = None
-        for t in whole_samples(batches):
+        for t in whole_groups(batches):
             column = lambda i, t=t: t.column(i).to_numpy().astype(np.float64)
             block = lambda i, k, column=column, t=t: np.column_stack([column(j) for j in range(i, i + k)]) if k else np.zeros((t.num_rows, 0))
-            codes = t.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
-            found = step(net, heads, codes, t.column(1).to_numpy(), column(2), block(3, n_features), block(3 + n_features, n), block(3 + n_features + n, c), loss, sizes)
+            found = step(net, heads, codes(t.column(0)), t.column(1).to_numpy(), column(2), block(3, n_features), block(3 + n_features, n), block(3 + n_features + n, c), loss, sizes)
             part = np.concatenate([a for a in found if a is not None])
             total = part if total is None else total + part
         if total is not None:
@@ -285,8 +261,6 @@ def fit(
 
 def predict(rows: DataFrame, samples: DataFrame, features: list[str], network: Network, heads: Heads) -> DataFrame:
     """sample, phenotype, prediction of every sample with all covariates."""
-    from .deepset import score
-
     burdens = score(rows, features, {0: network})
     empty = network.empty_score()
     spark = rows.sparkSession

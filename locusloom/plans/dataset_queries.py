@@ -89,10 +89,10 @@ def filter_first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.share_of_samples(study.samples(spark, sf_dir).select("sample"), 0.3)
 
 
-@query("merge_checked_scores", "with s as (select l_partkey as id, min(l_discount) as score from lineitem where l_quantity > 30 group by 1) select p_partkey as id, p_brand as gene, score as score_clip from part left join s on id = p_partkey")
+@query("merge_checked_scores", "with s as (select ps as id, min(score) as score from (select l_suppkey * 20 as ps, l_discount as score from lineitem) group by 1) select p_partkey as id, p_brand as gene, score as score_clip from part left join s on id = p_partkey")
 def merge_checked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffixed scores, the least of each key, joined m:1."""
-    scores = study.table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("id"), F.col("l_discount").alias("score"), F.lit("x").alias("junk"))
+    scores = study.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 20).alias("id"), F.col("l_discount").alias("score"), F.lit("x").alias("junk"))
     return annotate.merge_scores(study.variants(spark, sf_dir).select("id", "gene"), scores.drop("junk"), "_clip", ["id"])
 
 
@@ -154,11 +154,53 @@ def simulated_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.with_simulated(study.samples(spark, sf_dir).select("sample", "nation", "y"), simulated)
 
 
-@query("same_covariates", "select c_custkey as sample, c_nationkey::double as nation from customer")
+@query("same_covariates", """with o as (select o_custkey as sample, sum(o_totalprice) as spent, count(*) as n from orders group by 1), i as (select o_custkey as sample, sum(o_totalprice + 0.0) as spent, count(o_orderkey) as n from orders group by 1)
+select case when (select count(*) from o full join i using (sample) where o.n is null or i.n is null or abs(o.spent - i.spent) >= 0.01 or o.n <> i.n) = 0 then 'same' else 'other' end as first,
+       case when (select count(*) from o full join (select sample, spent + case when sample % 7 = 0 then 1 else 0 end as spent from i) j using (sample) where o.n is null or j.spent is null or abs(o.spent - j.spent) >= 0.01) = 0 then 'same' else 'other' end as second,
+       case when (select count(*) from o full join (select c_custkey as sample from customer) c using (sample) where o.n is null or c.sample is null) = 0 then 'same' else 'other' end as third""")
 def same_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two phenotypes' covariates agree within the tolerance."""
-    people = study.samples(spark, sf_dir).select("sample", "nation")
-    return checks.require_same_rows(people, people.withColumn("nation", F.col("nation") + 1e-9), ["sample"], ["nation"])
+    """Whether covariates summed in two ways agree; with some of them moved; and with the samples of another table."""
+    orders = study.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sample"))
+    one = orders.agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("n"))
+    two = orders.agg((F.avg("o_totalprice") * F.count("*")).alias("spent"), F.count("o_orderkey").alias("n"))
+    moved = two.withColumn("spent", F.col("spent") + (F.col("sample") % 7 == 0).cast("int"))
+    people = study.samples(spark, sf_dir).select("sample")
+
+    def said(other: DataFrame, columns: list[str]) -> str:
+        try:
+            checks.require_same_rows(one, other, ["sample"], columns, 0.01)
+        except checks.CheckFailed:
+            return "other"
+        return "same"
+
+    return spark.createDataFrame([(said(two, ["spent", "n"]), said(moved, ["spent"]), said(people, []))], "first string, second string, third string")
+
+
+@query("first_genes_and_samples", "with g as (select distinct p_brand as gene from part order by 1 limit 5), s as (select c_custkey as sample from customer order by 1 limit 40), c as (select p_brand as gene, o_custkey as sample from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey) select gene, count(*) as n_calls, count(distinct sample) as n_samples from c where gene in (select gene from g) and sample in (select sample from s) group by 1")
+def first_genes_and_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a trial run on the first genes and samples, which is what the operator is for."""
+    calls = study.table(spark, sf_dir, "lineitem").join(study.table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(study.variants(spark, sf_dir), F.col("id") == F.col("l_partkey"))
+    # the first samples are those of the study, carriers or not
+    people = masks.first_of(study.samples(spark, sf_dir).select("sample"), 40)
+    rows = masks.first_of(calls.select("gene", F.col("o_custkey").alias("sample")), 5, "gene").join(people, "sample", "left_semi")
+    return rows.groupBy("gene").agg(F.count("*").alias("n_calls"), F.count_distinct("sample").alias("n_samples"))
+
+
+@query("dataset_of_genes", f"with {CALLS}, listed as (select p_brand as gene from part group by 1 having count(*) % 2 = 0) select sample, variant_id, gt, gene, size from calls join (select p_partkey as variant_id, p_brand as gene, p_size as size from part) p using (variant_id) where gene in (select gene from listed)")
+def dataset_of_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a dataset of the listed genes only."""
+    v = study.variants(spark, sf_dir)
+    listed = v.groupBy("gene").agg(F.count("*").alias("n")).where("n % 2 = 0").select("gene")
+    found = dataset.assemble(study.calls(spark, sf_dir), v.select("id", "gene", "size"), study.samples(spark, sf_dir), "y", [], ["size"], genes=listed)
+    return found.rows.select("sample", "variant_id", "gt", "gene", "size")
+
+
+@query("significant_genes_first", f"with {PVALS}, b as (select gene, min(pval) as pval from pv group by 1), s as (select gene, pval * count(*) over () as q from b) select gene, round(q, 9) as pval_corrected from s where q < 0.9 order by q limit 3")
+def significant_genes_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: the first few significant genes, which is what the option is for."""
+    best = pvals(spark, sf_dir).groupBy("gene").agg(F.min("pval").alias("pval"))
+    genes = study.variants(spark, sf_dir).select("gene").distinct()
+    return rounded(evaluate.significant_genes(best, genes, "Bonferroni", 0.9, top=3), "pval_corrected", digits=9)
 
 
 @query("significant_gene_table", f"with {PVALS}, b as (select gene, min(pval) as pval from pv group by 1), s as (select gene, pval * count(*) over () as q from b) select s.gene, round(q, 9) as pval_corrected, n_variants from s join (select p_brand as gene, count(*) as n_variants from part group by 1) using (gene) where q < 0.5")

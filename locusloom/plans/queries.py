@@ -257,10 +257,10 @@ def annotation_splice_by_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.aggregate_splice(scores, exclude=["3"])
 
 
-@query("annotation_splice_merged", "with s as (select l_partkey as id, max(l_discount) as score from lineitem where l_quantity > 45 group by 1) select p_partkey as id, p_brand as gene, coalesce(score, 0.0) as score from part left join s on id = p_partkey")
+@query("annotation_splice_merged", "with s as (select l_suppkey * 20 as id, max(l_discount) as score from lineitem group by 1) select p_partkey as id, p_brand as gene, coalesce(score, 0.0) as score from part left join s on id = p_partkey")
 def annotation_splice_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J12."""
-    scores = study.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"), F.col("l_discount").alias("score"))
+    scores = study.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 20).alias("id"), F.col("l_discount").alias("score"))
     return annotate.merge_splice(study.variants(spark, sf_dir).select("id", "gene"), scores, "score", ["id"])
 
 
@@ -344,10 +344,10 @@ def annotation_wide_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(found, "name string, mean double, sd double, with_next double"), "mean", "sd", "with_next", digits=9)
 
 
-@query("annotation_shift_delta", "with p as (select l_partkey as variant, l_linenumber as shift, avg(l_discount) as mut, avg(l_tax) as wild from lineitem where l_linenumber <= 4 group by 1, 2) select variant, round(avg(mut - wild), 9) as delta from p group by 1")
+@query("annotation_shift_delta", "with p as (select l_partkey as variant, l_linenumber as shift, avg(l_discount) as mut, avg(l_tax) as wild from lineitem group by 1, 2) select variant, round(avg(mut - wild), 9) as delta from p group by 1")
 def annotation_shift_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M28."""
-    rows = study.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_partkey").alias("variant"), F.col("l_linenumber").alias("shift")).agg(F.avg("l_discount").alias("mut"), F.avg("l_tax").alias("wild"))
+    rows = study.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("variant"), F.col("l_linenumber").alias("shift")).agg(F.avg("l_discount").alias("mut"), F.avg("l_tax").alias("wild"))
     return rounded(annotate.shift_delta(rows.unpivot(["variant", "shift"], ["mut", "wild"], "allele", "score")), "delta", digits=9)
 
 

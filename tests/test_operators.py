@@ -582,7 +582,7 @@ def test_samples_stay_whole():
     ids = [0] * 3 + [1] * 8 + [2] + [3] * 2
     for size in (1, 2, 3, 5, 20):
         batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + size])], ["s"]) for i in range(0, len(ids), size)]
-        tables = [t.column(0).to_pylist() for t in training.whole_samples(iter(batches))]
+        tables = [t.column(0).to_pylist() for t in deepset.whole_groups(iter(batches))]
         assert sum(tables, []) == ids and all(a[-1] != b[0] for a, b in zip(tables, tables[1:], strict=False))
 
 
