@@ -143,10 +143,18 @@ def seeded(seed: int, key: str = "sample") -> Column:
 
 
 def bagged(samples: DataFrame, share: float, seed: int, replace: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(training, validation) samples of one bag: drawn by a seeded hash (or with replacement), and those not drawn."""
+    """(training, validation) samples of one bag: drawn by a seeded hash (or with replacement), and those not drawn.
+
+    With replacement round(share x n) draws fall on the n samples, each by the hash
+    of its number; counts are exactly multinomial and the same however rows are dealt.
+    """
     if replace:
-        drawn = samples.sample(True, share, seed)
-        return drawn, samples.join(drawn.select("sample").distinct(), "sample", "left_anti")
+        indexed = dense_ids(samples, ["sample"], "_i")
+        n = indexed.count()
+        draws = samples.sparkSession.range(round(share * n)).select((seeded(seed, "id") % max(1, n)).alias("_i"))
+        counts = draws.groupBy("_i").agg(F.count("*").cast("int").alias("_t"))
+        found = indexed.join(counts, "_i", "left").drop("_i")
+        return found.where("_t > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_t")))).drop("_t"), found.where("_t is null").drop("_t")
     bound = int(share * (1 << 32))
     return samples.where(seeded(seed) < bound), samples.where(seeded(seed) >= bound)
 

@@ -255,6 +255,15 @@ def bag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("validation")))
 
 
+@query("bag_samples_replaced", """with s as (select c_custkey as sample, row_number() over (order by c_custkey) - 1 as i, count(*) over () as n from customer),
+d as (select ('0x' || substr(md5('5:' || j), 1, 8))::bigint % (select count(*) from customer) as i, count(*) as times from range((select cast(round(0.7 * count(*)) as bigint) from customer)) as r(j) group by 1)
+select sample, coalesce(times, 0) as times from s left join d using (i)""")
+def bag_samples_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bag drawn with replacement; how often each sample is in it."""
+    train, held = evaluate.bagged(study.samples(spark, sf_dir).select("sample"), 0.7, 5, replace=True)
+    return train.groupBy("sample").agg(F.count("*").alias("times")).unionByName(held.withColumn("times", F.lit(0).cast("long")))
+
+
 @query("upsampled_classes", "with c as (select c_acctbal < 0 as y, count(*) as n from customer group by 1) select cast(y as int) as y_binary, (select max(n) from c) as n from c")
 def upsampled_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A29."""

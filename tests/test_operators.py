@@ -615,6 +615,19 @@ def test_bags(spark):
     assert up[True] == up[False] == 300
 
 
+def test_bag_with_replacement(spark):
+    """The same bag however rows are dealt; its size is exact, and counts are those of a multinomial."""
+    samples = spark.range(900).withColumnRenamed("id", "sample")
+    bags = [evaluate.bagged(samples.repartition(n), 1.5, 4, replace=True) for n in (1, 8)]
+    rows = [sorted(r["sample"] for r in train.collect()) for train, _ in bags]
+    assert rows[0] == rows[1] and len(rows[0]) == 1350
+    held = {r["sample"] for r in bags[0][1].collect()}
+    assert held == set(range(900)) - set(rows[0]) and abs(len(held) / 900 - math.exp(-1.5)) < 0.05
+    counts = np.bincount(rows[0], minlength=900)
+    assert abs(counts.var() - 1.5) < 0.3
+    assert evaluate.bagged(samples.where("sample < 0"), 1.5, 4, replace=True)[0].count() == 0
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(1, 1e-4, 0.9), (2, 0.1, 0.95), (3, None, 0.99)], "id int, MAF double, cadd double")
     assert [r["id"] for r in df.where(masks.thresholds(["MAF < 1e-3", "cadd > 0.5"])).collect()] == [1]

@@ -1,7 +1,7 @@
 """Every registered study query, and its SQL where there is one."""
 
 import pytest
-from locusloom.plans import dataset_queries  # noqa: F401
+from locusloom.plans import dataset_queries, file_queries  # noqa: F401
 from locusloom.plans.queries import ORACLES, QUERIES
 
 
