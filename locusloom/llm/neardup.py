@@ -42,9 +42,8 @@ from pyspark.sql import functions as F
 from .common import aside, discarded, sent, slices, small_batches, written
 
 WORDS, SIMILARITY = 5, 0.8
-#: 25 bands of 5: two texts at 0.8 miss each other with a chance of 5e-5, at 0.9 of 4e-10.
-BANDS, ROWS = 25, 5
-SLOTS = BANDS * ROWS
+#: Slots of a signature, and the chance that two texts just at the similarity may have to agree in no band.
+SLOTS, MISSED = 125, 1e-4
 #: Words whose hashes a worker keeps; texts and characters taken at once.
 CACHED, TEXTS, CHARS = 1 << 17, 128, 1 << 20
 #: Cells of the sketch of shingle counts: at most so many numbers reach the driver and go out again.
@@ -54,6 +53,14 @@ U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
 
+def banded(similarity: float) -> tuple[int, int]:
+    """Bands and slots of a band: the longest bands that miss few enough pairs. At 0.8 25 of 5, which miss 5e-5 of them (4e-10 at 0.9)."""
+    for rows in range(SLOTS, 1, -1):
+        if (1 - similarity**rows) ** (SLOTS // rows) <= MISSED:
+            return SLOTS // rows, rows
+    return SLOTS, 1
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> U(30))) * MIX_A
@@ -147,21 +154,22 @@ def signatures(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return found
 
 
-def signed(docs: DataFrame, text: str = "text") -> DataFrame:
+def signed(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, bag (a 128-bit hash of the whole bag), size, bands (a 64-bit key for each band)."""
+    n, rows = banded(similarity)
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        seeds = mixed(np.arange(1, BANDS + 1).astype(U) * STEP)
+        seeds = mixed(np.arange(1, n + 1).astype(U) * STEP)
         for whole in batches:
             for batch, texts in slices(whole, 1, TEXTS, CHARS):
                 bags = [shingles(t, known) for t in texts]
-                sig = signatures(bags).reshape(len(bags), BANDS, ROWS).astype(U)
-                keys = np.broadcast_to(seeds, (len(bags), BANDS))
-                for k in range(ROWS):
+                sig = signatures(bags, n * rows).reshape(len(bags), n, rows).astype(U)
+                keys = np.broadcast_to(seeds, (len(bags), n))
+                for k in range(rows):
                     keys = mixed(keys + sig[:, :, k] + STEP)
                 flat = pa.array(keys.astype(np.int64).ravel())
-                bands = pa.ListArray.from_arrays(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32), flat)
+                bands = pa.ListArray.from_arrays(np.arange(0, len(bags) * n + 1, n, dtype=np.int32), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(b.tobytes()) for b in bags], pa.binary()), pa.array([len(b) for b in bags], pa.int32()), bands], names=["doc_id", "bag", "size", "bands"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(taken, "doc_id long, bag binary, size int, bands array<long>")
@@ -277,8 +285,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of every document."""
-    signs = written(signed(docs, text), "signatures")
+    """doc_id and class_id (the least doc_id of the class) of every document. A lower ``similarity`` takes shorter bands and catches copies with more edits."""
+    signs = written(signed(docs, text, similarity), "signatures")
     reps = written(signs.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "bags")
     compared = reps.where(F.col("rep").isNotNull() & (F.col("size") > 0))
     bands = written(compared.select("rep", "size", F.explode("bands").alias("band")), "bands")

@@ -276,3 +276,26 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 105), (105, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(links).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 105: 100}
+
+
+def test_recall_by_edits(spark):
+    """Copies with 1, 3, 5 and 10 % of their words changed: every pair at the similarity is caught, at the default and at a lower one, and nothing else."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(5000)]
+    docs, pairs = [], []
+    for k in range(120):
+        text = rng.choice(words, int(rng.integers(60, 300)))
+        copy, share = text.copy(), (0.01, 0.03, 0.05, 0.10)[k % 4]
+        copy[rng.random(len(copy)) < share] = "changed"
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+        pairs.append((2 * k, share))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    caught = {}
+    for similarity in (0.8, 0.4):
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df, similarity=similarity).collect()}
+        assert got == brute_classes(docs, similarity)
+        for share in (0.01, 0.03, 0.05, 0.10):
+            caught[similarity, share] = np.mean([got[a] == got[a + 1] for a, s in pairs if s == share])
+    assert caught[0.8, 0.01] > 0.9 and caught[0.8, 0.10] < 0.1
+    assert np.mean([caught[0.4, s] for s in (0.01, 0.03, 0.05)]) > 0.9
+    assert neardup.banded(0.8) == (25, 5) and neardup.banded(0.4) == (62, 2)
