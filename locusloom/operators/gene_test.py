@@ -20,7 +20,7 @@ from ..functions.distributions import chi2_1_sf, chi2_sf, t_pvalue
 from ..functions.mixture import mixture_tail
 from ..functions.matrices import matrix_of
 from ..functions.shared import sent, written
-from . import saddlepoint, spectrum
+from . import conditional, saddlepoint, spectrum
 from .null_model import FEW, MOST, NullModel, complete, design, fit_linear, products
 
 
@@ -284,13 +284,34 @@ def seed_tests(rows: DataFrame, model: NullModel, samples: DataFrame, classes: d
     return found.select("gene", "vtype", "ttype", "stat", "pval", "EAC", "EAC_filtered", "n_cases", "n_QV", "n_cluster", "max_var_count", "max_var_count_wo_homoz", "markers_after_mac_collapsing", "beta", "beta_sd")
 
 
-def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataFrame, y: str, x: list[str]) -> DataFrame:
-    """gene, beta, pval of the burden score test given x and the gene's own common variants.
+def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataFrame, y: str, x: list[str], dense: int = DENSE) -> DataFrame:
+    """gene, beta, stat, pval of the burden score test given x and the gene's own common variants.
 
     conditioning: gene, sample, marker, value in long form (absent: 0). All cross
     products of [1, x, burden, markers, y] are sums in Spark; a gene's group holds
-    only its small matrix.
+    only its small matrix. Genes with more than ``dense`` markers are solved by
+    conjugate gradients over their calls instead (``conditional``).
     """
+    large = written(conditioning.select("gene", "marker").distinct().groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("gene"), "large_genes")
+    if large.isEmpty():
+        return dense_conditional_test(burdens, conditioning, samples, y, x)
+    only = lambda df, how: df.join(large, "gene", how)
+    model = fit_linear(samples, y, x)
+    z, single = skat_rows(only(conditioning, "left_semi"), model, samples)
+    b = only(burdens, "left_semi").select("gene", "sample", F.col("b").cast("double").alias("b"))
+    design_ = complete(samples, y, x).select("sample", F.array(*design(x)).alias("x"))
+    k = len(x) + 1
+    xb = b.join(design_, "sample").groupBy("gene").agg(*[F.sum(F.col("b") * F.get("x", F.lit(i))).alias(f"_x{i}") for i in range(k)])
+    effect = F.array(*[sum((F.lit(float(v)) * F.col(f"_x{j}") for j, v in enumerate(row)), F.lit(0.0)) for row in model.inverse])
+    zb = z.join(b, ["gene", "sample"]).groupBy("gene", "marker").agg(F.sum(F.col("value") * F.col("b")).alias("_zb"))
+    taken = sum((F.get("zx", F.lit(i)) * F.get("c", F.lit(i)) for i in range(k)), F.lit(0.0))
+    products_ = single.join(xb.select("gene", effect.alias("c")), "gene").join(zb, ["gene", "marker"], "left").select("gene", "marker", (F.coalesce("_zb", F.lit(0.0)) - taken).alias("zb"))
+    found = conditional.large_tests(z, single, gene_sums(b, model, samples), products_, model, large)
+    return dense_conditional_test(only(burdens, "left_anti"), only(conditioning, "left_anti"), samples, y, x).unionByName(found)
+
+
+def dense_conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataFrame, y: str, x: list[str]) -> DataFrame:
+    """``conditional_test`` with each gene's matrix in its group."""
     rows = complete(samples, y, x)
     base_columns = [*design(x), F.col(y).cast("double")]
     base, n = products(rows, base_columns)
@@ -307,7 +328,7 @@ def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataF
     def tested(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("marker").reset_index(drop=True)
         if not len(one) or one.marker[0] != "\x00burden":
-            return pd.DataFrame({"gene": [], "beta": [], "stat": [], "pval": []})
+            return pd.DataFrame({"gene": [key[0]], "beta": [np.nan], "stat": [np.nan], "pval": [np.nan]})
         at = {m: i for i, m in enumerate(one.marker)}
         i, j = two.m1.map(at).to_numpy(), two.m2.map(at).to_numpy()
         zz = np.zeros((len(one), len(one)))
@@ -321,9 +342,9 @@ def conditional_test(burdens: DataFrame, conditioning: DataFrame, samples: DataF
         sigma2 = (base[-1, -1] - to_y @ inverse @ to_y) / max(1, n - rank)
         u, v = zx[0, -1] - to_b @ inverse @ to_y, zz[0, 0] - to_b @ inverse @ to_b
         if v <= 1e-9 * zz[0, 0] or sigma2 <= 0:
-            return pd.DataFrame({"gene": [], "beta": [], "stat": [], "pval": []})
+            return pd.DataFrame({"gene": [key[0]], "beta": [np.nan], "stat": [np.nan], "pval": [np.nan]})
         stat = u * u / (sigma2 * v)
         return pd.DataFrame({"gene": [key[0]], "beta": [u / v], "stat": [stat], "pval": [chi2_1_sf(stat)]})
 
     kind = burdens.schema["gene"].dataType.simpleString()
-    return single.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, beta double, stat double, pval double")
+    return single.groupBy("gene").cogroup(cross.groupBy("gene_")).applyInPandas(tested, f"gene {kind}, beta double, stat double, pval double").where("stat is not null and not isnan(stat)")

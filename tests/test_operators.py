@@ -355,6 +355,19 @@ def test_conditional(study):
         assert abs(got[f"g{j}"]["stat"] - want) < 1e-6
 
 
+def test_conditional_by_conjugate_gradients(study):
+    """Genes beyond the bound, by steps over their calls, against the dense form; markers of very different frequency and a gene without a burden among them."""
+    n, x, g, y, yb, samples, rows = study
+    burdens = gene_test.collapse(rows.where("marker not like '%_3' and gene <> 'g5'"))
+    few = rows.where("marker like '%_3'")
+    others = rows.where("gene in ('g2', 'g3', 'g5')").selectExpr("sample", "'g1' gene", "concat('o', marker) marker", "value * 3 value")
+    conditioning = few.unionByName(others).unionByName(rows.where("gene = 'g4'").selectExpr("sample", "'g5' gene", "marker", "value"))
+    dense = {r["gene"]: r for r in gene_test.conditional_test(burdens, conditioning, samples, "y", ["x1", "x2"]).collect()}
+    steps = {r["gene"]: r for r in gene_test.conditional_test(burdens, conditioning, samples, "y", ["x1", "x2"], dense=2).collect()}
+    assert dense.keys() == steps.keys() and "g5" not in dense
+    assert all(np.isclose(dense[k][c], steps[k][c], rtol=1e-6) for k in dense for c in ("beta", "stat", "pval"))
+
+
 def test_null_calibration(spark, study):
     """Genes without an effect have p-values that aren't small more often than by chance."""
     n, x, g, y, yb, samples, rows = study
