@@ -85,6 +85,18 @@ def permute(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
     return df.drop(column).join(order.join(drawn, "_i").select(key, F.col("_y").alias(column)), key)
 
 
+def permuted_many(df: DataFrame, column: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """key and ``values``: the column as it is, then dealt anew n times as ``permute`` does with seeds from ``seed`` on; one sort for all of them. Keys are unique and not null."""
+    indexed = dense_ids(df.select(key, F.col(column).alias("_y")), [key], "_i")
+    every = indexed.select("*", F.explode(F.sequence(F.lit(seed), F.lit(seed + n - 1))).alias("_b")) if n else indexed.withColumn("_b", F.lit(0)).where("false")
+    hashed = every.select("_b", "_y", F.col(key).alias("_k"), F.md5(F.concat(F.col("_b").cast("string"), F.lit(":"), F.col(key).cast("string"))).alias("_h"))
+    # every permutation has as many rows, so the place in it follows from the place among all
+    size = indexed.count()
+    drawn = dense_ids(hashed, ["_b", "_h", "_k"], "_place").select("_b", "_y", (F.col("_place") - (F.col("_b") - seed) * size).alias("_i"))
+    lists = drawn.groupBy("_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_y"))), lambda x: x["_y"]).alias("_ys"))
+    return indexed.join(lists, "_i", "left").select(key, F.concat(F.array("_y"), F.coalesce("_ys", F.array().cast(f"array<{df.schema[column].dataType.simpleString()}>"))).alias("values"))
+
+
 def sample_mask(phenotypes: DataFrame, genotyped: DataFrame, keep: DataFrame | None, y: list[str], x: list[str], skip_y_na: bool = True) -> DataFrame:
     """Phenotype rows of genotyped (and listed) samples with all covariates, and with y unless that is kept missing."""
     rows = phenotypes.join(genotyped.select("sample").distinct(), "sample", "left_semi")

@@ -447,6 +447,17 @@ def gene_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "beta", "t").select("gene", "beta", "t")
 
 
+@query("gene_permutations", f"""with {GENE_SUMS}, i as (select sample, r, row_number() over (order by sample) as i from res), h as (select p, r, row_number() over (partition by p order by md5(p || ':' || sample), sample) as i from res, (select unnest(range(7, 16)) as p)),
+y as (select i.sample, h.p, h.r from i join h using (i)), u as (select gene, p, sum(b * y.r) as u from burdens join y using (sample) group by 1, 2),
+e as (select gene, count(*) filter (abs(u.u) >= abs(g.u) * (1 - 1e-9)) as beyond, avg(u.u * u.u) as mean from u join g using (gene) group by 1)
+select gene, round(u * u / (s2 * v), 6) as stat, round((1 + beyond) / 10.0, 6) as pval_empirical, round(mean / (s2 * v), 6) as null_mean from g join e using (gene) cross join sig where v > 1e-9 * bb""")
+def gene_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score test against nine seeded permutations in one pass."""
+    people = study.samples(spark, sf_dir)
+    found = gene_test.permutation_test(gene_test.collapse(study.weighted(study.carriers(spark, sf_dir))), null_model.fit_linear(people, "y", ["nation"]), people, 9, 7)
+    return rounded(found, "stat", "pval_empirical", "null_mean")
+
+
 def logistic_sql(steps: int = 12) -> str:
     """CTEs of a logistic fit on nation and an intercept a segment by Newton steps; ``w`` has mu and the weights, ``f`` what its test needs.
 

@@ -378,6 +378,26 @@ def test_null_calibration(spark, study):
     assert abs((p < 0.1).mean() - 0.1) < 0.07 and abs(p.mean() - 0.5) < 0.08
 
 
+def test_permutations(spark, study):
+    """Two hundred permutations in one pass: each one is ``permute``'s; under the null empirical p-values are uniform and statistics calibrated."""
+    rng = np.random.default_rng(31)
+    n = 240
+    samples = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal())) for i in range(n)], "sample int, y double, x double")
+    model = null_model.fit_linear(samples, "y", ["x"])
+    burdens = spark.createDataFrame([(f"g{j}", int(i), 1.0) for j in range(40) for i in rng.choice(n, 25, replace=False)], "gene string, sample int, b double").repartition(3)
+    got = {r["gene"]: r for r in gene_test.permutation_test(burdens, model, samples, 200, 3).collect()}
+    plain = {r["gene"]: r for r in gene_test.score_test(burdens, model, samples).collect()}
+    assert got.keys() == plain.keys() and all(np.isclose(r["stat"], plain[g]["stat"]) for g, r in got.items())
+    p = np.sort([r["pval_empirical"] for r in got.values()])
+    assert np.abs(p - (np.arange(40) + 0.5) / 40).max() < 0.25 and max(abs(r["pval_empirical"] - plain[g]["pval"]) for g, r in got.items()) < 0.15
+    assert abs(np.mean([r["null_mean"] for r in got.values()]) - 1) < 0.1
+    many = {r["sample"]: r["values"] for r in transform.permuted_many(samples, "y", "sample", 3, 5).collect()}
+    for k in range(3):
+        one = {r["sample"]: r["y"] for r in transform.permute(samples.select("sample", "y"), "y", "sample", 5 + k).collect()}
+        assert all(many[i][k + 1] == v for i, v in one.items())
+    assert gene_test.permutation_test(burdens, model, samples, 0).count() == 40
+
+
 def test_constant_burden_is_left_out(spark, study):
     samples = study[5]
     model = null_model.fit_linear(samples, "y", ["x1", "x2"])
