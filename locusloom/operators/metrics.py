@@ -41,11 +41,6 @@ def mean_losses(df: DataFrame, names: list[str], phenotype: str = "phenotype", p
     return df.groupBy(phenotype).agg(*[F.avg(LOSSES[n](F.col(p).cast("double"), F.col(y).cast("double"))).alias(n) for n in names])
 
 
-def mean_loss(df: DataFrame, name: str, phenotype: str = "phenotype", p: str = "p", y: str = "y") -> DataFrame:
-    """phenotype, loss."""
-    return mean_losses(df, [name], phenotype, p, y).withColumnRenamed(name, "loss")
-
-
 def average_precision(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
     """Average precision by descending score; equal scores count together."""
     by_score = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.count("*").alias("_n"))

@@ -35,17 +35,17 @@ def softplus(x: Column) -> Column:
 
 
 def adjusted(burdens: DataFrame, model: NullModel, samples: DataFrame) -> DataFrame:
-    """gene, b adjusted for the covariates, eta, mu and y of every carrier."""
+    """gene, b adjusted for the covariates, eta and mu of every carrier."""
     rows = complete(samples, model.y, model.x)
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in model.x])
-    frame = rows.select("sample", F.col(model.y).cast("double").alias("y"), model.linear().alias("eta"), model.fitted().alias("mu"), x.alias("x"))
+    frame = rows.select("sample", model.linear().alias("eta"), model.fitted().alias("mu"), x.alias("x"))
     carriers = burdens.where("b <> 0").select("gene", "sample", F.col("b").cast("double").alias("b")).join(frame, "sample")
     w = F.col("mu") * (1 - F.col("mu"))
     k = len(model.x) + 1
     own = carriers.groupBy("gene").agg(F.array(*[F.sum(w * F.col("b") * F.get("x", F.lit(i))) for i in range(k)]).alias("xb"))
     effect = [sum((F.lit(float(v)) * F.get("xb", F.lit(j)) for j, v in enumerate(row)), F.lit(0.0)) for row in model.inverse]
     taken = sum((F.get("x", F.lit(i)) * F.get("c", F.lit(i)) for i in range(k)), F.lit(0.0))
-    return carriers.join(own.select("gene", F.array(*effect).alias("c")), "gene").select("gene", (F.col("b") - taken).alias("b"), "eta", "mu", "y")
+    return carriers.join(own.select("gene", F.array(*effect).alias("c")), "gene").select("gene", (F.col("b") - taken).alias("b"), "eta", "mu")
 
 
 def saddlepoints(carriers: DataFrame, scores: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def saddlepoint_test(sums: DataFrame, burdens: DataFrame, model: NullModel, samp
     """
     scores = written(sums.select("gene", "n_carriers", "u", F.col("bpb").alias("variance")), "scores")
     far = scores.where(F.col("u") * F.col("u") > cutoff * cutoff * F.col("variance"))
-    carriers = written(adjusted(burdens.join(far.select("gene"), "gene", "left_semi"), model, samples).drop("y"), "carriers")
+    carriers = written(adjusted(burdens.join(far.select("gene"), "gene", "left_semi"), model, samples), "carriers")
     points = saddlepoints(carriers, far.select("gene", "u", "variance"))
     discarded(carriers)
     both = points.groupBy("gene").agg(F.collect_list(F.struct("q", "t", "k0", "k2")).alias("points"))

@@ -42,9 +42,9 @@ def scan_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.bed(readers.variants(spark, text_of(study.variants(spark, sf_dir), ["chrom", "pos", "ref", "alt"], "variants")))
 
 
-@query("scan_exclusions", "select p_type as chrom, count(distinct p_partkey) as n_variants, count(*) as n_calls, (select count(*) from (select distinct p_brand from part)) as n_samples from part join lineitem on l_partkey = p_partkey group by 1")
+@query("scan_exclusions", "select p_type as chrom, count(distinct p_partkey) as n_variants, count(*) as n_calls, (select count(distinct p_brand) from part) as n_samples, (select count(distinct p_brand) from part) as n_listed from part join lineitem on l_partkey = p_partkey group by 1")
 def scan_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of variants (repeats count once), calls and samples to leave out, in nested folders by file name."""
+    """Lists of variants (repeats count once), calls and samples to leave out, in nested folders by file name."""
     rows = study.table(spark, sf_dir, "lineitem").join(study.variants(spark, sf_dir), F.col("id") == F.col("l_partkey"))
     root = place(spark, "exclusions")
     site = F.concat_ws("\t", "chrom", "pos", "ref", "alt")
@@ -55,9 +55,9 @@ def scan_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the readers pick files by their suffix; Spark names its own .csv
     variants = readers.tsv(spark, f"{root}/variants", readers.VARIANTS, recursive=True, glob="*.csv").distinct()
     calls = readers.tsv(spark, f"{root}/calls", f"{readers.VARIANTS}, sample string", recursive=True, glob="*.csv")
-    samples = readers.excluded_samples(spark, f"{root}/samples").count()
+    samples, listed = readers.excluded_samples(spark, f"{root}/samples").count(), readers.sample_list(spark, f"{root}/samples/all/part.dir").count()
     counted = calls.groupBy("chrom").agg(F.count("*").alias("n_calls"))
-    return variants.groupBy("chrom").agg(F.count("*").alias("n_variants")).join(counted, "chrom").withColumn("n_samples", F.lit(samples).cast("long"))
+    return variants.groupBy("chrom").agg(F.count("*").alias("n_variants")).join(counted, "chrom").withColumns({"n_samples": F.lit(samples).cast("long"), "n_listed": F.lit(listed).cast("long")})
 
 
 @query("scan_annotator", """select p_type as chrom, p_partkey as pos, 'A' as ref, 'T' as alt, nullif(case when p_size % 4 = 0 then '-' else p_brand || '.2' end, '-') as "Gene",
