@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discarded, partitions, sent, slices, small_batches, written
-from .packing import CHARS, TEXTS, VOCABULARY
+from .packing import CHARS, TEXTS, VOCABULARY, token_ids
 from .subwords import MARK, MODEL
 
 #: Bytes of a range, and fragments composed at once.
@@ -106,7 +106,7 @@ class Tokenizers:
         """Ids of both for texts that begin with a space; None for an empty text and where their bytes differ from the text's."""
         out = []
         for text, b in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
-            a, whole = self.a.encode_to_numpy(text, disallowed_special=()), text.encode()
+            a, whole = token_ids(self.a, text), text.encode()
             same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
             out.append((a.astype(np.int64), np.array(b, np.int64)) if text and same else None)
         return out

@@ -21,6 +21,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,17 @@ def encoder(path: str, special: dict[str, int]):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def token_ids(tokens, text: str) -> np.ndarray:
+    """Ids of a text. A run of a million blanks is more than the encoder's own splitting bears; such a text is split here, by the same pattern."""
+    try:
+        return tokens.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        special = {name: tokens.encode_single_token(name) for name in tokens.special_tokens_set}
+        strings = regex.split("(" + "|".join(map(regex.escape, special)) + ")", text) if special else [text]
+        ids = [[special[part]] if part in special else tokens._encode_single_piece(piece) for part in strings for piece in ([part] if part in special else regex.findall(public_tokenizers.PATTERN, part))]
+        return np.array([i for some in ids for i in some], np.uint32)
+
+
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: full ones, but the first, which may be shorter."""
     first = (n - 1) % capacity + 1
@@ -67,7 +79,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
             for batch, texts in slices(whole, 1, TEXTS, CHARS):
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    ids = np.append(tokens.encode_to_numpy(text, allowed_special="all", disallowed_special=()), end).astype("<u4") if text else np.array([end], "<u4")
+                    ids = np.append(token_ids(tokens, text), end).astype("<u4") if text else np.array([end], "<u4")
                     out += [(doc_id, k, start, n, ids[start : start + n].tobytes()) for k, (start, n) in enumerate(cut_points(len(ids), capacity))]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids"])

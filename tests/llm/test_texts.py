@@ -107,6 +107,25 @@ def test_packing_query(spark, data):
     assert n <= 1.02 * total / 1024 + 2
 
 
+def test_token_ids_of_blanks():
+    """A million blanks, more than the encoder's pattern bears, with text and special tokens around; the other way of splitting gives the same ids."""
+    tokens = fast_tokenizer()
+    with pytest.raises(ValueError, match="stack"):
+        tokens.encode_to_numpy(" " * 1_000_000)
+    ids = packing.token_ids(tokens, "a<|endoftext|>" + " " * 1_000_000 + "b")
+    assert tokens.decode(ids.tolist()) == "a<|endoftext|>" + " " * 1_000_000 + "b" and 50256 in ids
+
+    class Refusing:
+        def __getattr__(self, name):
+            return getattr(tokens, name)
+
+        def encode_to_numpy(self, *_, **__):
+            raise ValueError
+
+    for text in ("a <|endoftext|> b  c\n\n d's 12 漢字 🙂", "", "   ", "<|endoftext|><|endoftext|>", " x" * 50 + "\t\t y"):
+        assert packing.token_ids(Refusing(), text).tolist() == packing.token_ids(tokens, text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+
+
 def test_packing_special_tokens(spark, tmp_path):
     """The query's and the pipeline's ids equal those of the unmodified tokenizer where texts hold special tokens."""
     import corpus_pipeline
