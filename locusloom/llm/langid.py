@@ -78,13 +78,12 @@ def trigram_vector(text: str, dims: int = DIMS) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int = 120) -> np.ndarray:
     """Squared-hinge linear SVM by accelerated gradient steps; classes weigh alike. The last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     rate, momentum = 1 / (4 + ridge), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        grad = ridge * v - 2 * (x.T @ (weight * y * slack))
+        pull = weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        grad = ridge * v - 2 * np.append(pull @ x, pull.sum())
         new = v - rate * grad
         after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2  # Python floats keep the arrays in single precision
         v, w, momentum = new + (momentum - 1) / after * (new - w), new, after
@@ -111,7 +110,7 @@ class Hierarchy:
                 for b in names[i + 1 :]:
                     rows = (truth == a) | (truth == b)
                     pairs.append((names.index(a), names.index(b), len(columns)))
-                    columns.append(fit_svm(vectors[rows], np.where(truth[rows] == a, 1, -1).astype(np.float32)))
+                    columns.append(fit_svm(vectors[rows].astype(np.float32), np.where(truth[rows] == a, 1, -1).astype(np.float32)))
             self.groups.append((names, pairs))
         self.weights = np.array(columns, np.float32).reshape(len(columns), vectors.shape[1] + 1).T
 
@@ -172,8 +171,9 @@ def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS) -> Hierarchy |
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    return Hierarchy(x, [r["lang"] for r in rows])
+    langs, x = [r["lang"] for r in rows], np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(len(rows), -1)
+    del rows  # the driver holds the vectors once, and those of one pair of classes in single precision
+    return Hierarchy(x, langs)
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, dims: int = DIMS, text: str = "text") -> DataFrame:
