@@ -80,9 +80,9 @@ def seed_genes_with_ids(seeds: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def significant_genes(results: DataFrame, genes: DataFrame, correction: str = "FDR", alpha: float = 0.05, top: int | None = None) -> DataFrame:
-    """Significant genes with their metadata; ``top`` keeps the first few for a debugging run."""
+    """Significant genes with their metadata; ``top`` keeps the first few for a debugging run, equal p-values by gene."""
     found = correct(results, correction, alpha).where("significant").select("gene", "pval_corrected").join(genes, "gene")
-    return found.orderBy("pval_corrected").limit(top) if top else found
+    return found.orderBy("pval_corrected", "gene").limit(top) if top else found
 
 
 def evaluate_seed(results: DataFrame, alpha: float = 0.05, least_eac: float = 50) -> DataFrame:
