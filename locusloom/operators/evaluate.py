@@ -93,8 +93,8 @@ def evaluate_seed(results: DataFrame, alpha: float = 0.05, least_eac: float = 50
         F.count_if("significant").alias("n_significant"), F.count_distinct(F.when(F.col("significant"), F.col("gene"))).alias("n_genes"), genomic_inflation("stat").alias("lambda_gc"))
 
 
-def qq_table(results: DataFrame, partition_by: list[str]) -> DataFrame:
-    return qq_points(results.where("pval is not null"), partition_by)
+def qq_table(results: DataFrame, partition_by: list[str], ties: list[str] | None = None) -> DataFrame:
+    return qq_points(results.where("pval is not null"), partition_by, ties=ties)
 
 
 def external_results(rows: DataFrame, genes: DataFrame) -> DataFrame:
