@@ -14,7 +14,8 @@ by its partial product, and the score is the sum of the partials.
    in each slice where they weren't sent) reaches it are scored exactly.
 
 Equal vectors are searched once: a distinct vector keeps its k+1 least ids, which
-suffice for any query. Queries and candidates meet in blocks on an equi-join.
+suffice for any query. Queries and candidates meet in blocks on an equi-join. No
+table is broadcast, so what the driver holds doesn't grow with the vectors.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; shorter vectors count as padded with zeros; repeated rows count once, and
@@ -131,9 +132,14 @@ def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.int64())], names=["q", "c", "score"])
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: it grows with the vectors, and its files are many times smaller than its rows are on the driver."""
+    return side.hint("merge")
+
+
 def scored(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """q, c, score of pairs of distinct vectors."""
-    vec = lambda name, to: reps.select(F.col("rep").alias(name), F.col("vec").alias(to))
+    vec = lambda name, to: shuffled(reps.select(F.col("rep").alias(name), F.col("vec").alias(to)))
     return pairs.select("q", "c").join(vec("q", "_a"), "q").join(vec("c", "_b"), "c").select("q", "c", "_a", "_b").mapInArrow(resolved, "q long, c long, score long")
 
 
@@ -147,9 +153,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector
     """query_id, rank, vec_id, score: for each query the k other vectors of highest integer inner product."""
     rows = written(clean(vectors, id_, vector), "vectors")
     reps = written(distinct(rows, k), "distinct")
-    asking = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "vec").join(reps.select("vec", F.col("rep").alias("q")), "vec").select("query_id", "q")
+    asking = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "vec").join(shuffled(reps.select("vec", F.col("rep").alias("q"))), "vec").select("query_id", "q")
     asking = written(asking, "queries")
-    queries = reps.join(asking.select(F.col("q").alias("rep")).distinct(), "rep")
+    queries = reps.join(shuffled(asking.select(F.col("q").alias("rep")).distinct()), "rep")
     size = reps.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     n, width, asked = size["n"], max(1, size["width"] or 1), queries.count()
     slices = max(1, min(slices, width, 62))  # a bit of a long for each
@@ -157,7 +163,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector
     need = k + 1
 
     against = blocked(reps, "c", CANDIDATES, n, width, slices, n_q, "q", [])
-    meet = lambda ask: blocked(ask, "q", QUERIES, asked, width, slices, n_c, "c", [x for x in ask.columns if x == "cutoffs"]).join(against, ["q", "c", "s"])
+    meet = lambda ask: blocked(ask, "q", QUERIES, asked, width, slices, n_c, "c", [x for x in ask.columns if x == "cutoffs"]).join(shuffled(against), ["q", "c", "s"])
     entry = "array<struct<part:long,rep:long>>"
     lists = written(meet(queries).select("s", "q_rep", "q_vec", "c_rep", "c_vec").mapInArrow(local_lists(LISTED * need), f"q long, s int, least long, list {entry}"), "lists")
     merged = lists.groupBy("q", "s").agg(F.min("least").alias("least"), F.slice(F.sort_array(F.flatten(F.collect_list("list")), asc=False), 1, LISTED * need).alias("list"))
@@ -168,20 +174,20 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector
     least = merged.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("s", "least"))).alias("l")).select("q", F.col("l.least").alias("least"))
     total = F.aggregate("least", F.lit(0).cast("long"), lambda a, x: a + x)
     above = F.ceil((F.col("bound") - total) / F.lit(slices).cast("double")) - 1  # one less, in case the quotient was rounded
-    cutoffs = written(least.join(bound, "q").select("q", "least", F.transform("least", lambda x: F.when(F.col("bound").isNull(), x).otherwise(x + F.greatest(above, F.lit(0)))).alias("cutoffs")), "cutoffs")
+    cutoffs = written(least.join(shuffled(bound), "q").select("q", "least", F.transform("least", lambda x: F.when(F.col("bound").isNull(), x).otherwise(x + F.greatest(above, F.lit(0)))).alias("cutoffs")), "cutoffs")
 
-    sent = meet(queries.join(cutoffs.select(F.col("q").alias("rep"), "cutoffs"), "rep")).select("s", "q_rep", "q_vec", "q_cutoffs", "c_rep", "c_vec")
+    sent = meet(queries.join(shuffled(cutoffs.select(F.col("q").alias("rep"), "cutoffs")), "rep")).select("s", "q_rep", "q_vec", "q_cutoffs", "c_rep", "c_vec")
     sums = sent.mapInArrow(sufficient, "q long, c long, s int, part long").groupBy("q", "c").agg(F.sum("part").alias("part"), F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, s))").alias("mask"))
     entries = written(sums, "entries")
     full = entries.where(F.col("n") == slices).select("q", "c", F.col("part").alias("score"))
     exact = written(full.unionByName(seen).groupBy("q", "c").agg(F.max("score").alias("score")), "exact")
     raised = best(exact, need).groupBy("q").agg(F.when(F.count("*") >= need, F.min("score")).alias("raised"))
     missing = F.aggregate(F.transform("cutoffs", lambda x, i: F.when(F.getbit("mask", i) == 0, x - 1).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    open_ = entries.where(F.col("n") < slices).join(cutoffs, "q").join(raised, "q").where(F.col("raised").isNull() | (F.col("part") + missing >= F.col("raised")))
-    rest = scored(open_.select("q", "c").join(seen.select("q", "c"), ["q", "c"], "left_anti"), reps)
+    open_ = entries.where(F.col("n") < slices).join(shuffled(cutoffs), "q").join(shuffled(raised), "q").where(F.col("raised").isNull() | (F.col("part") + missing >= F.col("raised")))
+    rest = scored(open_.select("q", "c").join(shuffled(seen.select("q", "c")), ["q", "c"], "left_anti"), reps)
 
-    top = best(exact.unionByName(rest), need).join(reps.select(F.col("rep").alias("c"), "ids"), "c")
+    top = best(exact.unionByName(rest), need).join(shuffled(reps.select(F.col("rep").alias("c"), "ids")), "c")
     top = top.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("top"))
-    one = asking.join(top, "q").select("query_id", F.explode("top").alias("t")).select("query_id", F.col("t.score").alias("score"), F.explode("t.ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
+    one = asking.join(shuffled(top), "q").select("query_id", F.explode("top").alias("t")).select("query_id", F.col("t.score").alias("score"), F.explode("t.ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
