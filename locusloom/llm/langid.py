@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import learnable, sent, slices, small_batches
+from .common import discarded, learnable, sent, slices, small_batches, written
 
 # Language codes by family (public classification of languages).
 FAMILIES = {
@@ -90,29 +90,70 @@ def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int = 120)
     return w
 
 
+def fitted(vectors: np.ndarray, langs: list[str], sides: list[dict[str, int]]) -> np.ndarray:
+    """A column of weights for each pair of classes, whose languages ``sides`` names with their sign."""
+    columns = []
+    for side in sides:
+        rows = [i for i, x in enumerate(langs) if x in side]
+        columns.append(fit_svm(vectors[rows].astype(np.float32), np.array([side[langs[i]] for i in rows], np.float32)))
+    return np.array(columns, np.float32).reshape(len(columns), vectors.shape[1] + 1).T
+
+
+class Drawn:
+    """The drawn rows' vectors as a table (lang, h, x): each pair of classes is fitted in a task, and only weights reach the driver."""
+
+    def __init__(self, table: DataFrame, dims: int):
+        self.table, self.dims = table, dims
+        self.counts = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
+
+    def __len__(self) -> int:
+        return sum(self.counts.values())
+
+    def fitted(self, sides: list[dict[str, int]]) -> np.ndarray:
+        dims = self.dims
+
+        def one(pair: pa.Table) -> pa.Table:
+            # rows are put into an order of their own, whatever way they came
+            order = np.lexsort((pair.column("h").to_numpy(), pair.column("lang").to_numpy()))
+            x = np.empty((len(order), dims), np.float32)
+            at = np.empty(len(order), np.int64)
+            at[order] = np.arange(len(order))
+            start = 0
+            for chunk in pair.column("x").chunks:
+                for v in chunk:
+                    x[at[start]] = np.frombuffer(v.as_buffer(), np.float16)
+                    start += 1
+            weights = fit_svm(x, pair.column("side").to_numpy()[order].astype(np.float32))
+            return pa.table({"pair": pair.column("pair").slice(0, 1), "w": pa.array([weights.tobytes()], pa.binary())})
+
+        roles = self.table.sparkSession.createDataFrame([(x, k, y) for k, side in enumerate(sides) for x, y in side.items()], "lang string, pair int, side int")
+        found = self.table.join(F.broadcast(roles), "lang").groupBy("pair").applyInArrow(one, "pair int, w binary").collect() if sides else []
+        out = np.zeros((dims + 1, len(sides)), np.float32)
+        for r in found:
+            out[:, r["pair"]] = np.frombuffer(r["w"], np.float32)
+        return out
+
+
 class Hierarchy:
     """Pairs of classes with their SVMs: one set between families, one inside each family."""
 
-    def __init__(self, vectors: np.ndarray, langs: list[str]):
+    def __init__(self, vectors: np.ndarray | Drawn, langs: list[str]):
         self.langs = sorted(set(langs))
         family = families_of(self.langs)
         self.families = sorted(set(family.values()))
         members = [[x for x in self.langs if family[x] == f] for f in self.families]
         if (n := sum(math.comb(len(x), 2) for x in (self.families, *members))) > MOST_PAIRS:
             raise ValueError(f"{len(self.langs)} languages need {n} pairs of classes, at most {MOST_PAIRS} are allowed")
-        langs_of = np.array(langs, dtype=object)
-        families = np.array([family[x] for x in langs], dtype=object)
-        self.groups, columns = [], []
-        sets = [(self.families, families)] + [(x, langs_of) for x in members]
+        self.groups, sides = [], []
+        sets = [(self.families, lambda x: family[x])] + [(x, lambda x: x) for x in members]
         for names, truth in sets:
             pairs = []
             for i, a in enumerate(names):
-                for b in names[i + 1 :]:
-                    rows = (truth == a) | (truth == b)
-                    pairs.append((names.index(a), names.index(b), len(columns)))
-                    columns.append(fit_svm(vectors[rows].astype(np.float32), np.where(truth[rows] == a, 1, -1).astype(np.float32)))
+                for j in range(i + 1, len(names)):
+                    pairs.append((i, j, len(sides)))
+                    sides.append({x: 1 if truth(x) == a else -1 for x in self.langs if truth(x) in (a, names[j])})
             self.groups.append((names, pairs))
-        self.weights = np.array(columns, np.float32).reshape(len(columns), vectors.shape[1] + 1).T
+        self.weights = vectors.fitted(sides) if isinstance(vectors, Drawn) else fitted(vectors, langs, sides)
 
     @staticmethod
     def choose(margins: np.ndarray, names: list[str], pairs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +186,11 @@ class Hierarchy:
 def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS) -> Hierarchy | None:
     """Fit on about ``max_rows`` learnable rows in all, as many of each language; None without any.
 
-    Rows are drawn by a hash of doc_id and text, and equal vectors count once, so
-    only ``max_rows`` feature vectors or so (2 bytes a dimension: 48 MB at the
-    default) reach the driver. Every value of lang is learned; more of them than
-    MOST_PAIRS allows are an error.
+    Rows are drawn by a hash of doc_id and text, and equal vectors count once. The
+    vectors stay in a table; a pair of classes, of ``max_rows`` rows or so at most (2
+    bytes a dimension: 48 MB at the default), is fitted in a task, and its weights
+    reach the driver. Every value of lang is learned; more of them than MOST_PAIRS
+    allows are an error.
     """
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_PAIRS + 1).collect()}
@@ -167,13 +209,11 @@ def fit(docs: DataFrame, max_rows: int = 6000, dims: int = DIMS) -> Hierarchy |
                 rows = [trigram_vector(t, dims).astype(np.float16).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    rows = small_batches(sample).mapInArrow(vectors, "lang string, x binary").distinct().collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    langs, x = [r["lang"] for r in rows], np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(len(rows), -1)
-    del rows  # the driver holds the vectors once, and those of one pair of classes in single precision
-    return Hierarchy(x, langs)
+    table = written(small_batches(sample).mapInArrow(vectors, "lang string, x binary").distinct().select("lang", F.xxhash64("x").alias("h"), "x"), "language_vectors")
+    drawn = Drawn(table, dims)
+    model = Hierarchy(drawn, list(drawn.counts)) if len(drawn) else None
+    discarded(table)
+    return model
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, dims: int = DIMS, text: str = "text") -> DataFrame:
