@@ -191,6 +191,17 @@ def prepared(rows: DataFrame, samples: DataFrame, features: list[str], heads: He
     return table.repartition("sample").sortWithinPartitions("sample", "_g", *xs, "_gt")
 
 
+def start_losses(rows: DataFrame, samples: DataFrame, features: list[str], networks: dict[int, Network], heads: Heads, loss: str = "mse", validation: int = 5, seed: int = 0) -> list[tuple[int, float | None, float | None]]:
+    """(key, train_loss, val_loss) of each network under the same heads before any step, as ``fit`` has them in epoch 0; calls are dealt by sample once for all."""
+    if loss not in LOSSES:
+        raise ValueError(f"unknown loss {loss!r}")
+    table, n = prepared(rows, samples, features, heads, validation, seed).persist(), len(heads.phenotypes)
+    of = lambda part, net: mean_loss(sums_of(part, net, heads, len(features), loss, None), n)
+    found = [(key, of(table.where("split > 0"), net), of(table.where("split = 0"), net) if validation else None) for key, net in networks.items()]
+    table.unpersist()
+    return found
+
+
 def genes_of(rows: DataFrame) -> list:
     found = [r["gene"] for r in rows.select("gene").where("gene is not null").distinct().limit(MOST_GENES + 1).collect()]
     if len(found) > MOST_GENES:
